@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, decontaminate, ring_shards
+from tidewheel.llm import bpe, decontaminate, minhash, ring_shards
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,11 +29,16 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
         "op4_ring_shards": op4_ring_shards,
+        "op7_minhash": op7_minhash,
     }
 
 
