@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, decontaminate, minhash, ring_shards
+from tidewheel.llm import bpe, crf_quality, decontaminate, langid, minhash, ring_shards
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,12 +33,22 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
         "op4_ring_shards": op4_ring_shards,
         "op7_minhash": op7_minhash,
+        "op8_crf_quality": op8_crf_quality,
+        "op9_langid": op9_langid,
     }
 
 
