@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, crf_quality, decontaminate, langid, minhash, ring_shards
+from tidewheel.llm import bpe, crf_quality, decontaminate, langid, minhash, ring_shards, suffix_dedup
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.report(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_ring_shards": op4_ring_shards,
         "op7_minhash": op7_minhash,
         "op8_crf_quality": op8_crf_quality,
