@@ -14,6 +14,10 @@ Window ends are taken at ASCII characters that begin a token, where neither
 Unicode composition nor a token of several characters crosses, and ``AGREE`` is
 more than twice the longest special token, so that none can straddle unseen.
 
+Neither a token nor a normalisation step crosses ASCII white space, so between
+two spaces a text is encoded word by word, each distinct word once (``Words``);
+a piece keeps token positions only for the stretches at its ends.
+
 Defined cases: a null text is encoded as the empty text: no ids, empty decoded
 text; repeated rows get equal results; an empty table gives an empty table.
 """
@@ -33,8 +37,8 @@ from pyspark.sql import types as T
 from tidewheel.llm.common import fresh, partitions, text_key
 
 PIECE_CHARS, LONG_CHARS, AGREE = 16_384, 32_768, 32
-#: Characters that are encoded in one call; the library keeps about 200 bytes a token meanwhile.
-SLICE_CHARS = 400_000
+#: Characters of texts that are encoded together, words that are remembered, and characters of a piece's ends.
+SLICE_CHARS, WORDS_HELD, END_CHARS = 1_000_000, 300_000, 1024
 
 RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
@@ -50,6 +54,30 @@ def load(path: str):
     return tokenizer
 
 
+_BLANK = str.maketrans("\n\r\t", "   ")
+
+
+class Words:
+    """The ids of texts, each distinct word between ASCII spaces encoded once and remembered."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.held = tokenizer, {"": b""}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.translate(_BLANK).split(" ") for t in texts]
+        if len(self.held) > WORDS_HELD:
+            self.held = {"": b""}
+        held, long = self.held, {}
+        new = list(set().union(*split).difference(held))
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                (held if len(word) <= 64 else long)[word] = np.array(e.ids, "<u4").tobytes()
+        if long:
+            return [b"".join([held[w] if len(w) <= 64 else long[w] for w in words]) for words in split]
+        return [b"".join(map(held.__getitem__, words)) for words in split]
+
+
 class Coded:
     """Token ids of a stretch of text and the character each begins and ends at, in the whole text."""
 
@@ -134,30 +162,61 @@ def cuts(text: str, piece: int) -> list[int]:
     return [*at, len(text)]
 
 
-def concatenate(tokenizer, text: str, at: list[int], parts: list[Coded]) -> Coded:
+class Piece:
+    """The encoding of a stretch of text: coded ends with positions, and plain ids between them.
+
+    Without ``tail`` the whole stretch is ``head``. ``head_end`` and
+    ``tail_begin`` are white space, where encodings meet exactly.
+    """
+
+    def __init__(self, head: Coded, head_end: int, ids: list[np.ndarray], tail: Coded | None, tail_begin: int):
+        self.head, self.head_end, self.ids, self.tail, self.tail_begin = head, head_end, ids, tail, tail_begin
+
+    @classmethod
+    def of(cls, words: Words, text: str, at: int) -> Piece:
+        first, last = text.find(" ", END_CHARS), text.rfind(" ", 0, max(len(text) - END_CHARS, 0))
+        if first < 0 or last <= first:
+            return cls(Coded.of(words.tokenizer, text, at), at + len(text), [], None, at)
+        middle = np.frombuffer(words.encode([text[first:last]])[0], "<u4")
+        return cls(Coded.of(words.tokenizer, text[:first], at), at + first, [middle], Coded.of(words.tokenizer, text[last:], at + last), at + last)
+
+    def join(self, tokenizer, text: str, begin: int, middle: int, end: int, other: Piece) -> Piece:
+        left, right = self.head if self.tail is None else self.tail, other.head
+        both = join(tokenizer, text, left, right, begin if self.tail is None else self.tail_begin, middle, end if other.tail is None else other.head_end)
+        if self.tail is None:
+            return Piece(both, other.head_end, other.ids, other.tail, other.tail_begin if other.tail else begin)
+        if other.tail is None:
+            return Piece(self.head, self.head_end, self.ids, both, self.tail_begin)
+        return Piece(self.head, self.head_end, [*self.ids, both.ids, *other.ids], other.tail, other.tail_begin)
+
+    def all_ids(self) -> np.ndarray:
+        return np.concatenate([self.head.ids, *self.ids, *([self.tail.ids] if self.tail else [])])
+
+
+def concatenate(tokenizer, text: str, at: list[int], parts: list[Piece]) -> np.ndarray:
     """Joins neighbours, level by level. ``at``: where the parts begin, and the text's end."""
     while len(parts) > 1:
         pairs = range(0, len(parts) - 1, 2)
-        joined = [join(tokenizer, text, parts[k], parts[k + 1], at[k], at[k + 1], at[k + 2]) for k in pairs]
+        joined = [parts[k].join(tokenizer, text, at[k], at[k + 1], at[k + 2], parts[k + 1]) for k in pairs]
         parts, at = joined + parts[len(parts) - len(parts) % 2 :], [at[k] for k in range(0, len(parts), 2)] + [at[-1]]
-    return parts[0]
+    return parts[0].all_ids()
 
 
 def _whole(path: str, text_col: str, out: str):
     arrow = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
 
     def encode(batches):
-        tokenizer = load(path)
+        words = Words(load(path))
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             at = 0
             while at < len(texts):
                 size, end = len(texts[at]), at + 1
-                while end < len(texts) and end - at < 512 and size + len(texts[end]) <= SLICE_CHARS:
+                while end < len(texts) and end - at < 1024 and size + len(texts[end]) <= SLICE_CHARS:
                     size, end = size + len(texts[end]), end + 1
-                ids = [e.ids for e in tokenizer.encode_batch(texts[at:end], add_special_tokens=False)]
-                decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
-                rows = pa.StructArray.from_arrays([pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary()), pa.array(decoded, pa.string())], fields=list(arrow))
+                ids = words.encode(texts[at:end])
+                decoded = words.tokenizer.decode_batch([np.frombuffer(i, "<u4").tolist() for i in ids], skip_special_tokens=False)
+                rows = pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], fields=list(arrow))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns), rows], [*batch.schema.names, out])
                 at = end
 
@@ -192,30 +251,41 @@ def encode_long(texts: DataFrame, tokenizer_path: str, piece_chars: int) -> Data
                     some = range(first, min(first + 64, len(at) - 1))
                     yield pa.RecordBatch.from_pydict({"k": [k] * len(some), "i": pa.array(some, pa.int32()), "at": pa.array([at[i] for i in some], pa.int32()), "t": [t[at[i] : at[i + 1]] for i in some]})
 
+    coded_end = lambda c: [x.astype("<u4").tobytes() for x in (c.ids, c.starts, c.ends - c.starts)]
+
     def code(batches):
-        tokenizer = load(tokenizer_path)
+        words = Words(load(tokenizer_path))
         for batch in batches:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1)
-                c = Coded.of(tokenizer, row.column("t")[0].as_py(), 0)
-                packed = [c.ids.astype("<u4"), c.starts.astype("<u4"), (c.ends - c.starts).astype("<u4")]
-                yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["k", "i", "at", "t", "ids", "starts", "sizes"])
+                p = Piece.of(words, row.column("t")[0].as_py(), 0)
+                plain = p.ids[0].tobytes() if p.ids else b""
+                ends = [coded_end(p.head), coded_end(p.tail) if p.tail else None]
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([p.head_end], pa.int32()), pa.array([p.tail_begin], pa.int32()), pa.array([plain], pa.binary()), *(pa.array([e], pa.list_(pa.binary())) for e in ends)], coded_names)
+
+    coded_names = ["k", "i", "at", "t", "head_end", "tail_begin", "plain", "head", "tail"]
 
     def concat(pdf: pd.DataFrame) -> pd.DataFrame:
         tokenizer = load(tokenizer_path)
         pdf = pdf.drop_duplicates("i").sort_values("i")
-        text, parts = "".join(pdf["t"]), []
+
+        def whole(end, at):
+            ids, starts, sizes = (np.frombuffer(x, "<u4") for x in end)
+            starts = starts.astype(np.int64) + at
+            return Coded(ids, starts, starts + sizes)
+
+        parts = []
         for row in pdf.itertuples():
-            ids, starts, sizes = (np.frombuffer(x, "<u4") for x in (row.ids, row.starts, row.sizes))
-            starts = starts.astype(np.int64) + row.at
-            parts.append(Coded(ids, starts, starts + sizes))
-        ids = concatenate(tokenizer, text, [*pdf["at"].tolist(), len(text)], parts).ids
+            tail = None if row.tail is None else whole(row.tail, row.at)
+            parts.append(Piece(whole(row.head, row.at), row.at + row.head_end, [np.frombuffer(row.plain, "<u4")], tail, row.at + row.tail_begin))
+        text = "".join(pdf["t"])
+        ids = concatenate(tokenizer, text, [*pdf["at"].tolist(), len(text)], parts)
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "ids": [ids.astype("<u4").tobytes()], "decoded": [tokenizer.decode(ids.tolist(), skip_special_tokens=False)]})
 
     n = partitions(texts.sparkSession)
     texts = texts.groupBy("k").agg(F.first("t").alias("t"))  # copies of a text are encoded once
     pieces = texts.mapInArrow(cut, "k binary, i int, at int, t string").repartition(n, "k", "i")
-    coded = pieces.mapInArrow(code, "k binary, i int, at int, t string, ids binary, starts binary, sizes binary")
+    coded = pieces.mapInArrow(code, "k binary, i int, at int, t string, head_end int, tail_begin int, plain binary, head array<binary>, tail array<binary>")
     whole = coded.groupBy("k").applyInPandas(concat, "k binary, ids binary, decoded string")
     return whole.select("k", F.struct("ids", "decoded").alias("r"))
 
