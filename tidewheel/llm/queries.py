@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, crf_quality, decontaminate, langid, line_dedup, minhash, ring_shards, suffix_dedup
+from tidewheel.llm import bpe, crf_quality, decontaminate, langid, line_dedup, minhash, paragraph_dedup, ring_shards, suffix_dedup
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,6 +37,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_ring_shards": op4_ring_shards,
         "op5_line_dedup": op5_line_dedup,
+        "op6_paragraph_dedup": op6_paragraph_dedup,
         "op7_minhash": op7_minhash,
         "op8_crf_quality": op8_crf_quality,
         "op9_langid": op9_langid,
