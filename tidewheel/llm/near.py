@@ -91,15 +91,15 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return able.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v", "sig_u", "sig_v").mapInArrow(_confirm(threshold), "u long, v long, linked boolean")
 
 
-def link(ws: Workspace, held: DataFrame, active: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the components, and the confirmed links (u, v). threshold: in hundredths."""
+def link(ws: Workspace, held: DataFrame, active: DataFrame, sets: DataFrame, threshold: int = 80, compare=_compare) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the components, and the confirmed links (u, v). threshold: in hundredths; compare: as _compare."""
     pairs = held.join(active, "bucket").where("node != pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
     members = held.join(active.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
     tried, links, number = None, None, 0
     while True:
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        compared = ws.save(_compare(pairs, sets, threshold), f"compared-{number}")
+        compared = ws.save(compare(pairs, sets, threshold), f"compared-{number}")
         ws.release()
         passed = compared.where("linked").select("u", "v")
         links = passed if links is None else links.unionByName(passed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, crf_quality, decontaminate, langid, line_dedup, minhash, paragraph_dedup, ring_shards, suffix_dedup
+from tidewheel.llm import bpe, crf_quality, decontaminate, langid, line_dedup, media, minhash, paragraph_dedup, ring_shards, suffix_dedup
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,6 +53,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -64,6 +68,7 @@ def queries() -> dict:
         "op7_minhash": op7_minhash,
         "op8_crf_quality": op8_crf_quality,
         "op9_langid": op9_langid,
+        "op10_media": op10_media,
     }
 
 
