@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir``; a new local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,10 +24,9 @@ def shared_root(spark: SparkSession) -> str:
 class Workspace:
     """Written intermediate tables of one operator run.
 
-    ``save`` writes a table, reads it back (which cuts the lineage: a lost
-    executor costs a reread, not a recomputation) and lets Spark's cleaner
-    drop the shuffle files that led to it. ``drop`` deletes a table nobody
-    reads any more.
+    ``save`` writes a table and reads it back, which cuts the lineage: a lost
+    executor costs a reread, not a recomputation. The shuffle files that led
+    to it go once it is written. ``drop`` deletes a table nobody reads any more.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -34,7 +35,12 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")  # counts for the plan that select() makes
+        try:
+            df.select("*").write.parquet(path)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -43,11 +49,6 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Frees the shuffle files of finished steps, which Spark's cleaner keeps until the driver collects its garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores after it where the table already has such a column."""

@@ -104,18 +104,14 @@ def kept_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     halves = texts.mapInArrow(_halves(min_words), "doc_id long, tk long, line int, node long, k1 long, k2 long, k3 long, k4 long")
     keys = ["k1", "k2", "k3", "k4"]
     lines = ws.save(halves.groupBy("node", *keys).agg(F.min(F.struct("doc_id", "tk", "line")).alias("first")), "lines")
-    ws.release()
     by_key = lines.select("node", F.explode(F.array(*keys)).alias("k"))
     shared = by_key.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("k")
     open_nodes = by_key.join(shared, "k", "left_semi").select("node").distinct()
     open_lines = ws.save(lines.select("node", "first").join(open_nodes, "node"), "open")
-    ws.release()
     words = ws.save(at_places(texts, open_lines, _words, "node long, words binary"), "words")
-    ws.release()
     variants = words.mapInArrow(_variants, "node long, variant long, gap int")
     met = variants.groupBy("variant").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("variant")
     met = ws.save(variants.join(met, "variant", "left_semi").join(open_lines, "node"), "met")
-    ws.release()
 
     earliest = lambda when: F.min(F.when(when, F.struct("first", "node")))
     changed = met.where("gap >= 0").groupBy("variant", "gap").agg(earliest(F.lit(True)).alias("e"))
@@ -130,7 +126,6 @@ def kept_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     mine, theirs = words.withColumnRenamed("words", "mine"), words.select(F.col("node").alias("partner"), F.col("words").alias("theirs"))
     edited = pairs.join(mine, "node").join(theirs, "partner").select("node", "mine", "theirs").mapInArrow(_verify, "node long")
     kept = ws.save(lines.select("node", "first").join(edited, "node", "left_anti"), "kept")
-    ws.release()
     return kept
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.common import Workspace, fresh
-from tidewheel.llm.near import candidates, link
+from tidewheel.llm.near import candidates, link, rarity
 from tidewheel.llm.shingles import MinHash, shingle_set
 
 BANDS, ROWS = 40, 8
@@ -49,7 +49,7 @@ def _banded(bands: int, rows: int):
 
 
 def full_sets(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(node, n, set, sig) from (node, text): sorted 64-bit shingles, and the upper halves of the minima."""
+    """(node, n, set, sig) from (node, text): sorted 64-bit shingles, and a byte of each minimum."""
 
     def scan(batches):
         family = MinHash(bands, rows)
@@ -57,7 +57,7 @@ def full_sets(texts: DataFrame, bands: int, rows: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t) for t in part.column("text").to_pylist()]
-                sigs = (family.minima(sets) >> np.uint64(32)).astype("<u4")
+                sigs = (family.minima(sets) >> np.uint64(32)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], ["node", "n", "set", "sig"]
                 )
@@ -72,12 +72,11 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(text_col).alias("text"))
     banded = ws.save(source.mapInArrow(_banded(bands, rows), "node long, doc_id long, n long, bands array<long>"), "banded")
     firsts = ws.save(banded.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
-    held, active = candidates(ws, banded.where("n > 0").join(firsts, "node").where("doc_id <=> first").select("node", "bands"))
+    held = candidates(ws, banded.where("n > 0").join(firsts, "node").where("doc_id <=> first").select("node", "bands"))
     wanted = held.select("node").distinct().join(firsts, "node")
     texts = source.join(wanted, (source["node"] == wanted["node"]) & source["doc_id"].eqNullSafe(wanted["first"])).select(source["node"], "text").dropDuplicates(["node"])
     sets = ws.save(full_sets(texts, bands, rows), "sets")
-    ws.release()
-    roots, _ = link(ws, held, active, sets, threshold)
+    roots = link(ws, held, sets, rarity(ws, sets), threshold)
     of_root = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_root.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = ws.save(of_root.join(least, "root").select("node", "component_id"), "by_node")

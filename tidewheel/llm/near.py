@@ -3,13 +3,20 @@
 Nodes are distinct texts. Nodes that share a band value form a bucket. Each
 round, every bucket that still holds nodes of several components names pivots,
 and each pivot is compared with the nodes of other components in the bucket,
-then leaves it. The first round has one pivot a bucket, another one in each,
-which links the bulk of a group of copies by stars; later rounds have one pivot
-for each component but the largest, so a bucket ends when its nodes are in one
-component or each of them has been compared with all the others. That finds
-every component of the graph of candidate links, exactly. Links are confirmed
-first on signatures, then on full sets; components come from alternating
-large-star and small-star steps over the links found so far.
+then leaves it. The first round has one pivot a bucket, which links the bulk of
+a group of copies by stars; later rounds have one pivot for each component but
+the largest, so a bucket ends when its nodes are in one component or each of
+them has been compared with all the others. That finds every component of the
+graph of candidate links, exactly.
+
+Which pairs are compared at all is bounded by what no other candidate has: of n
+shingles, ``rare`` are in one candidate only, so two sets of sizes n and m share
+``min(n - rare_n, m - rare_m)`` at most and have ``max(n + rare_m, m + rare_n)``
+together at least. Each edit of a copy makes rare shingles, so within a large
+group of edited copies nearly all pairs that the bound lets through do link.
+Pivots are the least edited nodes. Pairs are then confirmed on signatures, and
+on full sets. Components come from alternating large-star and small-star steps
+over the links found so far.
 
 Every step is a join or an aggregate by key that Spark can combine before the
 shuffle or split when a key is hot; no step holds a bucket or a component in
@@ -18,8 +25,6 @@ one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,15 +56,28 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
         ws.drop(old, f"{old}-large")
 
 
-def candidates(ws: Workspace, banded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (node, bands): the buckets of at least two nodes as (bucket, node), and their first pivots (bucket, pivot)."""
+def candidates(ws: Workspace, banded: DataFrame) -> DataFrame:
+    """From (node, bands): the buckets of at least two nodes, as (bucket, node)."""
     members = banded.select("node", F.explode("bands").alias("bucket"))
-    mark = F.col("node").bitwiseXOR(F.col("bucket"))  # its least is another node in each bucket
-    active = members.groupBy("bucket").agg(F.min(mark).alias("m"), F.max(mark).alias("x")).where("m != x")
-    active = ws.save(active.select("bucket", F.col("m").bitwiseXOR(F.col("bucket")).alias("pivot")), "active")
-    held = ws.save(members.join(active.select("bucket"), "bucket", "left_semi").distinct(), "held")
-    ws.release()
-    return held, active
+    active = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("bucket")
+    held = ws.save(members.join(active, "bucket", "left_semi").distinct(), "held")
+    return held
+
+
+def rarity(ws: Workspace, sets: DataFrame) -> DataFrame:
+    """(node, n, rare) of (node, n, set): the size, and how many of the shingles no other set has."""
+
+    def spread(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.frombuffer(x, "<i8") for x in part.column("set").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], ["node", "shingle"])
+
+    alone = sets.select("node", "set").mapInArrow(spread, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    rare = alone.groupBy("node").agg(F.count("*").alias("rare"))
+    stats = ws.save(sets.select("node", "n").join(rare, "node", "left").select("node", "n", F.coalesce("rare", F.lit(0)).alias("rare")), "rarity")
+    return stats
 
 
 def _confirm(threshold: int):
@@ -71,7 +89,7 @@ def _confirm(threshold: int):
             keep = []
             col = {c: batch.column(c) for c in ("set_u", "set_v", "sig_u", "sig_v")}
             for i in range(batch.num_rows):
-                su, sv = (np.frombuffer(col[c][i].as_buffer(), "<u4") for c in ("sig_u", "sig_v"))
+                su, sv = (np.frombuffer(col[c][i].as_buffer(), np.uint8) for c in ("sig_u", "sig_v"))
                 if np.count_nonzero(su == sv) < len(su) * t - SIGMAS * np.sqrt(len(su) * t * (1 - t)):
                     keep.append(False)
                     continue
@@ -83,36 +101,43 @@ def _confirm(threshold: int):
     return confirm
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(u, v, linked) for pairs (u, v). sets: (node, n, set, sig)."""
-    side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "set", "sig")))
-    sizes = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"m_{x}"))
-    able = pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(f"100 * least(m_u, m_v) >= {threshold} * greatest(m_u, m_v)").select("u", "v")
-    return able.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v", "sig_u", "sig_v").mapInArrow(_confirm(threshold), "u long, v long, linked boolean")
+def compare_sets(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(u, v, linked) for pairs (u, v). sets: (node, set, sig); sig holds the last byte of each minimum."""
+    side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("set", "sig")))
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v", "sig_u", "sig_v").mapInArrow(_confirm(threshold), "u long, v long, linked boolean")
 
 
-def link(ws: Workspace, held: DataFrame, active: DataFrame, sets: DataFrame, threshold: int = 80, compare=_compare) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the components, and the confirmed links (u, v). threshold: in hundredths; compare: as _compare."""
-    pairs = held.join(active, "bucket").where("node != pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-    members = held.join(active.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
-    tried, links, number = None, None, 0
+def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, threshold: int, compare=compare_sets) -> DataFrame:
+    """(node, root) of the components; threshold in hundredths. ``compare`` confirms pairs, as compare_sets does."""
+    able = stats.where(f"100 * (n - rare) >= {threshold} * n")
+    members = ws.save(held.join(able, "node").select("bucket", "node", "n", "rare"), "members-0")
+    roots = links = tried = None
+    number = 0
     while True:
+        if roots is None:
+            labelled = members.withColumn("root", F.col("node"))
+        else:
+            labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # the least edited, and of those another one in each bucket
+        best = F.min(F.struct("rare", F.col("node").bitwiseXOR(F.col("bucket")).alias("mark"), "node", "n"))
+        by_root = labelled.groupBy("bucket", "root").agg(F.count("*").alias("c"), best.alias("p"))
+        if roots is None:
+            pivots = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min("p").alias("p")).where("roots > 1").withColumn("root", F.col("p.node"))
+        else:
+            open_ = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).where("roots > 1")
+            pivots = by_root.join(open_, "bucket").where("root != largest")
+        pivots = ws.save(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("p.n").alias("pn"), F.col("p.rare").alias("prare")), f"pivots-{number}")
+        if roots is not None and pivots.isEmpty():
+            return roots
+        bound = f"100 * least(n - rare, pn - prare) >= {threshold} * greatest(n + prare, pn + rare)"
+        pairs = labelled.join(pivots, "bucket").where(f"root != pivot_root and {bound}").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         compared = ws.save(compare(pairs, sets, threshold), f"compared-{number}")
-        ws.release()
-        passed = compared.where("linked").select("u", "v")
-        links = passed if links is None else links.unionByName(passed)
+        still = labelled.select("bucket", "node", "n", "rare").join(pivots.select("bucket").distinct(), "bucket", "left_semi")
+        members = ws.save(still.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"members-{number + 1}")
+        ws.drop(f"members-{number}", f"pivots-{number}")
+        passed, seen = compared.where("linked").select("u", "v"), compared.select("u", "v")
+        links, tried = (passed, seen) if links is None else (links.unionByName(passed), tried.unionByName(seen))
         roots = components(ws, links, f"roots-{number}")
         number += 1
-        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_root = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
-        open_ = by_root.groupBy("bucket").agg(F.count("*").alias("c"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("c > 1")
-        pivots = ws.save(by_root.join(open_, "bucket").where("root != largest").select("bucket", "pivot", F.col("root").alias("pivot_root")), f"pivots-{number}")
-        if pivots.isEmpty():
-            return roots, links
-        members = ws.save(labelled.select("bucket", "node").join(pivots.select("bucket").distinct(), "bucket", "left_semi"), f"members-{number}")
-        pairs = labelled.join(pivots, "bucket").where("root != pivot_root").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-        members = members.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        rejected = compared.select("u", "v")
-        tried = rejected if tried is None else reduce(DataFrame.unionByName, [tried, rejected])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import Workspace, fresh
 from tidewheel.llm.lines import Lines, at_places, source, take_out
-from tidewheel.llm.near import candidates, link
+from tidewheel.llm.near import candidates, link, rarity
 from tidewheel.llm.shingles import MinHash, shingles
 
 MIN_WORDS, BANDS, ROWS, THRESHOLD = 20, 16, 4, 80
@@ -62,7 +62,7 @@ def _sets(bands: int, rows: int):
                 all_lines = Lines(text)
                 nodes += some
                 sets += [shingles(all_lines.words[all_lines.cuts[i] : all_lines.cuts[i + 1]]) for i in lines]
-            sigs = (family.minima(sets) >> np.uint64(32)).astype("<u4")
+            sigs = (family.minima(sets) >> np.uint64(32)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], ["node", "n", "set", "sig"])
 
     return scan
@@ -74,17 +74,15 @@ def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = source(docs, id_col, text_col)
     banded = ws.save(texts.mapInArrow(_banded(min_words, bands, rows), "doc_id long, tk long, line int, node long, bands array<long>"), "banded")
     firsts = ws.save(banded.groupBy("node").agg(F.min(F.struct("doc_id", "tk", "line")).alias("first"), F.count("*").alias("copies")), "firsts")
-    held, active = candidates(ws, banded.select("node", "bands"))
+    held = candidates(ws, banded.select("node", "bands"))
     wanted = firsts.join(held.select("node").distinct(), "node")
     sets = ws.save(at_places(texts, wanted, _sets(bands, rows), "node long, n long, set binary, sig binary"), "sets")
-    ws.release()
-    roots, _ = link(ws, held, active, sets, threshold)
+    roots = link(ws, held, sets, rarity(ws, sets), threshold)
     of_root = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = of_root.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
     kept = ws.save(best.select(F.col("root").alias("node"), "first"), "kept")
     shared = best.where("copies > 1").select("root", F.col("first.doc_id").alias("kept_doc_id"))
     shared = ws.save(of_root.select("node", "root").join(shared, "root").select("node", "kept_doc_id"), "shared")
-    ws.release()
     return kept, banded.select("doc_id", "tk", "line", "node").join(shared, "node").drop("node")
 
 

@@ -217,7 +217,6 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", length: int = LE
 
     buckets = max(8, int(total * len(residues) / v * 11 / bucket_bytes))
     ranks = ws.save(_repeats(texts, length - v + 1, sample, open_starts, buckets, chunk_bytes), "open")
-    ws.release()
 
     def named(batch, i, size):
         return spread(np.frombuffer(batch.column("ranges")[i].as_py(), "<i8").reshape(-1, 2))
@@ -228,7 +227,6 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", length: int = LE
     # about a sixth of natural text stays open; at worst, all of it, in larger buckets
     buckets = max(8, int(total / 6 * 11 / bucket_bytes))
     removed = ws.save(_repeats(texts.join(ranks, "key"), length, named, covered, buckets, chunk_bytes), "removed")
-    ws.release()
     return removed
 
 
