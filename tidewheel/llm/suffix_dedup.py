@@ -42,7 +42,7 @@ from tidewheel.llm.shingles import mix, powers, prefix_hash
 
 LENGTH, COVER = 400, 2
 #: Text bytes that a task sorts as one chunk, and packed bytes that a bucket holds, about.
-CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 48 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 48 << 20
 #: Bytes whose running hashes are held at once; longer texts are hashed in stretches.
 STRETCH = 4 << 20
 
