@@ -93,6 +93,15 @@ def names(table: str) -> list[str]:
     return [x.strip() for x in table.replace("\n", " ").split(",")]
 
 
+def _pairs(rows) -> Column:
+    """A constant array of (a, n), parsed at once."""
+    return F.expr("array(" + ", ".join(f"named_struct('a', '{a}', 'n', '{n}')" for a, n in rows) + ")")
+
+
+def _words(rows) -> Column:
+    return F.expr("array(" + ", ".join(f"'{x}'" for x in rows) + ")")
+
+
 def plain(c: Column) -> Column:
     """Lower-case words of a-z and 0-9 with single spaces, and one at either end."""
     spaced = F.regexp_replace(F.replace(F.lower(blank(c)), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
@@ -100,8 +109,7 @@ def plain(c: Column) -> Column:
 
 
 def _first_of(padded: Column, table: str) -> Column:
-    rows = F.array(*(F.struct(F.lit(f" {a} ").alias("a"), F.lit(n).alias("n")) for a, n in places(table)))
-    return F.get(F.filter(rows, lambda r: F.contains(padded, r["a"])), 0)["n"]
+    return F.get(F.filter(_pairs((f" {a} ", n) for a, n in places(table)), lambda r: F.contains(padded, r["a"])), 0)["n"]
 
 
 def explicit_india(c: Column) -> Column:
@@ -112,46 +120,56 @@ def explicit_india(c: Column) -> Column:
 
 def explicit_foreign(c: Column) -> Column:
     """The first foreign country named, if India isn't, else null."""
-    rows = F.array(*(F.lit(n) for n in names(FOREIGN)))
     padded = plain(c)
-    found = F.get(F.filter(rows, lambda r: F.contains(padded, F.concat(F.lit(" "), r, F.lit(" ")))), 0)
+    found = F.get(F.filter(_words(names(FOREIGN)), lambda r: F.contains(padded, F.concat(F.lit(" "), r, F.lit(" ")))), 0)
     return F.when(~explicit_india(c), found)
 
 
-def india_text(c: Column) -> Column:
-    """struct(place, evidence) of an Indian place in a text, or null."""
+def _code_of(c: Column) -> Column:
+    """The place of the first office code among a text's runs of A-Z and 0-9."""
+    runs = F.concat(F.lit(" "), F.regexp_replace(blank(c), "[^A-Z0-9]+", " "), F.lit(" "))
+    return F.get(F.filter(_pairs((f" {code} ", n) for code, n in codes(OFFICE_CODES)), lambda r: F.contains(runs, r["a"])), 0)["n"]
+
+
+def with_place(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Adds {prefix}pad, india, foreign, place and why for a text column, in stages that Catalyst keeps apart."""
+    n = lambda x: f"{prefix}{x}"
+    df = df.withColumns({n("pad"): plain(F.col(column)), n("india"): explicit_india(F.col(column))})
+    pad, india = F.col(n("pad")), F.col(n("india"))
+    abroad = F.get(F.filter(_words(names(FOREIGN)), lambda r: F.contains(pad, F.concat(F.lit(" "), r, F.lit(" ")))), 0)
+    df = df.withColumns({n("city"): _first_of(pad, CITIES), n("region"): _first_of(pad, REGIONS), n("local"): _first_of(pad, LOCALITIES), n("code"): _code_of(F.col(column)), n("foreign"): F.when(~india, abroad)})
+    city, region, local, code = (F.col(n(x)) for x in ("city", "region", "local", "code"))
+    remote = pad.contains("remote")
+    place = F.when(pad == "  ", None).when(india & remote, "Remote").when(india, F.coalesce(city, region, F.lit("India"))).otherwise(F.coalesce(city, region, local, code))
+    named = F.when(remote | (city.isNull() & region.isNull()), "country_name_or_code").when(city.isNotNull(), "country+city").otherwise("country+region")
+    why = F.when(pad == "  ", None).when(india, named).when(city.isNotNull(), "city").when(region.isNotNull(), "region").when(local.isNotNull(), "tech_locality").when(code.isNotNull(), "office_code")
+    return df.withColumns({n("place"): place, n("why"): why}).drop(n("city"), n("region"), n("local"), n("code"))
+
+
+def _has_place(c: Column) -> Column:
+    """Whether a text names an Indian place and no other country; for the elements of an array."""
     padded = plain(c)
-    made = lambda place, why: F.struct(place.alias("place"), F.lit(why).alias("evidence"))
-    city, region, locality = (_first_of(padded, t) for t in (CITIES, REGIONS, LOCALITIES))
-    code = F.lit(None).cast("string")
-    for mark, name in reversed(codes(OFFICE_CODES)):
-        code = F.when(blank(c).rlike(f"(?<![A-Z0-9]){mark}(?![A-Z0-9])"), name).otherwise(code)
-    india = explicit_india(c)
-    return (
-        F.when(padded == "  ", None)
-        .when(india & padded.contains("remote"), made(F.lit("Remote"), "country_name_or_code"))
-        .when(india & city.isNotNull(), made(city, "country+city"))
-        .when(india & region.isNotNull(), made(region, "country+region"))
-        .when(india, made(F.lit("India"), "country_name_or_code"))
-        .when(city.isNotNull(), made(city, "city"))
-        .when(region.isNotNull(), made(region, "region"))
-        .when(locality.isNotNull(), made(locality, "tech_locality"))
-        .when(code.isNotNull(), made(code, "office_code"))
-    )
+    every = _words(f" {a} " for t in (CITIES, REGIONS, LOCALITIES) for a, _ in places(t))
+    return explicit_india(c) | (explicit_foreign(c).isNull() & (F.exists(every, lambda a: F.contains(padded, a)) | _code_of(c).isNotNull()))
 
 
-def description_place(description: Column) -> Column:
-    """struct(place, evidence) from a location line among the first 120, or from a strong phrase; else null."""
-    lines = F.slice(F.filter(F.transform(F.split(blank(description), r"\R"), strip), lambda x: x != ""), 1, 120)
+def with_description_place(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Adds {prefix}place and why: from the first location line, of 120, that names a place, or from a strong phrase."""
+    lines = F.slice(F.filter(F.transform(F.split(blank(F.col(column)), r"\R"), strip), lambda x: x != ""), 1, 120)
     label = r"(?i)\b(?:job\s+|work\s+|workplace\s+|office\s+|primary\s+)?location\s*[:\-]"
     values = F.transform(F.filter(lines, lambda x: x.rlike(label)), lambda x: strip(F.regexp_replace(x, r"^[^:\-]*[:\-]", "")))
-    usable = F.filter(values, lambda v: explicit_foreign(v).isNull())
-    found = F.get(F.filter(F.transform(usable, india_text), lambda x: x.isNotNull()), 0)
-    padded = plain(description)
-    strong = either(padded.rlike(p) for p in DESCRIPTION_PHRASES)
-    by_line = F.struct(found["place"].alias("place"), F.concat(F.lit("description_location:"), found["evidence"]).alias("evidence"))
-    by_phrase = F.struct(F.when(padded.contains("remote"), "Remote").otherwise("India").alias("place"), F.lit("description_strong_india").alias("evidence"))
-    return F.when(found.isNotNull(), by_line).when(strong, by_phrase)
+    value, text = f"{prefix}value", f"{prefix}text"
+    df = df.withColumns({value: values, text: plain(F.col(column))}).withColumn(value, F.get(F.filter(F.col(value), _has_place), 0))
+    df = with_place(df, value, f"{prefix}v_")
+    strong = either(F.col(text).rlike(p) for p in DESCRIPTION_PHRASES)
+    found = F.col(f"{prefix}v_place")
+    df = df.withColumns(
+        {
+            f"{prefix}place": F.coalesce(found, F.when(strong, F.when(F.col(text).contains("remote"), "Remote").otherwise("India"))),
+            f"{prefix}why": F.when(found.isNotNull(), F.concat(F.lit("description_location:"), f"{prefix}v_why")).when(strong, "description_strong_india"),
+        }
+    )
+    return df.drop(value, text, *(f"{prefix}v_{x}" for x in ("pad", "india", "foreign", "place", "why")))
 
 
 def _walk(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,11 +208,9 @@ def structured_evidence(values: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.lower("path"), "[^a-z0-9]+", "")
     in_country = either(path.contains(k) for k in COUNTRY_KEYS)
     in_state = either(path.contains(k) for k in STATE_KEYS)
-    upper, foreign, text = F.upper(strip(F.col("value"))), explicit_foreign(F.col("value")), india_text(F.col("value"))
-    padded = plain(F.col("value"))
-    state = F.lit(None).cast("string")
-    for code, name in reversed(codes(STATE_CODES)):
-        state = F.when(upper == code, name).otherwise(state)
+    values = with_place(values, "value", "v_")
+    upper, foreign, padded = F.upper(strip(F.col("value"))), F.col("v_foreign"), F.col("v_pad")
+    state = F.get(F.filter(_pairs(codes(STATE_CODES)), lambda r: r["a"] == upper), 0)["n"]
     says_india = in_country & (upper.isin("IN", "IND", "INDIA") | padded.contains(" india ") | padded.contains(" bharat "))
     by_code = upper.rlike("^[A-Z]{2,3}$")
     rows = values.select(
@@ -203,7 +219,7 @@ def structured_evidence(values: DataFrame) -> DataFrame:
         F.when(says_india, F.concat("path", F.lit("=india"))).alias("india"),
         F.when(in_country & ~says_india, F.when(foreign.isNotNull(), F.concat("path", F.lit("="), foreign)).when(by_code, F.concat("path", F.lit("=country_code:"), upper))).alias("foreign"),
         F.when(~in_country & in_state & state.isNotNull(), F.struct(state.alias("place"), F.concat("path", F.lit("=state_code:"), upper).alias("evidence")))
-        .when(~in_country & foreign.isNull() & text.isNotNull(), F.struct(text["place"].alias("place"), F.concat("path", F.lit(":"), text["evidence"]).alias("evidence")))
+        .when(~in_country & foreign.isNull() & F.col("v_place").isNotNull(), F.struct(F.col("v_place").alias("place"), F.concat("path", F.lit(":"), "v_why").alias("evidence")))
         .alias("found"),
     )
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
@@ -217,24 +233,28 @@ def structured_evidence(values: DataFrame) -> DataFrame:
     )
 
 
-def classify(location: Column, description: Column, country_status: Column | None = None, country_evidence: Column | None = None, place: Column | None = None, place_evidence: Column | None = None) -> Column:
-    """struct(status, country_code, normalized, evidence). The structured columns come from structured_evidence."""
+def classify(df: DataFrame, location: str = "location", description: str = "description", structured: bool = False, prefix: str = "location_") -> DataFrame:
+    """Adds {prefix}status, country_code, normalized and evidence. With ``structured``, df has structured_evidence's columns."""
+    df = with_description_place(with_place(df, location, "_t_"), description, "_d_")
     null = F.lit(None).cast("string")
-    country_status, country_evidence, place, place_evidence = (null if c is None else c for c in (country_status, country_evidence, place, place_evidence))
-    text, foreign, told = india_text(location), explicit_foreign(location), description_place(description)
-    shown = F.coalesce(F.nullif(strip(location), F.lit("")), F.lit("Unknown"))
-    named = lambda p: F.when(p == "Remote", "Remote, India").when(p == "India", "India").otherwise(F.concat(p, F.lit(", India")))
-    made = lambda status, code, normal, why: F.struct(F.lit(status).alias("status"), F.lit(code).cast("string").alias("country_code"), normal.alias("normalized"), why.alias("evidence"))
-    vague = F.trim(plain(location)).isin("remote", "anywhere", "global", "worldwide", "multiple locations", "various locations")
-    at = lambda c: F.concat(F.lit("location:"), c)
-    return (
-        F.when(country_status == "foreign", made("foreign", None, shown, country_evidence))
-        .when(country_status == "india", made("india", "IN", named(F.coalesce(text["place"], F.lit("India"))), country_evidence))
-        .when(explicit_india(location), made("india", "IN", named(F.coalesce(text["place"], F.lit("India"))), at(F.coalesce(text["evidence"], F.lit("country")))))
-        .when(foreign.isNotNull(), made("foreign", None, shown, at(foreign)))
-        .when(text.isNotNull(), made("india", "IN", named(text["place"]), at(text["evidence"])))
-        .when(place.isNotNull(), made("india", "IN", named(place), place_evidence))
-        .when(told.isNotNull(), made("india", "IN", named(told["place"]), told["evidence"]))
-        .when(vague, made("unknown", None, shown, F.lit("remote_or_global_without_country")))
-        .otherwise(made("unknown", None, shown, F.lit("no_positive_india_evidence")))
+    country, evidence, place, why = (F.col(x) if structured else null for x in ("country_status", "country_evidence", "place", "place_evidence"))
+    india, foreign, shown_place, shown_why = (F.col(f"_t_{x}") for x in ("india", "foreign", "place", "why"))
+    told, told_why = F.col("_d_place"), F.col("_d_why")
+    vague = F.trim("_t_pad").isin("remote", "anywhere", "global", "worldwide", "multiple locations", "various locations")
+    # the first rule that holds, by number: country field, country in text, foreign in text, place, field, description
+    rule = F.when(country == "foreign", 1).when(country == "india", 2).when(india, 3).when(foreign.isNotNull(), 4).when(shown_place.isNotNull(), 5).when(place.isNotNull(), 6).when(told.isNotNull(), 7).otherwise(8)
+    df = df.withColumn("_rule", rule)
+    rule = F.col("_rule")
+    chosen = F.when(rule.isin(2, 3, 5), F.coalesce(shown_place, F.lit("India"))).when(rule == 6, place).when(rule == 7, told)
+    df = df.withColumn("_chosen", chosen)
+    chosen, at = F.col("_chosen"), lambda x: F.concat(F.lit("location:"), x)
+    full = F.when(chosen == "Remote", "Remote, India").when(chosen == "India", "India").otherwise(F.concat(chosen, F.lit(", India")))
+    df = df.withColumns(
+        {
+            f"{prefix}status": F.when(rule.isin(1, 4), "foreign").when(rule == 8, "unknown").otherwise("india"),
+            f"{prefix}country_code": F.when(rule.isin(2, 3, 5, 6, 7), "IN"),
+            f"{prefix}normalized": F.when(chosen.isNotNull(), full).otherwise(F.coalesce(F.nullif(strip(F.col(location)), F.lit("")), F.lit("Unknown"))),
+            f"{prefix}evidence": F.when(rule.isin(1, 2), evidence).when(rule.isin(3, 5), at(F.coalesce(shown_why, F.lit("country")))).when(rule == 4, at(foreign)).when(rule == 6, why).when(rule == 7, told_why).when(vague, "remote_or_global_without_country").otherwise("no_positive_india_evidence"),
+        }
     )
+    return df.drop("_rule", "_chosen", *(f"_t_{x}" for x in ("pad", "india", "foreign", "place", "why")), "_d_place", "_d_why")

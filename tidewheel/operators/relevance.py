@@ -153,19 +153,18 @@ def score(postings: DataFrame) -> DataFrame:
 
 def apply_location_policy(scored: DataFrame) -> DataFrame:
     """The classified location replaces the coarse one; what isn't in the target country is filtered, whatever the reason before."""
-    out = scored.withColumn("_class", classify(F.col("location"), F.col("description")))
-    outside = F.col("_class.status") != "india"
-    why = F.when(F.col("_class.status") == "foreign", "location_outside_target").otherwise("location_unverified_india")
+    out = classify(scored)
+    outside = F.col("location_status") != "india"
+    why = F.when(F.col("location_status") == "foreign", "location_outside_target").otherwise("location_unverified_india")
     return out.withColumns(
         {
-            "normalized_location": F.col("_class.normalized"),
-            "location_status": F.col("_class.status"),
+            "normalized_location": F.col("location_normalized"),
             "hard_filtered": F.col("hard_filtered") | outside,
             "is_relevant": F.col("is_relevant") & ~outside,
             "relevance_status": F.when(outside, "filtered").otherwise(F.col("relevance_status")),
             "filter_reason": F.when(outside, why).otherwise(F.col("filter_reason")),
         }
-    ).drop("_class")
+    ).drop("location_normalized", "location_country_code")
 
 
 KEY = ["company_id", "external_id"]

@@ -125,7 +125,8 @@ def skill_points(skills, cap: float) -> str:
     parts = []
     for _, aliases, w in skills:
         parts.append(f"CASE WHEN {any_of('nreq', aliases)} THEN {int(w * 1000)} WHEN {any_of('npref', aliases)} THEN {int(w * 550)} WHEN {any_of('nfull', aliases)} THEN {int(w * 850)} ELSE 0 END")
-    return f"least(CAST({cap} AS DOUBLE), round_even(({' + '.join(parts)}) / 1000.0::DOUBLE, 2))"
+    n = f"({' + '.join(parts)})"  # thousandths; to hundredths, halves to even
+    return f"least(CAST({cap} AS DOUBLE), ({n} // 10 + CASE WHEN {n} % 10 > 5 OR ({n} % 10 = 5 AND ({n} // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE)"
 
 
 def points(most: float, *parts) -> str:
