@@ -78,7 +78,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     target = urljoin(url or "", a["href"])
                 except ValueError:
                     continue
-                heads = [min(over["heads"])[1] for over in a["over"] if over["heads"]]
+                heads = [text for over in a["over"] for tag in ("h1", "h2", "h3", "h4", "h5") for text in [t for t_, t in over["heads"] if t_ == tag][:1]]
                 out.append((page_id, i, a["href"], target, joined(a["node"]["text"]), joined(a["around"]["text"]), heads))
         yield pd.DataFrame(out, columns=["page_id", "ord", "href", "target", "label", "context", "headings"])
 
