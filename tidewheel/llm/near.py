@@ -107,10 +107,18 @@ def compare_sets(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v", "sig_u", "sig_v").mapInArrow(_confirm(threshold), "u long, v long, linked boolean")
 
 
-def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, threshold: int, compare=compare_sets) -> DataFrame:
-    """(node, root) of the components; threshold in hundredths. ``compare`` confirms pairs, as compare_sets does."""
+def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, threshold: int, compare=compare_sets, once: bool = True) -> DataFrame:
+    """(node, root) of the components; threshold in hundredths. ``compare`` confirms pairs, as compare_sets does.
+
+    With ``once`` a node carries its buckets, and a pair is compared in the least bucket that both share only: that
+    bucket stays open until they are in one component or one of them has been its pivot.
+    """
     able = stats.where(f"100 * (n - rare) >= {threshold} * n")
-    members = ws.save(held.join(able, "node").select("bucket", "node", "n", "rare"), "members-0")
+    kept = held.join(able, "node")
+    if once:  # a node has as many buckets as there are bands at most
+        kept = kept.join(kept.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("own")), "node")
+    carried = ["bucket", "node", "n", "rare", *["own"] * once]
+    members = ws.save(kept.select(*carried), "members-0")
     roots = links = tried = None
     number = 0
     while True:
@@ -119,22 +127,24 @@ def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, thre
         else:
             labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # the least edited, and of those another one in each bucket
-        best = F.min(F.struct("rare", F.col("node").bitwiseXOR(F.col("bucket")).alias("mark"), "node", "n"))
+        best = F.min(F.struct("rare", F.col("node").bitwiseXOR(F.col("bucket")).alias("mark"), "node", "n", *["own"] * once))
         by_root = labelled.groupBy("bucket", "root").agg(F.count("*").alias("c"), best.alias("p"))
         if roots is None:
             pivots = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min("p").alias("p")).where("roots > 1").withColumn("root", F.col("p.node"))
         else:
             open_ = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).where("roots > 1")
             pivots = by_root.join(open_, "bucket").where("root != largest")
-        pivots = ws.save(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("p.n").alias("pn"), F.col("p.rare").alias("prare")), f"pivots-{number}")
+        pivots = ws.save(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("p.n").alias("pn"), F.col("p.rare").alias("prare"), *[F.col("p.own").alias("pown")] * once), f"pivots-{number}")
         if roots is not None and pivots.isEmpty():
             return roots
         bound = f"100 * least(n - rare, pn - prare) >= {threshold} * greatest(n + prare, pn + rare)"
+        if once:
+            bound += " and bucket = array_min(array_intersect(own, pown))"
         pairs = labelled.join(pivots, "bucket").where(f"root != pivot_root and {bound}").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         compared = ws.save(compare(pairs, sets, threshold), f"compared-{number}")
-        still = labelled.select("bucket", "node", "n", "rare").join(pivots.select("bucket").distinct(), "bucket", "left_semi")
+        still = labelled.select(*carried).join(pivots.select("bucket").distinct(), "bucket", "left_semi")
         members = ws.save(still.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"members-{number + 1}")
         ws.drop(f"members-{number}", f"pivots-{number}")
         passed, seen = compared.where("linked").select("u", "v"), compared.select("u", "v")

@@ -43,6 +43,8 @@ from tidewheel.llm.shingles import mix, powers, prefix_hash
 LENGTH, COVER = 400, 2
 #: Text bytes that a task sorts as one chunk, and packed bytes that a bucket holds, about.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 48 << 20
+#: So many tasks sort at least; what a bucket holds then also stays small where the input is.
+LEAST_BUCKETS = 32
 #: Bytes whose running hashes are held at once; longer texts are hashed in stretches.
 STRETCH = 4 << 20
 
@@ -215,7 +217,7 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", length: int = LE
         found[:, 1] = np.minimum(found[:, 1], size - length + 1)
         return found[found[:, 0] < found[:, 1]]
 
-    buckets = max(8, int(total * len(residues) / v * 11 / bucket_bytes))
+    buckets = max(LEAST_BUCKETS, int(total * len(residues) / v * 11 / bucket_bytes))
     ranks = ws.save(_repeats(texts, length - v + 1, sample, open_starts, buckets, chunk_bytes), "open")
 
     def named(batch, i, size):
@@ -225,7 +227,7 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", length: int = LE
         return merged(p, p + length)
 
     # about a sixth of natural text stays open; at worst, all of it, in larger buckets
-    buckets = max(8, int(total / 6 * 11 / bucket_bytes))
+    buckets = max(LEAST_BUCKETS, int(total / 6 * 11 / bucket_bytes))
     removed = ws.save(_repeats(texts.join(ranks, "key"), length, named, covered, buckets, chunk_bytes), "removed")
     return removed
 
