@@ -121,6 +121,29 @@ SELECT raw.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesc
 FROM raw LEFT JOIN cut USING (doc_id)
 """
 
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') END AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), met AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM met JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * m >= 85 * (a.n + b.n - m)
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, e.v FROM reach r JOIN both_ways e ON r.v = e.u
+), least_of AS (
+  SELECT u, min(v) AS c FROM reach GROUP BY 1
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN least_of ON d.doc_id = u
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_minhash": OP7_SQL}
