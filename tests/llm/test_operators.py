@@ -277,6 +277,19 @@ def test_image_copies(spark):
     assert len({got[2 * i] for i in range(40)}) == 40
 
 
+def test_table_keys_against_each_point():
+    rng = np.random.default_rng(4)
+    points, codes = rng.random((300, 4)), rng.integers(0, 256, (300, media.BITS // 8), dtype=np.uint8)
+    parts, want = codes.view("<u8"), set()
+    for i in range(300):
+        near_by = sorted((j for j in range(300) if j != i), key=lambda j: (((points[i, :2] - points[j, :2]) ** 2).sum(), j))
+        for t in range(media.TABLES):
+            own, other = media.mix(parts[i, t : t + 1]), media.mix(parts[near_by[t % media.NEIGHBOURS], t : t + 1])
+            want.add(int(media.mix(own + other * np.uint64(3) + np.uint64(t + 1)).view(np.int64)[0]))
+    assert set(media.table_keys(points, codes).tolist()) == want
+    assert not len(media.table_keys(points[:2], codes[:2])) and not len(media.table_keys(points[:0], codes[:0]))
+
+
 def test_pipeline_on_odd_rows(spark, docs, tmp_path):
     spark.createDataFrame([(r, int(r % 9 > 0), 0) for r in range(101)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "fan fan fan")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
