@@ -111,3 +111,26 @@ def window_verdict(before: DataFrame, produced: DataFrame, after: DataFrame, key
     stable = F.col("b").isNotNull() & F.col("a").isNotNull()
     out = all_.groupBy(board).agg(F.count_if(stable).alias("stable"), F.count_if(stable & F.col("p").isNull()).alias("missing"), F.count_if(F.col("p").isNotNull() & F.col("b").isNull() & F.col("a").isNull()).alias("extra"))
     return out.withColumn("verdict", F.when((F.col("missing") == 0) & (F.col("extra") == 0), "PASS").otherwise("FAIL"))
+
+
+def window_marks(snapshots: DataFrame, board: str, id_col: str, run: str) -> DataFrame:
+    """(board, run, id, before, produced, after): the ids of every three consecutive runs of a board, by the middle one,
+    and in which of the three they stand. Rows without a run are in none."""
+    rows = snapshots.where(F.col(run).isNotNull()).select(board, id_col, run).distinct()
+    order = Window.partitionBy(board).orderBy(run)
+    # one row a board and run; the first and last run of a board are the middle of nothing
+    runs = rows.select(board, run).distinct().withColumns({"earlier": F.lag(run).over(order), "later": F.lead(run).over(order)})
+    middles = runs.where("earlier is not null and later is not null").select(board, run)
+    near = rows.join(runs, [board, run])
+    place = lambda at, name: F.struct(at.alias("at"), *((F.lit(1) if x == name else F.lit(0)).alias(x) for x in ("before", "produced", "after")))
+    spread = near.select(board, id_col, F.inline(F.array(place(F.col("later"), "before"), place(F.col(run), "produced"), place(F.col("earlier"), "after")))).withColumnRenamed("at", run)
+    marks = spread.groupBy(board, run, id_col).agg(*((F.max(x) == 1).alias(x) for x in ("before", "produced", "after")))
+    return marks.join(middles, [board, run], "left_semi")
+
+
+def window_verdicts(marks: DataFrame, board: str, run: str) -> DataFrame:
+    """(board, run, stable, missing, extra, verdict) of window_marks: window_verdict for each window."""
+    stable = F.col("before") & F.col("after")
+    counts = {"stable": stable, "missing": stable & ~F.col("produced"), "extra": F.col("produced") & ~F.col("before") & ~F.col("after")}
+    out = marks.groupBy(board, run).agg(*(F.count_if(when).alias(name) for name, when in counts.items()))
+    return out.withColumn("verdict", F.when((F.col("missing") == 0) & (F.col("extra") == 0), "PASS").otherwise("FAIL"))

@@ -624,6 +624,42 @@ def symmetric(spark, sf_dir):
     return x.exceptAll(y).unionByName(y.exceptAll(x)).groupBy("company_id").agg(F.count("*").alias("n"))
 
 
+_EVERY = f"""WITH {O.SNAPSHOTS}, n AS (SELECT *, dense_rank() OVER (PARTITION BY company_id ORDER BY run) AS k FROM snapshots WHERE run IS NOT NULL),
+    w AS (SELECT DISTINCT company_id, run, k FROM n WHERE k > 1 AND k < (SELECT max(k) FROM n m WHERE m.company_id = n.company_id)),
+    b AS (SELECT w.company_id, w.run, external_id FROM w JOIN n ON n.company_id = w.company_id AND n.k = w.k - 1),
+    p AS (SELECT w.company_id, w.run, external_id FROM w JOIN n ON n.company_id = w.company_id AND n.k = w.k),
+    a AS (SELECT w.company_id, w.run, external_id FROM w JOIN n ON n.company_id = w.company_id AND n.k = w.k + 1),
+    s AS (SELECT * FROM b INTERSECT SELECT * FROM a), miss AS (SELECT * FROM s EXCEPT SELECT * FROM p), extra AS (SELECT * FROM p EXCEPT SELECT * FROM b EXCEPT SELECT * FROM a)"""
+
+
+def _marks(spark, sf_dir):
+    return health.window_marks(V.snapshots(spark, sf_dir), "company_id", "external_id", "run")
+
+
+@query(
+    "rcn04_window_verdict_all",
+    f"""{_EVERY}, c AS (SELECT company_id, run, (SELECT count(*) FROM s WHERE s.company_id = w.company_id AND s.run = w.run) AS stable, (SELECT count(*) FROM miss m WHERE m.company_id = w.company_id AND m.run = w.run) AS missing,
+    (SELECT count(*) FROM extra x WHERE x.company_id = w.company_id AND x.run = w.run) AS extra FROM w) SELECT *, CASE WHEN missing = 0 AND extra = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c""",
+)
+def window_verdict_all(spark, sf_dir):
+    return health.window_verdicts(_marks(spark, sf_dir), "company_id", "run")
+
+
+@query("set01_stable_all", f"{_EVERY} SELECT * FROM s")
+def stable_all(spark, sf_dir):
+    return _marks(spark, sf_dir).where("before and after").select("company_id", "run", "external_id")
+
+
+@query("set02_missing_all", f"{_EVERY} SELECT * FROM miss")
+def missing_all(spark, sf_dir):
+    return _marks(spark, sf_dir).where("before and after and not produced").select("company_id", "run", "external_id")
+
+
+@query("set03_symmetric_all", f"{_EVERY} SELECT company_id, run, count(*) AS n FROM ((SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL (SELECT * FROM a EXCEPT SELECT * FROM b)) GROUP BY 1, 2")
+def symmetric_all(spark, sf_dir):
+    return _marks(spark, sf_dir).where("before != after").groupBy("company_id", "run").agg(F.count("*").alias("n"))
+
+
 @query("set05_ordered_union", f"WITH {O.SNAPSHOTS}, f AS (SELECT company_id, external_id, content, min(run) AS r FROM snapshots GROUP BY ALL) SELECT company_id, external_id, string_agg(content, ',' ORDER BY r, content) AS contents FROM f GROUP BY ALL")
 def ordered_union(spark, sf_dir):
     firsts = V.snapshots(spark, sf_dir).groupBy(*KEY, "content").agg(F.min("run").alias("r"))
