@@ -6,8 +6,8 @@ and returns the columns of ``documents``; the last one returns the tokens.
 1. quality: the line CRF is fitted on the given labels; documents scoring under
    the threshold go, empty ones among them.
 2. lines: lines within one word of an earlier one go, and ``n_chars`` follows.
-3. near: one document of each near-duplicate group stays; documents left
-   without words are linked with nothing and stay.
+3. near: one document of each group linked by a similarity of 0.8 or more
+   stays; documents left without words are linked with nothing and stay.
 4. benchmark: documents that hold a ten-word window of a benchmark item go.
 5. tokens: doc_id, lang, source, n_tokens, ids and the digest of the decoded
    text of every document.
@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from tidewheel.llm import bpe, crf_quality, decontaminate, line_dedup, minhash
 from tidewheel.llm.queries import tokenizer_path
 
+#: Hundredths of Jaccard similarity from which documents are linked; a pair at it shares none of 40 bands of 6 minima with
+#: a probability of 5e-6.
+NEAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return crf_quality.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -31,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, threshold=NEAR, bands=40, rows=6)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,9 +92,9 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, *, threshold: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, *, threshold: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of docs that stay: one of each component (a repeated row goes too), and those linked with nothing."""
-    found = near_components(docs, threshold=threshold).where("n_shingles > 0 and doc_id <=> component_id").select("doc_id", "node").distinct()
+    found = near_components(docs, threshold=threshold, bands=bands, rows=rows).where("n_shingles > 0 and doc_id <=> component_id").select("doc_id", "node").distinct()
     node, mark = fresh(docs, "node"), fresh(docs, "first")
     keyed = docs.withColumn(node, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     kept = found.withColumnsRenamed({"doc_id": mark, "node": node})
