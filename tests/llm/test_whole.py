@@ -2,8 +2,13 @@
 
 import random
 
+import duckdb
+
 import corpus_pipeline
 from tests.llm import brute
+from tidewheel.llm import line_dedup, queries
+
+DATA = "/root/testdata/sf0.001"
 
 
 def changed(base, at):
@@ -22,3 +27,29 @@ def test_pipeline_near_links_from_four_fifths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i for i, root in enumerate(brute.components(sets, 80)) if root == i}
     assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == want
+
+
+def test_pipeline_lines_compare_every_line(spark):
+    """Short lines go if equal only, lines of six words or more if within a word, blank ones never; against brute force."""
+    long = "one two three four five six seven"
+    texts = ["Released under the MIT License.\n\n版权所有\nall rights", f"released UNDER the  MIT License.\n \n{long}", f"版权所有\n\nReleased under the BSD License.\n{long} eight\nall rights\nx", "x\nX", "alpha beta gamma delta eps", "alpha beta gamma delta eps zeta", None]
+    gone, earlier = {}, []
+    for i, t in enumerate(texts):
+        for n, line in enumerate((t or "").split("\n")):
+            ws = brute.words(line)
+            if any(ws == e or min(len(ws), len(e)) >= 6 and brute.within_one(ws, e) for e in earlier):
+                gone.setdefault(i, set()).add(n)
+            if ws:
+                earlier.append(ws)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ())) for i, t in enumerate(texts)}
+    assert gone == {1: {0}, 2: {0, 3, 4}, 3: {0, 1}}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == want
+
+
+def test_every_line_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    columns = ["doc_id", "n_lines", "n_removed", "kept_sha256"]
+    got = line_dedup.report_every(spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(con.execute(queries.OP5_EVERY_SQL).fetchall())

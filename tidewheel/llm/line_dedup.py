@@ -37,8 +37,9 @@ from tidewheel.llm.shingles import mix, powers
 MIN_WORDS = 6
 
 
-def _halves(min_words: int):
-    """Each line of a batch of texts: its node and the keys of its halves, if it were the longer or the shorter one."""
+def _halves(min_words: int, edit_words: int):
+    """Each line of a batch of texts: its node and, from edit_words words, the keys of its halves, if it were the longer
+    or the shorter one."""
     names = ["doc_id", "tk", "line", "node", "k1", "k2", "k3", "k4"]
 
     def scan(batches):
@@ -51,7 +52,8 @@ def _halves(min_words: int):
                     continue
                 a, b, n = lines.cuts[at], lines.cuts[at + 1], lines.sizes[at]
                 keys = [mix(lines.value(x, y) + (y - x).astype(np.uint64) * np.uint64(k)) for m in (n // 2, (n + 1) // 2) for x, y, k in ((a, a + m, 3), (b - m, b, 5))]
-                for col, values in zip(cols, ([doc_id] * len(at), [tk] * len(at), at.tolist(), lines.nodes()[at].view(np.int64).tolist(), *(k.view(np.int64).tolist() for k in keys)), strict=True):
+                keys = [np.where(n < edit_words, None, k.view(np.int64)).tolist() for k in keys]
+                for col, values in zip(cols, ([doc_id] * len(at), [tk] * len(at), at.tolist(), lines.nodes()[at].view(np.int64).tolist(), *keys), strict=True):
                     col.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if name == "line" else pa.int64()) for c, name in zip(cols, names, strict=True)], names)
 
@@ -97,14 +99,15 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(ok, pa.bool_()))], ["node"])
 
 
-def kept_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(node, first): the lines of at least min_words words that stay, by their places."""
+def kept_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, edit_words: int = MIN_WORDS) -> DataFrame:
+    """(node, first): the lines of at least min_words words that stay, by their places. Those of fewer than edit_words are
+    compared for equality only."""
     ws = Workspace(docs.sparkSession, "line-dedup")
     texts = source(docs, id_col, text_col)
-    halves = texts.mapInArrow(_halves(min_words), "doc_id long, tk long, line int, node long, k1 long, k2 long, k3 long, k4 long")
+    halves = texts.mapInArrow(_halves(min_words, edit_words), "doc_id long, tk long, line int, node long, k1 long, k2 long, k3 long, k4 long")
     keys = ["k1", "k2", "k3", "k4"]
     lines = ws.save(halves.groupBy("node", *keys).agg(F.min(F.struct("doc_id", "tk", "line")).alias("first")), "lines")
-    by_key = lines.select("node", F.explode(F.array(*keys)).alias("k"))
+    by_key = lines.select("node", F.explode(F.array(*keys)).alias("k")).where("k is not null")
     shared = by_key.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("k")
     open_nodes = by_key.join(shared, "k", "left_semi").select("node").distinct()
     open_lines = ws.save(lines.select("node", "first").join(open_nodes, "node"), "open")
@@ -137,13 +140,22 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document."""
-    out = dedup_lines(docs.select("doc_id", "text"), out="d")
+    return _report(dedup_lines(docs.select("doc_id", "text"), out="d"))
+
+
+def report_every(docs: DataFrame) -> DataFrame:
+    """One row per document, every line that isn't blank compared."""
+    return _report(dedup_lines(docs.select("doc_id", "text"), min_words=1, out="d"))
+
+
+def _report(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("d.n_lines").alias("n_lines"), F.size("d.removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("d.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def replace_text(docs: DataFrame) -> DataFrame:
-    """``docs`` with the texts that stay, and n_chars, where there is such a column, to match."""
-    out = dedup_lines(docs)
+    """``docs`` with the texts that stay, every line that isn't blank compared, and n_chars, where there is such a column,
+    to match."""
+    out = dedup_lines(docs, min_words=1)
     dedup = out.columns[-1]
     texts = {c: F.col(dedup)["text"] if c == "text" else F.length(F.col(dedup)["text"]).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c) for c in docs.columns}
     return out.select(*(v.alias(c) for c, v in texts.items()))
