@@ -17,6 +17,9 @@ the earliest line of a key is needed, so keys are aggregates, and no pairs of
 the lines of a key are made. The word sequences of each line and its earliest
 partner are compared before the line goes.
 
+Lines are copies if two hashes of their words agree, of 61 bits each, modulo a
+prime.
+
 Defined cases: null texts stay null, empty ones empty; short and blank lines
 stay; a text that loses all its lines becomes empty; rows alike in id and text
 share one fate, so a repeated row keeps what its twin keeps; rows without an id
@@ -31,31 +34,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import Workspace
-from tidewheel.llm.lines import Lines, at_places, source, take_out
-from tidewheel.llm.shingles import mix, powers
+from tidewheel.llm.lines import Texts, at_places, slices, source, take_out
+from tidewheel.llm.shingles import fold, minus, mix, powers, prefix, times
 
 MIN_WORDS = 6
 
 
 def _halves(min_words: int, edit_words: int):
-    """Each line of a batch of texts: its node and, from edit_words words, the keys of its halves, if it were the longer
-    or the shorter one."""
-    names = ["doc_id", "tk", "line", "node", "k1", "k2", "k3", "k4"]
+    """Each line of a batch of texts: its two hashes and, from edit_words words, the keys of its halves, if it were the
+    longer or the shorter one."""
+    names = ["doc_id", "tk", "line", "node", "other", "k1", "k2", "k3", "k4"]
 
     def scan(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for doc_id, tk, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tk", "text")), strict=True):
-                lines = Lines(text)
+            for part, texts in slices(batch):
+                lines = Texts(texts)
                 at = np.flatnonzero(lines.sizes >= min_words)
-                if not len(at):
-                    continue
-                a, b, n = lines.cuts[at], lines.cuts[at + 1], lines.sizes[at]
+                a, b = lines.cuts[at], lines.cuts[at + 1]
+                n = b - a
                 keys = [mix(lines.value(x, y) + (y - x).astype(np.uint64) * np.uint64(k)) for m in (n // 2, (n + 1) // 2) for x, y, k in ((a, a + m, 3), (b - m, b, 5))]
-                keys = [np.where(n < edit_words, None, k.view(np.int64)).tolist() for k in keys]
-                for col, values in zip(cols, ([doc_id] * len(at), [tk] * len(at), at.tolist(), lines.nodes()[at].view(np.int64).tolist(), *keys), strict=True):
-                    col.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if name == "line" else pa.int64()) for c, name in zip(cols, names, strict=True)], names)
+                text, number = lines.place(at)
+                ids = [part.column(c).take(pa.array(text)) for c in ("doc_id", "tk")]
+                hashes = [pa.array(x.view(np.int64)) for x in (lines.nodes(a, b), lines.checks(a, b))]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(number, pa.int32()), *hashes, *(pa.array(k.view(np.int64), mask=n < edit_words) for k in keys)], names)
 
     return scan
 
@@ -65,7 +66,7 @@ def _words(batches):
     for batch in batches:
         nodes, words = [], []
         for text, some, lines in zip(*(batch.column(c).to_pylist() for c in ("text", "nodes", "lines")), strict=True):
-            all_lines = Lines(text)
+            all_lines = Texts([text])
             for node, line in zip(some, lines, strict=True):
                 nodes.append(node)
                 words.append(all_lines.words[all_lines.cuts[line] : all_lines.cuts[line + 1]].astype("<u8").tobytes())
@@ -73,14 +74,20 @@ def _words(batches):
 
 
 def _variants(batches):
-    """(node, variant, gap): the line itself (gap -1), and without its word number gap."""
+    """(node, variant, gap): each line itself (gap -1), and without its word number gap."""
     for batch in batches:
-        for node, raw in zip(batch.column("node").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            words = np.frombuffer(raw, "<u8")
-            ahead, back = powers(len(words))
-            h = np.concatenate(([np.uint64(0)], np.cumsum(words * ahead[: len(words)], dtype=np.uint64)))
-            variants = mix(np.concatenate((h[-1:], h[:-1] + (h[-1] - h[1:]) * back[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(variants), node)), pa.array(variants.view(np.int64)), pa.array(np.arange(-1, len(words), dtype=np.int32))], ["node", "variant", "gap"])
+        for first in range(0, batch.num_rows, 1024):
+            part = batch.slice(first, 1024)
+            raw = part.column("words").to_pylist()
+            nodes, sizes = part.column("node").to_numpy(), np.array([len(x) // 8 for x in raw])
+            begin = np.concatenate(([0], np.cumsum(sizes)))
+            line = np.repeat(np.arange(len(raw)), sizes)
+            word = np.arange(begin[-1])
+            gap = word - begin[line]
+            h = prefix(fold(np.frombuffer(b"".join(raw), "<u8")), gap)
+            shorter = fold(minus(h[word], h[begin[line]]) + times(minus(h[begin[line + 1]], h[word + 1]), powers(1)[1][1]))
+            variants = mix(np.concatenate((minus(h[begin[1:]], h[begin[:-1]]), shorter)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((nodes, nodes[line]))), pa.array(variants.view(np.int64)), pa.array(np.concatenate((np.full(len(raw), -1), gap)), pa.int32())], ["node", "variant", "gap"])
 
 
 def _within_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -104,9 +111,9 @@ def kept_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     compared for equality only."""
     ws = Workspace(docs.sparkSession, "line-dedup")
     texts = source(docs, id_col, text_col)
-    halves = texts.mapInArrow(_halves(min_words, edit_words), "doc_id long, tk long, line int, node long, k1 long, k2 long, k3 long, k4 long")
+    halves = texts.mapInArrow(_halves(min_words, edit_words), "doc_id long, tk long, line int, node long, other long, k1 long, k2 long, k3 long, k4 long")
     keys = ["k1", "k2", "k3", "k4"]
-    lines = ws.save(halves.groupBy("node", *keys).agg(F.min(F.struct("doc_id", "tk", "line")).alias("first")), "lines")
+    lines = ws.save(halves.groupBy("node", "other", *keys).agg(F.min(F.struct("doc_id", "tk", "line")).alias("first")), "lines")
     by_key = lines.select("node", F.explode(F.array(*keys)).alias("k")).where("k is not null")
     shared = by_key.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("k")
     open_nodes = by_key.join(shared, "k", "left_semi").select("node").distinct()

@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewheel.llm.common import Workspace, fresh
-from tidewheel.llm.near import candidates, link, rarity
-from tidewheel.llm.shingles import MinHash, shingle_set
+from tidewheel.llm.lines import Texts, slices
+from tidewheel.llm.near import SETS, candidates, link, rarity, set_rows
+from tidewheel.llm.shingles import MinHash
 
 BANDS, ROWS = 40, 8
 
@@ -37,9 +37,8 @@ def _banded(bands: int, rows: int):
     def scan(batches):
         family = MinHash(bands, rows)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+            for part, texts in slices(batch):
+                sets = Texts(texts).sets()
                 full = [i for i, s in enumerate(sets) if len(s)]
                 values = iter(family.band_values(family.minima([sets[i] for i in full])).tolist())
                 found = [next(values) if len(s) else [] for s in sets]
@@ -49,20 +48,15 @@ def _banded(bands: int, rows: int):
 
 
 def full_sets(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(node, n, set, sig) from (node, text): sorted 64-bit shingles, and a byte of each minimum."""
+    """(node, n, set, sig, bits) from (node, text); see :func:`tidewheel.llm.near.set_rows`."""
 
     def scan(batches):
         family = MinHash(bands, rows)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(t) for t in part.column("text").to_pylist()]
-                sigs = (family.minima(sets) >> np.uint64(32)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], ["node", "n", "set", "sig"]
-                )
+            for part, some in slices(batch):
+                yield set_rows(part.column("node"), Texts(some).sets(), family)
 
-    return texts.mapInArrow(scan, T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("sig", T.BinaryType())]))
+    return texts.mapInArrow(scan, SETS)
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -76,7 +70,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = held.select("node").distinct().join(firsts, "node")
     texts = source.join(wanted, (source["node"] == wanted["node"]) & source["doc_id"].eqNullSafe(wanted["first"])).select(source["node"], "text").dropDuplicates(["node"])
     sets = ws.save(full_sets(texts, bands, rows), "sets")
-    roots = link(ws, held, sets, rarity(ws, sets), threshold)
+    roots = link(ws, held, sets, rarity(ws, sets), threshold, words=-(-bands * rows // 64))
     of_root = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_root.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = ws.save(of_root.join(least, "root").select("node", "component_id"), "by_node")

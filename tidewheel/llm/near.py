@@ -3,20 +3,25 @@
 Nodes are distinct texts. Nodes that share a band value form a bucket. Each
 round, every bucket that still holds nodes of several components names pivots,
 and each pivot is compared with the nodes of other components in the bucket,
-then leaves it. The first round has one pivot a bucket, which links the bulk of
-a group of copies by stars; later rounds have one pivot for each component but
+then leaves it. The first round has one pivot a bucket, the least edited node
+and so mostly the same one in all buckets of a group of copies, which links the
+bulk of the group by stars; later rounds have one pivot for each component but
 the largest, so a bucket ends when its nodes are in one component or each of
 them has been compared with all the others. That finds every component of the
 graph of candidate links, exactly.
 
-Which pairs are compared at all is bounded by what no other candidate has: of n
-shingles, ``rare`` are in one candidate only, so two sets of sizes n and m share
-``min(n - rare_n, m - rare_m)`` at most and have ``max(n + rare_m, m + rare_n)``
-together at least. Each edit of a copy makes rare shingles, so within a large
-group of edited copies nearly all pairs that the bound lets through do link.
-Pivots are the least edited nodes. Pairs are then confirmed on signatures, and
-on full sets. Components come from alternating large-star and small-star steps
-over the links found so far.
+Which pairs are compared at all is bounded twice. By what no other candidate
+has: of n shingles, ``rare`` are in one candidate only, so two sets of sizes n
+and m share ``min(n - rare_n, m - rare_m)`` at most and have ``max(n + rare_m,
+m + rare_n)`` together at least. Each edit of a copy makes rare shingles, so
+within a large group of edited copies nearly all pairs that the bound lets
+through do link. And by one-bit signatures that lie in the bucket's rows: a
+pair whose bits differ more than ``SIGMAS`` standard deviations beyond the
+threshold's expectation isn't made. Pairs are then confirmed on full sets.
+
+Components come from alternating large-star and small-star steps over each
+round's links, contracted to the roots of the rounds before, so a later round
+costs what it finds, not what all of them have found.
 
 Every step is a join or an aggregate by key that Spark can combine before the
 shuffle or split when a key is hot; no step holds a bucket or a component in
@@ -31,7 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import Workspace
+from tidewheel.llm.shingles import MinHash, signatures
 
+SETS = "node long, n long, set binary, sig binary, bits array<long>"
 #: How many standard deviations below the threshold a signature may lie before the pair is dropped unseen.
 SIGMAS = 6
 
@@ -65,7 +72,7 @@ def candidates(ws: Workspace, banded: DataFrame) -> DataFrame:
 
 
 def rarity(ws: Workspace, sets: DataFrame) -> DataFrame:
-    """(node, n, rare) of (node, n, set): the size, and how many of the shingles no other set has."""
+    """(node, n, rare, bits) of ``SETS``: the size, and how many of the shingles no other set has."""
 
     def spread(batches):
         for batch in batches:
@@ -76,8 +83,24 @@ def rarity(ws: Workspace, sets: DataFrame) -> DataFrame:
 
     alone = sets.select("node", "set").mapInArrow(spread, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     rare = alone.groupBy("node").agg(F.count("*").alias("rare"))
-    stats = ws.save(sets.select("node", "n").join(rare, "node", "left").select("node", "n", F.coalesce("rare", F.lit(0)).alias("rare")), "rarity")
-    return stats
+    return ws.save(sets.select("node", "n", "bits").join(rare, "node", "left").select("node", "n", F.coalesce("rare", F.lit(0)).alias("rare"), "bits"), "rarity")
+
+
+def _bits_apart(threshold: int, n: int) -> int:
+    """Of n bits, how many may differ in a pair at the threshold."""
+    p = (1 - threshold / 100) / 2
+    return int(n * p + SIGMAS * np.sqrt(n * p * (1 - p)))
+
+
+def set_rows(nodes, sets: list[np.ndarray], family: MinHash) -> pa.RecordBatch:
+    """Rows of ``SETS``: sorted 64-bit shingles, and a byte and a bit of each minimum. An empty set has no signature."""
+    full = [i for i, s in enumerate(sets) if len(s)]
+    sig: list = [None] * len(sets)
+    bits: list = [None] * len(sets)
+    for i, a, b in zip(full, *signatures(family.minima([sets[i] for i in full])), strict=True):
+        sig[i], bits[i] = a, b
+    columns = [nodes, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array(sig, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["node", "n", "set", "sig", "bits"])
 
 
 def _confirm(threshold: int):
@@ -107,47 +130,49 @@ def compare_sets(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v", "sig_u", "sig_v").mapInArrow(_confirm(threshold), "u long, v long, linked boolean")
 
 
-def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, threshold: int, compare=compare_sets, once: bool = True) -> DataFrame:
-    """(node, root) of the components; threshold in hundredths. ``compare`` confirms pairs, as compare_sets does.
+def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, threshold: int, compare=compare_sets, words: int = 0) -> DataFrame:
+    """(node, root) of the components; threshold in hundredths. ``compare`` confirms pairs, as compare_sets does;
+    ``words`` is the length of the signatures in ``bits`` of stats.
 
-    With ``once`` a node carries its buckets, and a pair is compared in the least bucket that both share only: that
-    bucket stays open until they are in one component or one of them has been its pivot.
+    A node carries its buckets, and a pair is compared in the least bucket that both share only: that bucket stays
+    open until they are in one component or one of them has been its pivot.
     """
     able = stats.where(f"100 * (n - rare) >= {threshold} * n")
     kept = held.join(able, "node")
-    if once:  # a node has as many buckets as there are bands at most
-        kept = kept.join(kept.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("own")), "node")
-    carried = ["bucket", "node", "n", "rare", *["own"] * once]
-    members = ws.save(kept.select(*carried), "members-0")
-    roots = links = tried = None
-    number = 0
+    # of two sets in a bucket the other one is no smaller than its least, and what is rare here is not in it
+    least = kept.groupBy("bucket").agg(F.min("n").alias("least"))
+    kept = ws.save(kept.join(least, "bucket").where(f"100 * (n - rare) >= {threshold} * (greatest(least, n - rare) + rare)").drop("least"), "able")
+    kept = kept.join(kept.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("own")), "node")  # as many as there are bands at most
+    carried = ["bucket", "node", "n", "rare", "own", *["bits"] * bool(words)]
+    members = ws.save(kept.select(*carried, F.col("node").alias("root")), "members-0")
+    pivot = F.min(F.struct("rare", "node", "n", "own", *["bits"] * bool(words))).alias("p")  # the least edited
+    bound = f"100 * least(n - rare, p.n - p.rare) >= {threshold} * greatest(n + p.rare, p.n + rare)"
+    if words:
+        bound += f" and {' + '.join(f'bit_count(bits[{i}] ^ p.bits[{i}])' for i in range(words))} <= {_bits_apart(threshold, 64 * words)}"
+    roots, number = None, 0
     while True:
         if roots is None:
-            labelled = members.withColumn("root", F.col("node"))
+            pivots = members.groupBy("bucket").agg(F.count("*").alias("c"), pivot).where("c > 1").select("bucket", F.col("p.node").alias("pivot_root"), "p")
         else:
-            labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # the least edited, and of those another one in each bucket
-        best = F.min(F.struct("rare", F.col("node").bitwiseXOR(F.col("bucket")).alias("mark"), "node", "n", *["own"] * once))
-        by_root = labelled.groupBy("bucket", "root").agg(F.count("*").alias("c"), best.alias("p"))
-        if roots is None:
-            pivots = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.min("p").alias("p")).where("roots > 1").withColumn("root", F.col("p.node"))
-        else:
-            open_ = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).where("roots > 1")
-            pivots = by_root.join(open_, "bucket").where("root != largest")
-        pivots = ws.save(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("p.n").alias("pn"), F.col("p.rare").alias("prare"), *[F.col("p.own").alias("pown")] * once), f"pivots-{number}")
+            by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("c"), pivot)
+            open_ = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("largest")).where("roots > 1")
+            pivots = by_root.join(open_, "bucket").where("root != largest.root").select("bucket", F.col("root").alias("pivot_root"), "p")
+        pivots = ws.save(pivots, f"pivots-{number}")
         if roots is not None and pivots.isEmpty():
             return roots
-        bound = f"100 * least(n - rare, pn - prare) >= {threshold} * greatest(n + prare, pn + rare)"
-        if once:
-            bound += " and bucket = array_min(array_intersect(own, pown))"
-        pairs = labelled.join(pivots, "bucket").where(f"root != pivot_root and {bound}").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        compared = ws.save(compare(pairs, sets, threshold), f"compared-{number}")
-        still = labelled.select(*carried).join(pivots.select("bucket").distinct(), "bucket", "left_semi")
-        members = ws.save(still.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"members-{number + 1}")
-        ws.drop(f"members-{number}", f"pivots-{number}")
-        passed, seen = compared.where("linked").select("u", "v"), compared.select("u", "v")
-        links, tried = (passed, seen) if links is None else (links.unionByName(passed), tried.unionByName(seen))
-        roots = components(ws, links, f"roots-{number}")
+        meeting = members.join(pivots, "bucket").where(f"root != pivot_root and {bound} and bucket = array_min(array_intersect(own, p.own))")
+        pairs = meeting.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
+        passed = ws.save(compare(pairs, sets, threshold).where("linked").select("u", "v"), f"linked-{number}")
+        if roots is None:
+            roots = merged = components(ws, passed, f"roots-{number}")
+        else:
+            root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+            contracted = passed.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+            merged = components(ws, contracted, f"roots-{number}")
+            further = merged.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            roots = ws.save(roots.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root")).unionByName(merged), f"reached-{number}")
+        still = members.join(pivots.select("bucket").distinct(), "bucket", "left_semi").join(pivots.select("bucket", F.col("p.node").alias("node")), ["bucket", "node"], "left_anti")
+        further = merged.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        members = ws.save(still.join(further, "root", "left").select(*carried, F.coalesce("further", "root").alias("root")), f"members-{number + 1}")
+        ws.drop(f"members-{number}", f"pivots-{number}", f"linked-{number}")
         number += 1

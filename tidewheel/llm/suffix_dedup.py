@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm.common import Workspace, fresh
-from tidewheel.llm.shingles import mix, powers, prefix_hash
+from tidewheel.llm.shingles import BYTE, mix, prefix, span
 
 LENGTH, COVER = 400, 2
 #: Text bytes that a task sorts as one chunk, and packed bytes that a bucket holds, about.
@@ -61,8 +61,8 @@ def fingerprints(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     for first in range(0, len(raw), STRETCH):
         a, b = np.searchsorted(at, [first, first + STRETCH])
         if a < b:
-            h, p = prefix_hash(raw[first : first + STRETCH + length]), at[a:b] - first
-            out[a:b] = mix((h[p + length] - h[p]) * powers(len(h))[1][p])
+            h, p = prefix(BYTE[raw[first : first + STRETCH + length]]), at[a:b] - first
+            out[a:b] = mix(span(h, p, p + length))
     return out
 
 
