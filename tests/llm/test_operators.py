@@ -184,26 +184,6 @@ def test_line_dedup_edits(spark):
     assert [i for i in got if got[i]] and sorted(i for i in got if got[i]) == [1, 2, 3, 4, 5]
 
 
-def test_paragraphs(docs, rows):
-    seen, places, sets = set(), [], []
-    for r in rows:
-        if (r[0], r[1]) in seen:
-            continue
-        seen.add((r[0], r[1]))
-        for n, line in enumerate((r[1] or "").split("\n")):
-            ws = brute.words(line)
-            if len(ws) >= paragraph_dedup.MIN_WORDS:
-                places.append(((r[0] is not None, r[0] or 0), n, r[1]))
-                sets.append(brute.shingles(ws))
-    order = sorted(range(len(places)), key=lambda i: places[i][:2])
-    roots = brute.components([sets[i] for i in order], 80)
-    gone = {(places[i][0], places[i][2], places[i][1]) for k, i in enumerate(order) if roots[k] != k}
-    for r in paragraph_dedup.dedup_paragraphs(docs).collect():
-        assert r.dedup.removed == [n for n in range(len((r.text or "").split("\n"))) if ((r.doc_id is not None, r.doc_id or 0), r.text, n) in gone]
-    repeated = {r.doc_id: r for r in paragraph_dedup.report(docs).collect()}
-    assert len(repeated) == len({r[0] for r in rows})
-
-
 def test_near_components(docs, rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     sets = [brute.shingles(brute.words(rows[i][1])) for i in order]
