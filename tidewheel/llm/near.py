@@ -5,10 +5,12 @@ round, every bucket that still holds nodes of several components names pivots,
 and each pivot is compared with the nodes of other components in the bucket,
 then leaves it. The first round has one pivot a bucket, the least edited node
 and so mostly the same one in all buckets of a group of copies, which links the
-bulk of the group by stars; later rounds have one pivot for each component but
-the largest, so a bucket ends when its nodes are in one component or each of
-them has been compared with all the others. That finds every component of the
-graph of candidate links, exactly.
+bulk of the group by stars; later rounds have about 4, 16, 64, ... pivots a
+bucket, drawn by a hash from those outside its largest component, so most of
+these are linked before they would be compared with all the others. A bucket
+ends when its nodes are in one component or all those outside the largest have
+been pivots. That finds every component of the graph of candidate links,
+exactly, in a number of rounds that grows with the logarithm of a bucket.
 
 Which pairs are compared at all is bounded twice. By what no other candidate
 has: of n shingles, ``rare`` are in one candidate only, so two sets of sizes n
@@ -17,7 +19,8 @@ m + rare_n)`` together at least. Each edit of a copy makes rare shingles, so
 within a large group of edited copies nearly all pairs that the bound lets
 through do link. And by one-bit signatures that lie in the bucket's rows: a
 pair whose bits differ more than ``SIGMAS`` standard deviations beyond the
-threshold's expectation isn't made. Pairs are then confirmed on full sets.
+threshold's expectation isn't made, nor is one of small sets, which the rows
+carry, that share too little. Pairs are then confirmed on full sets.
 
 Components come from alternating large-star and small-star steps over each
 round's links, contracted to the roots of the rounds before, so a later round
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import Workspace
 from tidewheel.llm.shingles import MinHash, signatures
 
-SETS = "node long, n long, set binary, sig binary, bits array<long>"
+SETS = "node long, n long, set binary, sig binary, bits array<long>, few array<int>"
 #: How many standard deviations below the threshold a signature may lie before the pair is dropped unseen.
 SIGMAS = 6
 
@@ -72,7 +75,7 @@ def candidates(ws: Workspace, banded: DataFrame) -> DataFrame:
 
 
 def rarity(ws: Workspace, sets: DataFrame) -> DataFrame:
-    """(node, n, rare, bits) of ``SETS``: the size, and how many of the shingles no other set has."""
+    """(node, n, rare, bits, few) of ``SETS``: the size, and how many of the shingles no other set has."""
 
     def spread(batches):
         for batch in batches:
@@ -83,7 +86,7 @@ def rarity(ws: Workspace, sets: DataFrame) -> DataFrame:
 
     alone = sets.select("node", "set").mapInArrow(spread, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     rare = alone.groupBy("node").agg(F.count("*").alias("rare"))
-    return ws.save(sets.select("node", "n", "bits").join(rare, "node", "left").select("node", "n", F.coalesce("rare", F.lit(0)).alias("rare"), "bits"), "rarity")
+    return ws.save(sets.select("node", "n", "bits", "few").join(rare, "node", "left").select("node", "n", F.coalesce("rare", F.lit(0)).alias("rare"), "bits", "few"), "rarity")
 
 
 def _bits_apart(threshold: int, n: int) -> int:
@@ -92,15 +95,17 @@ def _bits_apart(threshold: int, n: int) -> int:
     return int(n * p + SIGMAS * np.sqrt(n * p * (1 - p)))
 
 
-def set_rows(nodes, sets: list[np.ndarray], family: MinHash) -> pa.RecordBatch:
-    """Rows of ``SETS``: sorted 64-bit shingles, and a byte and a bit of each minimum. An empty set has no signature."""
+def set_rows(nodes, sets: list[np.ndarray], family: MinHash, few: int = 0) -> pa.RecordBatch:
+    """Rows of ``SETS``: sorted 64-bit shingles, a byte and a bit of each minimum, and half of each shingle in sets of
+    ``few`` at most. An empty set has no signature."""
     full = [i for i, s in enumerate(sets) if len(s)]
     sig: list = [None] * len(sets)
     bits: list = [None] * len(sets)
     for i, a, b in zip(full, *signatures(family.minima([sets[i] for i in full])), strict=True):
         sig[i], bits[i] = a, b
     columns = [nodes, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array(sig, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, ["node", "n", "set", "sig", "bits"])
+    halves = pa.array([s.astype(np.uint32).view(np.int32) if len(s) <= few else None for s in sets], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([*columns, halves], ["node", "n", "set", "sig", "bits", "few"])
 
 
 def _confirm(threshold: int):
@@ -143,23 +148,27 @@ def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, thre
     least = kept.groupBy("bucket").agg(F.min("n").alias("least"))
     kept = ws.save(kept.join(least, "bucket").where(f"100 * (n - rare) >= {threshold} * (greatest(least, n - rare) + rare)").drop("least"), "able")
     kept = kept.join(kept.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("own")), "node")  # as many as there are bands at most
-    carried = ["bucket", "node", "n", "rare", "own", *["bits"] * bool(words)]
+    carried = ["bucket", "node", "n", "rare", "own", *["bits", "few"] * bool(words)]
     members = ws.save(kept.select(*carried, F.col("node").alias("root")), "members-0")
-    pivot = F.min(F.struct("rare", "node", "n", "own", *["bits"] * bool(words))).alias("p")  # the least edited
+    side = F.struct("rare", "node", "n", "own", *["bits", "few"] * bool(words))
     bound = f"100 * least(n - rare, p.n - p.rare) >= {threshold} * greatest(n + p.rare, p.n + rare)"
     if words:
         bound += f" and {' + '.join(f'bit_count(bits[{i}] ^ p.bits[{i}])' for i in range(words))} <= {_bits_apart(threshold, 64 * words)}"
+        # halves of shingles may be alike by chance: one more, at most, is taken to be in both
+        bound += f" and (few is null or p.few is null or 100 * (size(array_intersect(few, p.few)) + 1) >= {threshold} * (n + p.n - size(array_intersect(few, p.few)) - 1))"
     roots, number = None, 0
     while True:
         if roots is None:
-            pivots = members.groupBy("bucket").agg(F.count("*").alias("c"), pivot).where("c > 1").select("bucket", F.col("p.node").alias("pivot_root"), "p")
+            pivots = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(side).alias("p")).where("c > 1").select("bucket", F.col("p.node").alias("pivot_root"), "p")  # the least edited
         else:
-            by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("c"), pivot)
-            open_ = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("largest")).where("roots > 1")
-            pivots = by_root.join(open_, "bucket").where("root != largest.root").select("bucket", F.col("root").alias("pivot_root"), "p")
+            by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+            open_ = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("largest"), F.sum("c").alias("c")).where("roots > 1")
+            open_ = ws.save(open_.select("bucket", F.col("largest.root").alias("largest"), (F.col("c") - F.col("largest.c")).alias("others")), f"open-{number}")
+            if open_.isEmpty():
+                return roots
+            drawn = f"root != largest and pmod(xxhash64(node), 1048576) * others < 1048576L * {4**number}"
+            pivots = members.join(open_, "bucket").where(drawn).select("bucket", F.col("root").alias("pivot_root"), side.alias("p"))
         pivots = ws.save(pivots, f"pivots-{number}")
-        if roots is not None and pivots.isEmpty():
-            return roots
         meeting = members.join(pivots, "bucket").where(f"root != pivot_root and {bound} and bucket = array_min(array_intersect(own, p.own))")
         pairs = meeting.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
         passed = ws.save(compare(pairs, sets, threshold).where("linked").select("u", "v"), f"linked-{number}")
@@ -171,7 +180,8 @@ def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, thre
             merged = components(ws, contracted, f"roots-{number}")
             further = merged.select(F.col("node").alias("root"), F.col("root").alias("further"))
             roots = ws.save(roots.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root")).unionByName(merged), f"reached-{number}")
-        still = members.join(pivots.select("bucket").distinct(), "bucket", "left_semi").join(pivots.select("bucket", F.col("p.node").alias("node")), ["bucket", "node"], "left_anti")
+        still = members if number == 0 else members.join(open_, "bucket", "left_semi")
+        still = still.join(pivots.select("bucket", F.col("p.node").alias("node")), ["bucket", "node"], "left_anti")
         further = merged.select(F.col("node").alias("root"), F.col("root").alias("further"))
         members = ws.save(still.join(further, "root", "left").select(*carried, F.coalesce("further", "root").alias("root")), f"members-{number + 1}")
         ws.drop(f"members-{number}", f"pivots-{number}", f"linked-{number}")

@@ -46,6 +46,8 @@ MIN_WORDS, REACH, BANDS, ROWS, THRESHOLD = 35, 16, 12, 3, 80
 TAIL = 3
 #: Minima of the signatures that candidates are compared by first.
 SIGNATURE = 256
+#: Shingles up to which a paragraph's set is carried in the rows that meet.
+FEW = 256
 
 
 def _sliding(x: np.ndarray, n: int, least_or_most) -> np.ndarray:
@@ -102,7 +104,7 @@ def _sets(batches):
             all_words = Texts([text]).words
             nodes += some
             sets += [shingles(all_words[w : w + n]) for w, n in zip(words, sizes, strict=True)]
-        yield set_rows(pa.array(nodes, pa.int64()), sets, family)
+        yield set_rows(pa.array(nodes, pa.int64()), sets, family, FEW)
 
 
 def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
