@@ -108,6 +108,30 @@ def test_bpe_equals_the_library(docs, rows, piece, long):
         assert r.bpe_.decoded == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("long", [bpe.LONG_CHARS, 200])
+def test_bpe_with_tokens_that_hold_spaces(docs, long):
+    """A byte-level tokenizer, which can't be taken word by word."""
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tokenizer = bpe.load(path)
+    assert not bpe.splits_at_spaces(tokenizer) and bpe.splits_at_spaces(bpe.load(queries.tokenizer_path()))
+    for r in bpe.encode(docs.select("doc_id", "text"), path, piece_chars=long // 2, long_chars=long).collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.bpe.ids, "<u4").tolist() == ids
+        assert r.bpe.decoded == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_remembered_words(monkeypatch):
+    """Words that hold the special token, long ones, blanks of many kinds, and words forgotten and met again."""
+    monkeypatch.setattr(bpe, "WORDS_HELD", 3)
+    tokenizer = bpe.load(queries.tokenizer_path())
+    words = bpe.Words(tokenizer)
+    for texts in (["a<|endoftext|>b c", "  <|endoftext|> x", ""], ["x" * 100 + " y \x1c z", "don't\u00a0stop"], ["a b c d e f", "<|startoftext|> <|end"], ["a x y", "c \u200b d"]):
+        ids, decoded = words.code(texts)
+        for t, i, d in zip(texts, ids, decoded, strict=True):
+            want = tokenizer.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(i, "<u4").tolist() == want and d == tokenizer.decode(want, skip_special_tokens=False)
+
+
 PARTS = st.sampled_from(["a", "b", "'s", "'", "t", "!", "?", "1", " ", "\n", "\x1c", " ", "é", "é", "̂", "İ", "日", "😀", "<|endoftext|>", "<|", "|>", "aaaa", "the", "ſ"])
 
 

@@ -14,9 +14,11 @@ Window ends are taken at ASCII characters that begin a token, where neither
 Unicode composition nor a token of several characters crosses, and ``AGREE`` is
 more than twice the longest special token, so that none can straddle unseen.
 
-Neither a token nor a normalisation step crosses ASCII white space, so between
-two spaces a text is encoded word by word, each distinct word once (``Words``);
-a piece keeps token positions only for the stretches at its ends.
+Where neither a token nor a normalisation step crosses ASCII white space, which
+is checked for each tokenizer (``splits_at_spaces``), a text is encoded word by
+word between two spaces, each distinct word once (``Words``); a piece keeps
+token positions only for the stretches at its ends. With other tokenizers texts
+and pieces are encoded whole.
 
 Defined cases: a null text is encoded as the empty text: no ids, empty decoded
 text; repeated rows get equal results; an empty table gives an empty table.
@@ -24,6 +26,8 @@ text; repeated rows get equal results; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import collections
+import json
 import os
 from functools import lru_cache
 
@@ -57,25 +61,72 @@ def load(path: str):
 _BLANK = str.maketrans("\n\r\t", "   ")
 
 
+_SAMPLES = ("ab", "Don't", "x1", "!?", "\u00e9\u0302", "\u65e5\u672c", "<|", "'s", "A", "7.5")
+
+
+def splits_at_spaces(tokenizer) -> bool:
+    """Whether ASCII white space only parts words: no token crosses or marks it, so words can be encoded one by one."""
+    spec = json.loads(tokenizer.to_str())
+    steps = [spec["pre_tokenizer"], *((spec["pre_tokenizer"] or {}).get("pretokenizers") or ())]
+    # words are what a pattern finds, and what it doesn't find is dropped
+    if not any(s and s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in steps) or spec["post_processor"] or spec["model"]["type"] != "BPE" or spec["model"].get("dropout"):
+        return False
+    if any(t["lstrip"] or t["rstrip"] or set(t["content"]) & set(" \n\r\t") for t in spec["added_tokens"]):
+        return False
+    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    return all(ids(f"{x}{gap}{y}") == ids(x) + ids(y) for x in _SAMPLES for y in _SAMPLES for gap in (" ", "\n", "\r\n", "\t ")) and not ids(" \n\t\r ")
+
+
 class Words:
-    """The ids of texts, each distinct word between ASCII spaces encoded once and remembered."""
+    """The ids and decoded texts of texts, each distinct word between ASCII spaces encoded once and remembered.
+
+    New words are encoded together, parted by a special token. With a tokenizer
+    whose tokens may cross white space, texts are encoded whole.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.held = tokenizer, {"": b""}
+        self.tokenizer, self.by_word = tokenizer, splits_at_spaces(tokenizer)
+        self.recent, self.older = {"": (b"", "")}, {}
+        self.plain = tokenizer.decoder is None  # decoding sets a space between any two tokens
+        special = [(i, t) for i, t in tokenizer.get_added_tokens_decoder().items() if not (t.single_word or t.lstrip or t.rstrip or t.normalized)]
+        self.parting, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        if self.mark is None or any(self.mark in w for w in words):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.concatenate(([-1], np.flatnonzero(ids == self.parting), [len(ids)])).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a + 4 : 4 * b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def _decoded(self, ids: list[bytes]) -> list[str]:
+        return self.tokenizer.decode_batch([np.frombuffer(i, "<u4").tolist() for i in ids], skip_special_tokens=False)
+
+    def code(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """The ids and the decoded text of each text."""
+        if not self.by_word:
+            ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return ids, self._decoded(ids)
+        split = [t.translate(_BLANK).split(" ") for t in texts]
+        if len(self.recent) > WORDS_HELD:  # words that come again are found among the older ones
+            self.recent, self.older = {"": (b"", "")}, self.recent
+        held, older, long = self.recent, self.older, {}
+        new = set().union(*split).difference(held)
+        for word in new.intersection(older):
+            held[word] = older[word]
+        new = list(new.difference(older))
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            ids = self._ids(some)
+            for word, pair in zip(some, zip(ids, self._decoded(ids) if self.plain else ids, strict=True), strict=True):
+                (held if len(word) <= 64 else long)[word] = pair
+        every = held if not long else collections.ChainMap(long, held)
+        coded = [[every[w] for w in words] for words in split]
+        ids = [b"".join([x for x, _ in pairs]) for pairs in coded]
+        return ids, [" ".join([x for _, x in pairs if x]) for pairs in coded] if self.plain else self._decoded(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_BLANK).split(" ") for t in texts]
-        if len(self.held) > WORDS_HELD:
-            self.held = {"": b""}
-        held, long = self.held, {}
-        new = list(set().union(*split).difference(held))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                (held if len(word) <= 64 else long)[word] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            return [b"".join([held[w] if len(w) <= 64 else long[w] for w in words]) for words in split]
-        return [b"".join(map(held.__getitem__, words)) for words in split]
+        return self.code(texts)[0]
 
 
 class Coded:
@@ -175,7 +226,7 @@ class Piece:
     @classmethod
     def of(cls, words: Words, text: str, at: int) -> Piece:
         first, last = text.find(" ", END_CHARS), text.rfind(" ", 0, max(len(text) - END_CHARS, 0))
-        if first < 0 or last <= first:
+        if first < 0 or last <= first or not words.by_word:
             return cls(Coded.of(words.tokenizer, text, at), at + len(text), [], None, at)
         middle = np.frombuffer(words.encode([text[first:last]])[0], "<u4")
         return cls(Coded.of(words.tokenizer, text[:first], at), at + first, [middle], Coded.of(words.tokenizer, text[last:], at + last), at + last)
@@ -214,8 +265,7 @@ def _whole(path: str, text_col: str, out: str):
                 size, end = len(texts[at]), at + 1
                 while end < len(texts) and end - at < 1024 and size + len(texts[end]) <= SLICE_CHARS:
                     size, end = size + len(texts[end]), end + 1
-                ids = words.encode(texts[at:end])
-                decoded = words.tokenizer.decode_batch([np.frombuffer(i, "<u4").tolist() for i in ids], skip_special_tokens=False)
+                ids, decoded = words.code(texts[at:end])
                 rows = pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], fields=list(arrow))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns), rows], [*batch.schema.names, out])
                 at = end
