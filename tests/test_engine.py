@@ -80,7 +80,7 @@ def test_experience_points(spark):
 
 def test_section_is_closed_by_a_short_line_but_not_by_the_first(spark):
     text = "Intro\nRequirements:\nJava Spring Boot backend\nmore: 1, 2\nAbout us\nnothing"
-    row = spark.createDataFrame([(text,)], "t string").select(relevance.section(F.col("t"), ["requirements"]).alias("s")).first()
+    row = relevance.with_sections(spark.createDataFrame([(text,)], "t string"), "t", {"s": ["requirements"]}).first()
     assert row.s == "Java Spring Boot backend\nmore: 1, 2"
 
 

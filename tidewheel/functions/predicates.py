@@ -33,6 +33,10 @@ def navigation_like(title: Column) -> Column:
     return (low == "") | named | (~role_like(title) & blank(title).rlike(rf"(?i)\b(?:{'|'.join(P.NAVIGATION_WORDS)})\b"))
 
 
+#: Fixed value: source types whose titles must look like a role.
+HTMLISH = r"(?:^|_)(?:generic|browser|recovery_browser|official)_?html$|_html$"
+
+
 def plausible(title: Column, source_type: Column, url: Column) -> Column:
     t, kind = strip(blank(title)), F.lower(strip(blank(source_type)))
     bare = F.regexp_replace(F.lower(t), "^[ :–—-]+|[ :–—-]+$", "")
@@ -42,7 +46,7 @@ def plausible(title: Column, source_type: Column, url: Column) -> Column:
         .when(bare.isin(*P.ACTION_ONLY), False)
         .when(strong_detail_url(strip(blank(url))), True)
         .when(navigation_like(t), False)
-        .when(kind.rlike("_html$"), role_like(t))
+        .when(kind.rlike(HTMLISH), role_like(t))
         .otherwise(True)
     )
 

@@ -53,17 +53,17 @@ def analysis_hash(content: Column, ruleset: str = P.RULESET) -> Column:
     return F.sha2(F.concat(F.lit(f"{ruleset}:"), content), 256)
 
 
-def coarse_location(location: Column) -> Column:
-    raw = normalize_text(location)
+def coarse_location(location: Column, normal: Column | None = None) -> Column:
+    """normal: the normalised location, where it is at hand as a column."""
+    raw = normalize_text(location) if normal is None else normal
     out = F.when(raw == "", "Unknown").when(raw.contains("remote") & raw.contains("india"), "Remote, India")
     for needles, name in P.COARSE_LOCATIONS:
         out = out.when(either(raw.contains(n) for n in needles), name)
     return out.when(raw.contains("remote"), "Remote").otherwise(strip(location))
 
 
-def plainly_foreign(location: Column) -> Column:
-    """A foreign name as a mere substring, as the first scoring step has it."""
-    text = normalize_text(location)
+def plainly_foreign(text: Column) -> Column:
+    """A foreign name as a mere substring of a normalised location, as the first scoring step has it."""
     named = either(text.contains(n) for n in P.FOREIGN_PLAIN)
     vague_remote = text.contains("remote") & ~either(text.contains(n) for n in P.FOREIGN_REMOTE)
     return (text != "") & ~text.contains("india") & ~vague_remote & named

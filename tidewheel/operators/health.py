@@ -64,17 +64,24 @@ def completeness_verdict(n: Column, unique: Column, expected: Column, url_ratio:
     )
 
 
-def recommendation(verdict: Column, source_type: Column, rejected: Column) -> Column:
-    generic = (source_type == "auto") | (rejected > 0)
-    return (
-        F.when(verdict == "CERTIFIED", "keep under drift monitoring")
-        .when(verdict == "BLOCKED", "use an approved feed or manual import")
-        .when(verdict == "PARTIAL", "fix pagination or filters")
-        .when(verdict == "INVALID", "replace heuristic extraction")
-        .when(verdict == "FAILED", "repair the provider route")
-        .when(generic, "identify the authoritative source")
-        .otherwise("add an independent count probe")
-    )
+# Fixed values.
+RECOMMENDATIONS = {
+    "CERTIFIED": "none; keep the source under drift monitoring",
+    "BLOCKED": "use a company-approved API/feed or manual import; do not bypass the restriction",
+    "PARTIAL": "fix pagination/filtering until fetched unique jobs equals the provider-reported total",
+    "INVALID": "replace heuristic extraction with a provider/company-specific adapter before trusting this source",
+    "FAILED": "repair the provider route or create a dedicated adapter; preserve the last certified snapshot",
+}
+GENERIC_SOURCE = "identify the authoritative ATS/API and replace generic extraction with a source contract/dedicated adapter"
+NO_PROBE = "add an independent completeness probe for this provider before marking it certified"
+
+
+def recommendation(verdict: Column, source_type: Column, rejected: Column, adapter: Column | None = None) -> Column:
+    """What to do about a board; generic are automatic sources, adapters so named and boards with rejected rows."""
+    named = F.lit(False) if adapter is None else F.coalesce(adapter.contains("Auto") | adapter.contains("Recovery"), F.lit(False))
+    generic = F.coalesce(source_type == "auto", F.lit(False)) | named | (F.coalesce(rejected, F.lit(0)) > 0)
+    known = F.create_map(*(F.lit(x) for pair in RECOMMENDATIONS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, verdict), F.when(generic, GENERIC_SOURCE).otherwise(NO_PROBE))
 
 
 def audit_pages(log: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.stored import stored
+
 KEY = ["company_id", "external_id"]
 
 
@@ -101,3 +103,18 @@ def delivery(events: DataFrame, modes: DataFrame, eligible: Column) -> DataFrame
     """A baseline run delivers all observed eligible rows, the others new and changed ones."""
     take = F.when(F.col("mode") == "baseline", F.col("observed")).otherwise(F.col("event").isin("new", "changed"))
     return events.join(F.broadcast(modes), "run").where(take & eligible)  # a row for each run
+
+
+def dealt(df: DataFrame, order: list[str], shards: int) -> DataFrame:
+    """Adds ``shard``: rows in ``order`` (nulls first) are dealt in turn.
+
+    The place of a row is the count of the ranges before its own, of a range-partitioned table, plus its place there;
+    only a count a range is summed up.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stored(ranged.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at"), "dealt")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_c"))  # a row a range: n at most
+    before = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
+    return ranged.join(F.broadcast(before), "_range").withColumn("shard", (F.coalesce("_before", F.lit(0)) + F.col("_place")) % shards).drop("_range", "_place", "_before")

@@ -11,17 +11,24 @@ from tidewheel.functions.text import analysis_hash, blank, coarse_location, cont
 from tidewheel.operators.location import classify
 
 
-def section(description: Column, headings: list[str]) -> Column:
-    """The lines after the first heading, up to the next other heading; the first line after it is always taken."""
-    lines = F.transform(F.split(blank(description), r"\R"), strip)
-    is_ours = lambda x: either(normalize_text(x).contains(h) for h in headings)
-    ours = F.transform(lines, is_ours)
-    start = F.array_position(ours, True)  # from 1; 0 where there is none
-    closes = lambda x: x.rlike(r"^[A-Za-z][A-Za-z /&+-]{2,55}:?$") & (F.size(F.split(x, r"\s+")) <= 7) & ~is_ours(x)
-    after = F.slice(lines, (start + 2).cast("int"), F.size(lines))
-    stop = F.array_position(F.transform(after, closes), True)
-    body = F.slice(lines, (start + 1).cast("int"), F.when(stop > 0, stop).otherwise(F.size(lines)).cast("int"))
-    return F.when(start > 0, strip(F.array_join(body, "\n"))).otherwise("")
+def with_sections(df: DataFrame, description: str, headings: dict[str, list[str]]) -> DataFrame:
+    """Adds a column of each name: the lines after the first line with one of its headings, up to the next line that
+    looks like another heading; the first line after it is always taken.
+
+    Each step reads columns of the step before, so a line is split, stripped and normalised once whatever reads it.
+    """
+    df = df.withColumn("_lines", F.transform(F.split(blank(F.col(description)), r"\R"), strip))
+    looks = lambda x: x.rlike(r"^[A-Za-z][A-Za-z /&+-]{2,55}:?$") & (F.size(F.split(x, r"\s+")) <= 7)
+    df = df.withColumns({"_plain": F.transform("_lines", normalize_text), "_looks": F.transform("_lines", looks)})
+    ours = lambda words: F.transform("_plain", lambda x: either(x.contains(h) for h in words))
+    df = df.withColumns({f"_ours{k}": ours(words) for k, words in headings.items()})
+    df = df.withColumns({f"_start{k}": F.array_position(f"_ours{k}", True) for k in headings})  # from 1; 0 where there is none
+    closes = lambda k: F.zip_with("_looks", f"_ours{k}", lambda closes, ours: closes & ~ours)
+    df = df.withColumns({f"_stop{k}": F.array_position(F.slice(closes(k), (F.col(f"_start{k}") + 2).cast("int"), F.size("_lines")), True) for k in headings})
+    stop = lambda k: F.when(F.col(f"_stop{k}") > 0, F.col(f"_stop{k}")).otherwise(F.size("_lines")).cast("int")
+    body = lambda k: strip(F.array_join(F.slice("_lines", (F.col(f"_start{k}") + 1).cast("int"), stop(k)), "\n"))
+    df = df.withColumns({k: F.when(F.col(f"_start{k}") > 0, body(k)).otherwise("") for k in headings})
+    return df.drop("_lines", "_plain", "_looks", *(f"_{x}{k}" for k in headings for x in ("ours", "start", "stop")))
 
 
 def experience_mentions(text: Column) -> Column:
@@ -50,27 +57,39 @@ def experience_points(low: Column, high: Column, years: float = P.YEARS, reject:
     )
 
 
-def skill_points(skills: list, required: Column, preferred: Column, full: Column) -> Column:
-    """array of struct(name, points, max, context) of the matched skills. Texts are normalised."""
+def skill_contexts(skills: list, required: Column, preferred: Column, full: Column) -> Column:
+    """For each skill where it is named first: required, preferred or general, or null. Texts are normalised."""
+    return F.array(*(F.when(has_any(required, aliases), "required").when(has_any(preferred, aliases), "preferred").when(has_any(full, aliases), "general") for _, aliases, _ in skills))
+
+
+_SHARES = {"required": 1.0, "preferred": 0.55, "general": 0.85}  # fixed values
+
+
+def skill_points(skills: list, contexts: Column) -> Column:
+    """array of struct(name, points, max, context) of the matched skills."""
     rows = []
-    for name, aliases, weight in skills:
-        context = F.when(has_any(required, aliases), "required").when(has_any(preferred, aliases), "preferred").when(has_any(full, aliases), "general")
-        share = F.when(context == "required", 1.0).when(context == "preferred", 0.55).when(context == "general", 0.85)
-        rows.append(F.struct(F.lit(name).alias("name"), F.bround(share * weight, 2).alias("points"), F.lit(weight).alias("max"), context.alias("context")))
+    for i, (name, _, weight) in enumerate(skills):
+        share = F.lit(None).cast("double")
+        for context, value in _SHARES.items():
+            share = F.when(contexts[i] == context, value).otherwise(share)
+        rows.append(F.struct(F.lit(name).alias("name"), F.bround(share * weight, 2).alias("points"), F.lit(weight).alias("max"), contexts[i].alias("context")))
     return F.filter(F.array(*rows), lambda r: r["context"].isNotNull())
 
 
-def _exact_points(skills: list, required: Column, preferred: Column, full: Column) -> Column:
-    """The sum in hundredths, whole: 5.5 x weight / 0.1 and so on stay exact."""
+def _exact_points(skills: list, contexts: Column) -> Column:
+    """The sum in thousandths, whole: 5.5 x weight / 0.1 and so on stay exact."""
     total = F.lit(0)
-    for _, aliases, weight in skills:
-        total = total + F.when(has_any(required, aliases), int(weight * 1000)).when(has_any(preferred, aliases), int(weight * 550)).when(has_any(full, aliases), int(weight * 850)).otherwise(0)
+    for i, (_, _, weight) in enumerate(skills):
+        points = F.lit(0)
+        for context, value in _SHARES.items():
+            points = F.when(contexts[i] == context, round(weight * value * 1000)).otherwise(points)
+        total = total + points
     return total / 1000.0
 
 
-def role_scores(title: Column, text: Column) -> dict[str, Column]:
-    """Points of each family. title and text are normalised."""
-    s = {k: has_any(text, v) for k, v in P.SIGNALS.items()}
+def role_scores(title: Column, signals: Column) -> dict[str, Column]:
+    """Points of each family. title is normalised; signals is a struct of P.SIGNALS."""
+    s = {k: signals[k] for k in P.SIGNALS}
     backend = either(title.contains(x) for x in ("backend", "back end", "platform", "server"))
     full = either(title.contains(x) for x in ("full stack", "fullstack", "full-stack"))
     software = either(title.contains(x) for x in ("software engineer", "software developer", "sde", "member of technical staff", "mts"))
@@ -102,46 +121,51 @@ def is_relevant(status: Column) -> Column:
 
 def score(postings: DataFrame) -> DataFrame:
     """Postings with the scoring columns."""
-    texts = postings.withColumns(
-        {
-            "_title": normalize_text(F.col("title")),
-            "_required": section(F.col("description"), P.REQUIRED_HEADINGS),
-            "_preferred": section(F.col("description"), P.PREFERRED_HEADINGS),
-        }
-    )
-    mentions = {name: experience_mentions(c) for name, c in (("required", F.col("_required")), ("all", blank(F.col("description"))), ("preferred", F.col("_preferred")))}
-    best = F.coalesce(*(F.array_min(m) for m in mentions.values()))
+    texts = with_sections(postings, "description", {"_required": P.REQUIRED_HEADINGS, "_preferred": P.PREFERRED_HEADINGS})
+    mentions = (experience_mentions(c) for c in (F.col("_required"), blank(F.col("description")), F.col("_preferred")))
     texts = texts.withColumns(
         {
+            "_title": normalize_text(F.col("title")),
             "_full": normalize_text(F.col("description")),
-            "_both": normalize_text(F.concat(blank(F.col("title")), F.lit("\n"), blank(F.col("description")))),
             "_nreq": normalize_text(F.col("_required")),
             "_npref": normalize_text(F.col("_preferred")),
-            "_exp": best,
+            "_nloc": normalize_text(F.col("location")),
+            "_exp": F.coalesce(*(F.array_min(m) for m in mentions)),
         }
     )
-    families = role_scores(F.col("_title"), F.col("_both"))
-    ranked = F.array(*(F.struct(families[k].alias("points"), F.lit(priority).alias("priority"), F.lit(-i).alias("place"), F.lit(k).alias("family")) for i, (k, _, priority) in enumerate(P.ROLE_FAMILIES)))
     skills = (F.col("_nreq"), F.col("_npref"), F.col("_full"))
+    both = F.trim(F.concat_ws(" ", "_title", "_full"))  # as the two texts normalise together
+    texts = texts.withColumn("_both", both).withColumns(
+        {
+            "_signals": F.struct(*(has_any(F.col("_both"), v).alias(k) for k, v in P.SIGNALS.items())),
+            "_primary": skill_contexts(P.PRIMARY_SKILLS, *skills),
+            "_supporting": skill_contexts(P.SUPPORTING_SKILLS, *skills),
+            "_excluded": title_excluded(F.col("_title")),
+            "_foreign": plainly_foreign(F.col("_nloc")),
+        }
+    )
+    families = role_scores(F.col("_title"), F.col("_signals"))
+    ranked = F.array(*(F.struct(families[k].alias("points"), F.lit(priority).alias("priority"), F.lit(-i).alias("place"), F.lit(k).alias("family")) for i, (k, _, priority) in enumerate(P.ROLE_FAMILIES)))
+    primary, supporting = F.col("_primary"), F.col("_supporting")
     scored = texts.withColumns(
         {
             "_best": F.array_max(ranked),
             "min_experience": F.col("_exp.low"),
             "max_experience": F.col("_exp.high"),
             "experience_score": experience_points(F.col("_exp.low"), F.col("_exp.high")),
-            "primary_skill_score": F.least(F.lit(P.PRIMARY_CAP), F.bround(_exact_points(P.PRIMARY_SKILLS, *skills), 2)),
-            "supporting_score": F.least(F.lit(P.SUPPORTING_CAP), F.bround(_exact_points(P.SUPPORTING_SKILLS, *skills), 2)),
-            "matched_primary": skill_points(P.PRIMARY_SKILLS, *skills),
-            "matched_supporting": skill_points(P.SUPPORTING_SKILLS, *skills),
-            "normalized_location": coarse_location(F.col("location")),
+            "primary_skill_score": F.least(F.lit(P.PRIMARY_CAP), F.bround(_exact_points(P.PRIMARY_SKILLS, primary), 2)),
+            "supporting_score": F.least(F.lit(P.SUPPORTING_CAP), F.bround(_exact_points(P.SUPPORTING_SKILLS, supporting), 2)),
+            "matched_primary": skill_points(P.PRIMARY_SKILLS, primary),
+            "matched_supporting": skill_points(P.SUPPORTING_SKILLS, supporting),
+            "normalized_location": coarse_location(F.col("location"), F.col("_nloc")),
         }
     )
     scored = scored.withColumns({"role_score": F.col("_best.points"), "role_family": F.when(F.col("_best.points") < 5, "other").otherwise(F.col("_best.family"))})
     total = F.least(F.lit(100.0), F.round(F.col("role_score") + F.col("experience_score") + F.col("primary_skill_score") + F.col("supporting_score"), 2))
     whole = F.col("min_experience") == F.floor("min_experience")
     reason = (
-        F.when(title_excluded(F.col("_title")).isNotNull(), title_excluded(F.col("_title")))
-        .when(plainly_foreign(F.col("location")), "location_outside_target")
+        F.when(F.col("_excluded").isNotNull(), F.col("_excluded"))
+        .when(F.col("_foreign"), "location_outside_target")
         .when(F.col("min_experience") >= P.REJECT_YEARS, F.concat(F.lit("requires_"), F.when(whole, F.col("min_experience").cast("int").cast("string")).otherwise(F.col("min_experience").cast("string")), F.lit("+_years")))
         .when((F.col("role_score") < 10) & (F.col("primary_skill_score") < 5), "insufficient_target_stack_signal")
     )

@@ -11,6 +11,7 @@ from tidewheel.functions import predicates as R
 from tidewheel.functions import profile as P
 from tidewheel.functions import text as T
 from tidewheel.operators import extract, gate, health, inventory, location, neardup, relevance
+from tidewheel.operators.stored import stored
 from tidewheel.plans import oracle as O
 from tidewheel.plans import views as V
 
@@ -67,7 +68,7 @@ def analysis_hash(spark, sf_dir):
 
 @query("scl07_coarse_location", f"WITH {O.POSTINGS} SELECT ord, {O.coarse_location()} AS place, {O.plainly_foreign()} AS abroad FROM postings")
 def coarse_location(spark, sf_dir):
-    return V.postings(spark, sf_dir).select("ord", T.coarse_location(c("location")).alias("place"), T.plainly_foreign(c("location")).alias("abroad"))
+    return V.postings(spark, sf_dir).select("ord", T.coarse_location(c("location")).alias("place"), T.plainly_foreign(T.normalize_text(c("location"))).alias("abroad"))
 
 
 @query("scl08_dedup_title", f"WITH {O.POSTINGS} SELECT title, {O.dedup_title()} AS dedup_title, count(*) AS n FROM postings GROUP BY ALL")
@@ -124,9 +125,13 @@ def title_evidence(spark, sf_dir):
     return V.probes(spark, sf_dir).select("conv_id", "turn", T.title_evidence(c("title"), c("body")).alias("found"))
 
 
-@query("scl17_epoch", "SELECT event_id, strftime(make_timestamp(CAST(event_id * 86400 * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') AS posted FROM events WHERE event_id BETWEEN 1 AND 90000 UNION ALL SELECT event_id, NULL FROM events WHERE event_id < 1")
+_DAYS = 2_900_000  # as many as four digits of a year hold
+
+
+@query("scl17_epoch", f"SELECT event_id, CASE WHEN event_id % {_DAYS} > 0 THEN strftime(TIMESTAMP '1970-01-01' + to_days(CAST(event_id % {_DAYS} AS INTEGER)), '%Y-%m-%dT%H:%M:%S+00:00') END AS posted FROM events")
 def epoch(spark, sf_dir):
-    return V.read(spark, sf_dir, "events").where("event_id <= 90000").select("event_id", T.epoch_iso((c("event_id") * 86400).cast("string")).alias("posted"))
+    """Every event: the id, folded into days."""
+    return V.read(spark, sf_dir, "events").select("event_id", T.epoch_iso((c("event_id") % _DAYS * 86400).cast("string")).alias("posted"))
 
 
 @query("scl17_epoch_all", "SELECT event_id, CASE WHEN s > 0 THEN strftime(make_timestamp(CAST(s * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') END AS posted FROM (SELECT event_id, event_id % 90000 * 86400 + event_id % 86400 AS s FROM events)")
@@ -162,7 +167,7 @@ def _plausible() -> str:
     bare = f"regexp_replace(lower({O.strip('title')}), '^[ :–—-]+|[ :–—-]+$', '', 'g')"
     return f"""CASE WHEN coalesce({O.strip("title")}, '') = '' THEN false WHEN lower(source_type) IN ({", ".join(O.text(x) for x in P.AUTHORITATIVE)}) THEN true
       WHEN {bare} IN ({", ".join(O.text(x) for x in P.ACTION_ONLY)}) THEN false WHEN {_strong("job_url")} THEN true WHEN {_nav("title")} THEN false
-      WHEN regexp_matches(lower(source_type), '_html$') THEN {_ROLE} ELSE true END"""
+      WHEN regexp_matches(lower(source_type), '(^|_)(generic|browser|recovery_browser|official)_?html$|_html$') THEN {_ROLE} ELSE true END"""
 
 
 @query("flt01_valid_url", f"WITH {O.POSTINGS} SELECT ord, coalesce(regexp_matches(job_url, '^https?://[^/?#]+'), false) AS ok FROM postings")
@@ -230,6 +235,12 @@ def _analysed(spark, sf_dir):
     return relevance.apply_location_policy(relevance.score(V.postings(spark, sf_dir)))
 
 
+def _analyses(spark, sf_dir):
+    """The stored analysis, which searches and counts read."""
+    keep = ["ord", "company_id", "external_id", "company_name", "title", "active", "last_change_type", "posted_at", "first_seen_day", "location_status", *relevance.SCORED]
+    return stored(_analysed(spark, sf_dir).select(*keep), "analysis")
+
+
 _POLICY_COLUMNS = ["external_id", "normalized_location", "hard_filtered", "is_relevant", "relevance_status", "filter_reason", "relevance_score"]
 
 
@@ -247,7 +258,7 @@ def _previous(spark, sf_dir):
     """An earlier analysis: half of the postings as they are now, a quarter with an older text."""
     p = V.postings(spark, sf_dir).where("ord % 4 != 3")
     hashed = T.analysis_hash(T.content_hash(c("title"), c("location"), F.when(c("ord") % 4 == 2, F.lit("older")).otherwise(c("description"))))
-    return _analysed(spark, sf_dir).where("ord % 4 != 3").join(p.select(*KEY, hashed.alias("source_hash")), KEY).withColumn("change_type", F.lit("baseline"))
+    return _analyses(spark, sf_dir).where("ord % 4 != 3").join(p.select(*KEY, hashed.alias("source_hash")), KEY).withColumn("change_type", F.lit("baseline"))
 
 
 @query(
@@ -266,22 +277,22 @@ def incremental(spark, sf_dir):
 )
 def relevance_stats(spark, sf_dir):
     recent = c("last_change_type").isin("new", "changed")
-    return _analysed(spark, sf_dir).agg(F.count_if("active").alias("active_jobs"), F.count_if(c("active") & c("is_relevant")).alias("relevant_jobs"), F.count_if(c("active") & recent).alias("new_changed"), F.count_if(c("active") & c("is_relevant") & recent).alias("relevant_new_changed"))
+    return _analyses(spark, sf_dir).agg(F.count_if("active").alias("active_jobs"), F.count_if(c("active") & c("is_relevant")).alias("relevant_jobs"), F.count_if(c("active") & recent).alias("new_changed"), F.count_if(c("active") & c("is_relevant") & recent).alias("relevant_new_changed"))
 
 
 @query("agg05_filter_reasons", f"{_POLICY} SELECT coalesce(filter_reason, 'unknown') AS reason, count(*) AS n FROM analysed WHERE active AND relevance_status = 'filtered' GROUP BY 1")
 def filter_reasons(spark, sf_dir):
-    return _analysed(spark, sf_dir).where("active and relevance_status = 'filtered'").groupBy(F.coalesce("filter_reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
+    return _analyses(spark, sf_dir).where("active and relevance_status = 'filtered'").groupBy(F.coalesce("filter_reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("agg06_india_stats", f"{_POLICY} SELECT relevance_status, count(*) AS n, count(*) FILTER (is_relevant) AS relevant FROM analysed WHERE active AND normalized_location ILIKE '%India%' GROUP BY 1")
 def india_stats(spark, sf_dir):
-    return _analysed(spark, sf_dir).where(c("active") & R.mentions_india(c("normalized_location"))).groupBy("relevance_status").agg(F.count("*").alias("n"), F.count_if("is_relevant").alias("relevant"))
+    return _analyses(spark, sf_dir).where(c("active") & R.mentions_india(c("normalized_location"))).groupBy("relevance_status").agg(F.count("*").alias("n"), F.count_if("is_relevant").alias("relevant"))
 
 
 @query("qry02_search_relevance", f"{_POLICY} SELECT external_id, title, relevance_score FROM analysed WHERE relevance_score >= 30 AND role_family LIKE 'java%' AND title ILIKE '%engineer%' ORDER BY is_relevant DESC, relevance_score DESC, company_name, title, external_id LIMIT 50")
 def search_relevance(spark, sf_dir):
-    a = _analysed(spark, sf_dir).where((c("relevance_score") >= 30) & c("role_family").startswith("java") & R.text_search("engineer", c("title")))
+    a = _analyses(spark, sf_dir).where((c("relevance_score") >= 30) & c("role_family").startswith("java") & R.text_search("engineer", c("title")))
     return a.orderBy(F.desc("is_relevant"), F.desc("relevance_score"), "company_name", "title", "external_id").limit(50).select("external_id", "title", "relevance_score")
 
 
@@ -401,9 +412,7 @@ def mapped_fields(spark, sf_dir):
 
 @query("win09_shards", f"WITH {O.BOARDS} SELECT company_id, (row_number() OVER (ORDER BY rank, company_id) - 1) % 4 AS shard FROM boards")
 def shards(spark, sf_dir):
-    # the rank of a company is dense from 1 in this table, so its place needs no sort of all rows
-    b = V.boards(spark, sf_dir)
-    return b.select("company_id", ((c("rank") - 1) % 4).alias("shard"))
+    return inventory.dealt(V.boards(spark, sf_dir), ["rank", "company_id"], 4).select("company_id", "shard")
 
 
 @query("win11_next_rank", f"WITH {O.BOARDS} SELECT max(rank) + 1 AS next_rank FROM boards")
