@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import tidewheel.plans.history  # noqa: F401
+import tidewheel.plans.reports  # noqa: F401
 from tidewheel.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"

@@ -174,3 +174,61 @@ def largest_total(text: Column) -> Column:
     """The largest number of jobs a page advertises."""
     found = F.regexp_extract_all(text, F.lit(r"(?i)(\d[\d,]*)\s+(?:open\s+)?(?:jobs|positions|openings|results)"), 1)
     return F.array_max(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long")))
+
+
+def canonical_job_url(base: Column, job_id: Column) -> Column:
+    """The public page of a job whose row has an id and no link, for the four host families that have one; else null."""
+    host, path = url_host(base), url_path(base)
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1)
+    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    site, cloud = r"(?i)/([^/]+)/sites/([^/]+)(?:/|$)", r"(?i)/hcmUI/CandidateExperience/([^/]+)/sites/([^/]+)(?:/|$)"
+    part = lambda pattern, g, default: F.coalesce(F.nullif(F.regexp_extract(path, pattern, g), F.lit("")), F.lit(default))
+    job = F.concat(F.lit("/job/"), job_id)
+    return F.when(
+        blank(job_id) != "",
+        F.when(host == "careers.oracle.com", F.concat(origin, F.lit("/"), part(site, 1, "en"), F.lit("/sites/"), part(site, 2, "jobsearch"), job))
+        .when(host.contains("oraclecloud.com") & path.rlike(cloud), F.concat(origin, F.lit("/hcmUI/CandidateExperience/"), part(cloud, 1, ""), F.lit("/sites/"), part(cloud, 2, ""), job))
+        .when(host.endswith(".eightfold.ai"), F.concat(origin, F.lit("/careers/job/"), job_id))
+        .when(host == "careers.swiggy.com", F.concat(origin, F.lit("/#/careers?reqid="), job_id)),
+    )
+
+
+#: Where a detail page's path holds the job's id, in order.
+JOB_PATHS = [r"/job/(\d+)(?:-|/|$)", r"/details/(\d+(?:-\d+)?)(?:/|$)", r"/careers/details/(\d+)(?:/|$)", r"/jobs/(\d+)(?:/|$)", r"/opportunity/([^/]+)$"]
+
+
+def job_id_from_url(url: Column) -> Column:
+    """The id in the path, or the jobId of the query, or the URL itself."""
+    path = F.regexp_replace(url_path(url), "/+$", "")
+    found = [F.nullif(F.regexp_extract(path, f"(?i){p}", 1), F.lit("")) for p in JOB_PATHS]
+    asked = F.nullif(F.regexp_extract(url_query(url), r"(?:^|&)(?:jobId|jobid)=([^&]+)", 1), F.lit(""))
+    return F.coalesce(*found, asked, url)
+
+
+def board_identity(url: Column) -> Column:
+    """struct(provider, tenant) of a careers URL by its host and path; nulls where none is known."""
+    host, path, query = url_host(url), url_path(url), url_query(url)
+    first, sub = F.nullif(F.regexp_extract(path, "^/([^/]+)", 1), F.lit("")), F.regexp_extract(host, r"^([^.]+)\.", 1)
+    asked = F.nullif(F.regexp_extract(query, "(?:^|&)for=([^&]+)", 1), F.lit(""))
+    rules = [
+        ("greenhouse", host.endswith("greenhouse.io"), F.coalesce(asked, F.when(first == "embed", None).otherwise(first))),
+        ("lever", host.endswith("jobs.lever.co"), first),
+        ("ashby", host == "jobs.ashbyhq.com", first),
+        ("smartrecruiters", host.endswith("smartrecruiters.com"), first),
+        ("workday", host.endswith("myworkdayjobs.com"), sub),
+        ("eightfold", host.endswith(".eightfold.ai"), sub),
+        ("oracle", host.contains("oraclecloud.com"), F.nullif(F.regexp_extract(path, r"(?i)/sites/([^/]+)", 1), F.lit(""))),
+    ]
+    provider = tenant = F.when(F.lit(False), "")
+    for name, holds, value in rules:
+        provider, tenant = provider.when(holds, name), tenant.when(holds, value)
+    return F.struct(provider.alias("provider"), tenant.alias("tenant"))
+
+
+#: Fixed value: what a closed posting's page says.
+CLOSED = r"\b(job has been closed|job is no longer available|position has been filled|no longer accepting applications)\b"
+
+
+def live_link(status: Column, body: Column) -> Column:
+    """Whether a record that no posting matches counts as live: gone pages and those that say so don't, failed checks do."""
+    return ~(F.coalesce(status.isin(404, 410), F.lit(False)) | (F.coalesce(status < 400, F.lit(False)) & blank(body).rlike(f"(?i){CLOSED}")))

@@ -118,3 +118,13 @@ def dealt(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_c"))  # a row a range: n at most
     before = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
     return ranged.join(F.broadcast(before), "_range").withColumn("shard", (F.coalesce("_before", F.lit(0)) + F.col("_place")) % shards).drop("_range", "_place", "_before")
+
+
+def top_by(rows: DataFrame, key: list, order: list, n: int) -> DataFrame:
+    """The first n rows of each key, with their ``place``."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("place") <= n)
+
+
+def supplement(rows: DataFrame, more: DataFrame, key: list) -> DataFrame:
+    """rows, and those of ``more`` whose key they lack."""
+    return rows.unionByName(more.join(rows.select(*key), key, "left_anti"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.operators.inventory import merge
+from tidewheel.operators.inventory import completeness, merge
 
 STATE = "company_id string, external_id string, content_hash string, first_seen string, last_seen string, changed_at string, active boolean, last_change_type string"
 
@@ -32,7 +32,10 @@ def merge_batch(root: str):
             return
         for (run,) in batch.select("run").distinct().orderBy("run").collect():  # a batch holds few runs
             rows = batch.where(F.col("run") == run)
-            complete = rows.select("company_id", F.lit(True).alias("complete")).distinct()
+            found = rows.groupBy("company_id").agg(F.countDistinct("external_id").alias("found"))
+            had = state.where("active").groupBy("company_id").agg(F.count("*").alias("had"))
+            # a snapshot that lost too much of what was there adds and changes rows, and takes none away
+            complete = found.join(had, "company_id", "left").select("company_id", completeness(F.col("found"), F.col("had"), F.lit(False)).alias("complete"))
             state = merge(state, rows.select("company_id", "external_id", F.col("content").alias("content_hash")), F.lit(str(run)), complete)
         state.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
