@@ -166,6 +166,19 @@ def test_suffix_dedup(docs, rows, length, r, chunk):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_suffix_dedup_of_regular_texts(spark):
+    """Thue-Morse texts, their complements, periodic texts and copies, with many buckets."""
+    word = lambda n, a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+    texts = [word(1500, "a", "b"), word(1500, "b", "a"), word(700, "ab", "ba"), "xyz" * 300, "q" * 500, word(420, "c", "d"), word(420, "c", "d"), word(399, "e", "f"), None, ""]
+    masks = brute.repeated_bytes(texts, 400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("dedup", F.lit(1)).withColumn("key", F.lit(2)).withColumn("ranges", F.lit(3))
+    found = suffix_dedup.remove_repeats(docs, bucket_bytes=500)
+    assert found.columns == [*docs.columns, "dedup_"]
+    got = {r.doc_id: (r.dedup_.n_removed, bytes(r.dedup_.kept)) for r in found.collect()}
+    for i, (t, m) in enumerate(zip(texts, masks, strict=True)):
+        assert got[i] == (int(m.sum()), bytes(b for b, gone in zip((t or "").encode(), m, strict=True) if not gone))
+
+
 def test_ring_shards(spark, docs, rows):
     for table, n in ((docs, len(rows)), (spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit("x").alias("text")), 5000), (spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")), 1000)):
         got = ring_shards.report(table).collect()

@@ -10,20 +10,26 @@ The suffixes' order as such isn't needed, only which of them tie over
    further on, that tie over ``length - v + 1`` bytes. The ranks of the sample
    are precomputed as classes of equal strings (64-bit fingerprints), and a
    suffix near which every sample rank is unique can't tie: it is settled.
-2. *Buckets.* The other suffixes are dealt to buckets by the fingerprint of
-   their first ``length`` bytes, and each bucket is sorted by itself, in memory
-   of its own: as many buckets as the measured input asks for.
+2. *Buckets.* The other suffixes are counted, dealt to as many buckets as they
+   ask for by the fingerprint of their first ``length`` bytes, and each bucket
+   is sorted by itself, in memory of its own.
 
 Both steps are one exchange of packed arrays (``_repeats``). A task first sorts
 what it holds itself: suffixes that tie within its chunk are settled there and
 send one fingerprint as a witness, so a string that occurs a billion times
-reaches its bucket once for each chunk. Fingerprints are position-independent
-polynomial hashes; two different strings count as equal only if their
-fingerprints and those of a sample within them collide at 64 bits each.
+reaches its bucket once for each chunk. Chunks grow with the number of buckets,
+up to ``MOST_CHUNK_BYTES``, so that what a chunk sends to a bucket stays a row
+worth sending. Copies of a text are one text from the start: it goes as a whole.
+
+Fingerprints are polynomials modulo the prime 2^61 - 1, which don't depend on
+the position; two different strings count as equal only if their fingerprints
+and those of a sample within them collide, each by a chance of its length in
+2^61, however regular the text is. The bytes themselves aren't compared again.
 
 Defined cases: a null or short text keeps all its bytes; copies of a text of
 ``length`` bytes or more go as a whole, each of them; repeated rows are copies;
-an empty table gives an empty table.
+an empty table gives an empty table; a very long text is hashed in stretches, whole;
+a column whose name clashes with ``out`` gives it underscores.
 """
 
 from __future__ import annotations
@@ -41,10 +47,9 @@ from tidewheel.llm.common import Workspace, fresh
 from tidewheel.llm.shingles import BYTE, mix, prefix, span
 
 LENGTH, COVER = 400, 2
-#: Text bytes that a task sorts as one chunk, and packed bytes that a bucket holds, about.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 48 << 20
-#: So many tasks sort at least; what a bucket holds then also stays small where the input is.
-LEAST_BUCKETS = 32
+#: Text bytes that a task sorts as one chunk at least and at most, packed bytes that a bucket holds, about, bytes of a
+#: packed suffix, and suffixes that a chunk sends to a bucket at least, while chunks may grow.
+CHUNK_BYTES, MOST_CHUNK_BYTES, BUCKET_BYTES, PACKED, CELL = 4 << 20, 64 << 20, 16 << 20, 12, 100
 #: Bytes whose running hashes are held at once; longer texts are hashed in stretches.
 STRETCH = 4 << 20
 
@@ -184,19 +189,19 @@ def _by_text(to_ranges):
                 if cut[i] < cut[i + 1]:
                     ranges = to_ranges(places[cut[i] : cut[i + 1]] - offsets[i], int(sizes[i]))
                     if len(ranges):
-                        rows.append((keys[i], ranges.astype("<i8").tobytes()))
-        return pd.DataFrame(rows, columns=["key", "ranges"])
+                        rows.append((keys[i], ranges.astype("<i8").tobytes(), int((ranges[:, 1] - ranges[:, 0]).sum())))
+        return pd.DataFrame(rows, columns=["key", "ranges", "n"])
 
     return gather
 
 
-def _repeats(texts: DataFrame, length: int, positions, to_ranges, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(key, ranges) of the texts that have suffixes, of those ``positions`` names, tied over length bytes."""
+def _repeats(texts: DataFrame, length: int, positions, to_ranges, suffixes: float, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
+    """(key, ranges, n) of the texts that have suffixes, of those ``positions`` names, tied over length bytes; n is the
+    ranges' length. ``suffixes``: how many there are, so that no bucket grows with the input, and their share of bytes."""
+    buckets = max(1, int(suffixes * PACKED / bucket_bytes))
     sent = texts.mapInArrow(_chunks(length, positions, buckets, chunk_bytes), _SENT)
     tied = sent.groupBy("bucket").applyInPandas(_sort_bucket, "chunk long, kind int, a binary, b binary, seen binary")
-    by_text = tied.groupBy("chunk").applyInPandas(_by_text(to_ranges), "key long, ranges binary")
-    # copies of a text have equal ranges; one of them does
-    return by_text.groupBy("key").agg(F.max_by("ranges", F.struct(F.length("ranges"), "ranges")).alias("ranges"))
+    return tied.groupBy("chunk").applyInPandas(_by_text(to_ranges), "key long, ranges binary, n long")
 
 
 def repeated_ranges(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, r: int = COVER, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -206,7 +211,17 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", length: int = LE
     if length <= v:
         raise ValueError(f"length must exceed the cover's period, {v}")
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where(F.octet_length(text_col) >= length)
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a text that stands twice goes as a whole; the others are compared with one of its copies
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    size = F.octet_length("text").cast("long")
+    copied = ws.save(texts.where("copies > 1").select("key", size.alias("size")), "copied")
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    texts = texts.drop("copies")
+
+    def grown(suffixes, total):
+        """Bytes of a chunk that sends CELL suffixes to each bucket."""
+        buckets = suffixes * PACKED / bucket_bytes
+        return max(chunk_bytes, min(MOST_CHUNK_BYTES, int(CELL * buckets * total / max(suffixes, 1))))
 
     def sample(batch, i, size):
         p = (np.arange(0, size, v)[:, None] + residues).ravel()
@@ -217,8 +232,9 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", length: int = LE
         found[:, 1] = np.minimum(found[:, 1], size - length + 1)
         return found[found[:, 0] < found[:, 1]]
 
-    buckets = max(LEAST_BUCKETS, int(total * len(residues) / v * 11 / bucket_bytes))
-    ranks = ws.save(_repeats(texts, length - v + 1, sample, open_starts, buckets, chunk_bytes), "open")
+    samples = total * len(residues) / v
+    ranks = ws.save(_repeats(texts, length - v + 1, sample, open_starts, samples, grown(samples, total), bucket_bytes), "open")
+    opened = ranks.agg(F.sum("n")).first()[0] or 0  # in natural text about a sixth, at worst all of it
 
     def named(batch, i, size):
         return spread(np.frombuffer(batch.column("ranges")[i].as_py(), "<i8").reshape(-1, 2))
@@ -226,10 +242,16 @@ def repeated_ranges(docs: DataFrame, *, text_col: str = "text", length: int = LE
     def covered(p, size):
         return merged(p, p + length)
 
-    # about a sixth of natural text stays open; at worst, all of it, in larger buckets
-    buckets = max(LEAST_BUCKETS, int(total / 6 * 11 / bucket_bytes))
-    removed = ws.save(_repeats(texts.join(ranks, "key"), length, named, covered, buckets, chunk_bytes), "removed")
-    return removed
+    found = _repeats(texts.join(ranks.drop("n"), "key"), length, named, covered, opened, grown(opened, total), bucket_bytes).drop("n")
+    whole = copied.select("key", "size", F.lit(0).cast("long").alias("first"))
+    removed = found.join(copied, "key", "left_anti").unionByName(whole.mapInArrow(_as_ranges, "key long, ranges binary"))
+    return ws.save(removed, "removed")
+
+
+def _as_ranges(batches):
+    for batch in batches:
+        rows = np.stack([batch.column("first").to_numpy(), batch.column("size").to_numpy()], 1).astype("<i8")
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([r.tobytes() for r in rows], pa.binary())], ["key", "ranges"])
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", out: str = "dedup", **options) -> DataFrame:
