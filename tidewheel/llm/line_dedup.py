@@ -161,8 +161,10 @@ def _report(out: DataFrame) -> DataFrame:
 
 def replace_text(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts that stay, every line that isn't blank compared, and n_chars, where there is such a column,
-    to match."""
+    to match. A document all of whose lines are copies of earlier ones is a copy itself, and goes."""
     out = dedup_lines(docs, min_words=1)
     dedup = out.columns[-1]
-    texts = {c: F.col(dedup)["text"] if c == "text" else F.length(F.col(dedup)["text"]).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c) for c in docs.columns}
-    return out.select(*(v.alias(c) for c, v in texts.items()))
+    left = F.col(dedup)["text"]
+    emptied = (F.size(F.col(dedup)["removed"]) > 0) & ~left.rlike(r"[^ \x09-\x0D]")
+    texts = {c: left if c == "text" else F.length(left).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c) for c in docs.columns}
+    return out.where(~F.coalesce(emptied, F.lit(False))).select(*(v.alias(c) for c, v in texts.items()))

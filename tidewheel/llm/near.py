@@ -135,28 +135,32 @@ def compare_sets(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v", "sig_u", "sig_v").mapInArrow(_confirm(threshold), "u long, v long, linked boolean")
 
 
-def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, threshold: int, compare=compare_sets, words: int = 0) -> DataFrame:
+def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, threshold: int, compare=compare_sets, words: int = 0, once: bool = True) -> DataFrame:
     """(node, root) of the components; threshold in hundredths. ``compare`` confirms pairs, as compare_sets does;
     ``words`` is the length of the signatures in ``bits`` of stats.
 
-    A node carries its buckets, and a pair is compared in the least bucket that both share only: that bucket stays
-    open until they are in one component or one of them has been its pivot.
+    With ``once`` a node carries its buckets, and a pair is compared in the least bucket that both share only: that
+    bucket stays open until they are in one component or one of them has been its pivot. Without, for nodes in very
+    many buckets, pairs that were compared are kept and left out.
     """
     able = stats.where(f"100 * (n - rare) >= {threshold} * n")
     kept = held.join(able, "node")
     # of two sets in a bucket the other one is no smaller than its least, and what is rare here is not in it
     least = kept.groupBy("bucket").agg(F.min("n").alias("least"))
     kept = ws.save(kept.join(least, "bucket").where(f"100 * (n - rare) >= {threshold} * (greatest(least, n - rare) + rare)").drop("least"), "able")
-    kept = kept.join(kept.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("own")), "node")  # as many as there are bands at most
-    carried = ["bucket", "node", "n", "rare", "own", *["bits", "few"] * bool(words)]
+    if once:  # a node has as many buckets as there are bands at most
+        kept = kept.join(kept.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("own")), "node")
+    carried = ["bucket", "node", "n", "rare", *["own"] * once, *["bits", "few"] * bool(words)]
     members = ws.save(kept.select(*carried, F.col("node").alias("root")), "members-0")
-    side = F.struct("rare", "node", "n", "own", *["bits", "few"] * bool(words))
+    side = F.struct("rare", "node", "n", *["own"] * once, *["bits", "few"] * bool(words))
     bound = f"100 * least(n - rare, p.n - p.rare) >= {threshold} * greatest(n + p.rare, p.n + rare)"
     if words:
         bound += f" and {' + '.join(f'bit_count(bits[{i}] ^ p.bits[{i}])' for i in range(words))} <= {_bits_apart(threshold, 64 * words)}"
         # halves of shingles may be alike by chance: one more, at most, is taken to be in both
         bound += f" and (few is null or p.few is null or 100 * (size(array_intersect(few, p.few)) + 1) >= {threshold} * (n + p.n - size(array_intersect(few, p.few)) - 1))"
-    roots, number = None, 0
+    if once:
+        bound += " and bucket = array_min(array_intersect(own, p.own))"
+    roots, tried, number = None, None, 0
     while True:
         if roots is None:
             pivots = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(side).alias("p")).where("c > 1").select("bucket", F.col("p.node").alias("pivot_root"), "p")  # the least edited
@@ -169,8 +173,11 @@ def link(ws: Workspace, held: DataFrame, sets: DataFrame, stats: DataFrame, thre
             drawn = f"root != largest and pmod(xxhash64(node), 1048576) * others < 1048576L * {4**number}"
             pivots = members.join(open_, "bucket").where(drawn).select("bucket", F.col("root").alias("pivot_root"), side.alias("p"))
         pivots = ws.save(pivots, f"pivots-{number}")
-        meeting = members.join(pivots, "bucket").where(f"root != pivot_root and {bound} and bucket = array_min(array_intersect(own, p.own))")
+        meeting = members.join(pivots, "bucket").where(f"root != pivot_root and {bound}")
         pairs = meeting.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
+        if not once:
+            pairs = ws.save(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), f"pairs-{number}")
+            tried = pairs if tried is None else tried.unionByName(pairs)
         passed = ws.save(compare(pairs, sets, threshold).where("linked").select("u", "v"), f"linked-{number}")
         if roots is None:
             roots = merged = components(ws, passed, f"roots-{number}")
