@@ -5,7 +5,8 @@ and returns the columns of ``documents``; the last one returns the tokens.
 
 1. quality: the line CRF is fitted on the given labels; documents scoring under
    the threshold go, empty ones among them.
-2. lines: lines within one word of an earlier one go, and ``n_chars`` follows.
+2. lines: lines within one word of an earlier one go, and ``n_chars`` follows;
+   documents of which that leaves nothing, copies of earlier ones, go whole.
 3. near: one document of each group linked by a similarity of 0.8 or more
    stays; documents left without words are linked with nothing and stay.
 4. benchmark: documents that hold a ten-word window of a benchmark item go.
