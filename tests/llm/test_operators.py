@@ -79,6 +79,8 @@ def test_decontamination_in_one_and_more_blocks(spark, docs, rows):
         for r in found.where("contamination_.n_hit > 0").collect():
             assert sum(len(decontaminate.words_of(r.text[a:b])) for a, b in r.contamination_.spans) == r.contamination_.n_hit
     assert decontaminate.find_contamination(docs, table.limit(0)).where("contamination_.n_hit > 0").isEmpty()
+    wide = docs.selectExpr("*", "1 as contamination__i", "2 as contamination__s")
+    assert decontaminate.find_contamination(wide, table, automaton_bytes=300).columns == [*wide.columns, "contamination_"]
 
 
 def test_empty_tables(spark, empty):

@@ -146,16 +146,16 @@ def find_contamination(
         found = ws.save(found.dropDuplicates(["k"]), f"block{b}")
         hits = found if hits is None else hits.unionByName(found)
     merged = hits.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans"))
-    key = fresh(docs, "text_key")
-    joined = docs.withColumn(key, text_key(F.col(text_col))).join(merged.withColumnsRenamed({"k": key, "item_ids": f"{out}_i", "spans": f"{out}_s"}), key, "left")
+    key, some_ids, some_spans = fresh(docs, "text_key"), fresh(docs, f"{out}_i"), fresh(docs, f"{out}_s")
+    joined = docs.withColumn(key, text_key(F.col(text_col))).join(merged.withColumnsRenamed({"k": key, "item_ids": some_ids, "spans": some_spans}), key, "left")
 
     def settle(batches):
         for batch in batches:
             rows = []
-            for text, ids, spans in zip(batch.column(text_col).to_pylist(), batch.column(f"{out}_i").to_pylist(), batch.column(f"{out}_s").to_pylist(), strict=True):
+            for text, ids, spans in zip(batch.column(text_col).to_pylist(), batch.column(some_ids).to_pylist(), batch.column(some_spans).to_pylist(), strict=True):
                 spans = union_spans(spans or [])
                 rows.append({"n_words": len(words_of(text)), "n_hit": sum(len(words_of(text[a:b])) for a, b in spans), "item_ids": ids or [], "spans": spans})
-            keep = [i for i, c in enumerate(batch.schema.names) if c not in (key, f"{out}_i", f"{out}_s")]
+            keep = [i for i, c in enumerate(batch.schema.names) if c not in (key, some_ids, some_spans)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(rows, _ARROW)], [*(batch.schema.names[i] for i in keep), out])
 
     return joined.mapInArrow(settle, T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])).select(*docs.columns, out)
