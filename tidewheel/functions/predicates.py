@@ -30,7 +30,7 @@ def strong_detail_url(url: Column) -> Column:
 def navigation_like(title: Column) -> Column:
     low = F.regexp_replace(F.regexp_replace(strip(F.lower(blank(title))), r"\s+", " "), "^[ :–—-]+|[ :–—-]+$", "")
     named = low.isin(*P.ACTION_ONLY, *P.NAVIGATION) | either(low.startswith(s) for s in P.NAVIGATION_STARTS)
-    return (low == "") | named | (~role_like(title) & blank(title).rlike(rf"(?i)\b(?:{'|'.join(P.NAVIGATION_WORDS)})\b"))
+    return (low == "") | named | (~role_like(title) & blank(title).rlike(P.NAVIGATION_PATTERN))
 
 
 #: Fixed value: source types whose titles must look like a role.

@@ -84,12 +84,13 @@ TITLE_REPLACEMENTS = [
 ]
 
 # The quality gate's words.
-ROLE_NOUNS = (
-    "engineer developer manager analyst architect scientist designer consultant specialist director lead intern associate recruiter "
-    "administrator coordinator executive officer principal staff head counsel attorney accountant controller researcher programmer "
-    "technologist partner representative sre sdet devops qa"
-).split()
-AUTHORITATIVE = "greenhouse lever ashby workday smartrecruiters amazon_json cohesity_json eightfold_pcsx".split()
+ROLE_NOUNS = [
+    "engineer", "developer", "manager", "analyst", "architect", "scientist", "designer", "consultant", "specialist", "director", "lead",
+    "intern", "associate", "recruiter", "administrator", "coordinator", "executive", "officer", "principal", "staff", "head", "counsel",
+    "attorney", "accountant", "controller", "researcher", "programmer", "technologist", "partner", "representative", "sre", "sdet",
+    "devops", "qa",
+]
+AUTHORITATIVE = ["greenhouse", "lever", "ashby", "workday", "smartrecruiters", "amazon_json", "cohesity_json", "eightfold_pcsx"]
 ACTION_ONLY = [
     "apply", "apply now", "learn more", "read more", "see details", "view details", "view role", "view job", "view jobs", "view all jobs",
     "browse jobs", "search jobs", "see jobs", "explore jobs", "explore opportunities", "see open positions",
@@ -102,16 +103,24 @@ NAVIGATION = [
     "contact support",
 ]
 NAVIGATION_STARTS = ["contact ", "explore ", "browse ", "discover ", "view all ", "learn "]
-NAVIGATION_WORDS = [
-    "privacy", "cookie", "terms", "policy", "careers?", "benefits?", "perks?", "awards?", "resources?", "teams?", "culture", "values?",
-    "products?", "solutions?", "developers?", r"life\s+at", r"jobs?\s+at", r"candidate\s+resources?", r"career\s+growth",
-    r"ask questions,?\s*report bugs",
+NAVIGATION_PATTERN = (
+    r"(?i)(?:\b(?:privacy|cookie|terms|policy|careers?)\b|\b(?:benefits?|perks?|awards?|resources?|"
+    r"teams?|culture|values?|products?|solutions?|developers?)\b|\blife\s+at\b|"
+    r"\bjobs?\s+at\b|\bteams?\s+at\b|\bvalues?\s+at\b|\bcandidate\s+resources?\b|"
+    r"\bcareer\s+growth\b|\bask questions,?\s*report bugs\b)"
+)
+DETAIL_MARKERS = [
+    "job", "jobs", "jobdetail", "requisition", "requisitions", "position", "positions", "opening", "openings", "vacancy", "vacancies",
+    "details",
+]
+LISTING_TAILS = ["search", "search-results", "all", "open", "list", "listing", "categories", "category"]
+JOB_QUERY_KEYS = [
+    "jobid", "job_id", "jid", "gh_jid", "reqid", "req_id", "requisitionid", "requisition_id", "positionid", "position_id", "postingid",
+    "posting_id",
+]
+TITLE_HINTS = [
+    "engineer", "engineering", "developer", "manager", "analyst", "architect", "scientist", "designer", "consultant", "specialist",
+    "director", "lead", "intern", "associate", "member", "technical", "product", "sales", "marketing", "finance", "legal", "recruiter",
+    "operations", "support", "security", "qa", "sdet", "devops", "data", "software",
 ]
-DETAIL_MARKERS = "job jobs jobdetail requisition requisitions position positions opening openings vacancy vacancies details".split()
-LISTING_TAILS = "search search-results all open list listing categories category".split()
-JOB_QUERY_KEYS = "jobid job_id jid gh_jid reqid req_id requisitionid requisition_id positionid position_id postingid posting_id".split()
-TITLE_HINTS = (
-    "engineer engineering developer manager analyst architect scientist designer consultant specialist director lead intern associate "
-    "member technical product sales marketing finance legal recruiter operations support security qa sdet devops data software"
-).split()
 GENERIC_LABELS = ["jobs", "careers", "open roles", "open positions", "view jobs", "view all jobs", "see jobs", "search jobs", "explore jobs", "apply", "apply now", "learn more"]

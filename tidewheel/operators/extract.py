@@ -20,7 +20,7 @@ JOB_PATH = r"(?i)/(job|jobs|jobdetail|career|careers|position|positions|opening|
 MODALITY = r"(?i)\b(remote|hybrid|onsite|on-site|india|bengaluru|bangalore|gurugram|gurgaon|pune|hyderabad|mumbai|chennai|noida|delhi)\b"
 #: Script bodies above this many characters aren't parsed.
 SCRIPT_CHARS = 12_000_000
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Anchors(HTMLParser):
@@ -163,14 +163,17 @@ def by_site_rules(rows: DataFrame, url: str, rules: list[tuple[str, str, str]])
 
 #: Aliases of nested JSON records, in order of preference. Fixed values.
 ALIASES = {
-    "title": "title Title jobTitle job_title name positionTitle",
-    "job_url": "jobUrl job_url url absolute_url hostedUrl externalPath JobUrl",
-    "external_id": "id Id _id jobId jobID job_id requisitionId externalId ref positionId positionDisplayId atsJobId reqId",
-    "location": "location locations locationName locationsText city PrimaryLocation locationCountry",
-    "description": "description descriptionPlain jobDescription content ShortDescriptionStr ExternalResponsibilitiesStr",
-    "posted_at": "postedAt posted_at datePosted publishedAt postedOn PostedDate",
+    "title": ["title", "Title", "jobTitle", "job_title", "name", "positionTitle"],
+    "job_url": ["jobUrl", "job_url", "url", "absolute_url", "hostedUrl", "externalPath", "JobUrl"],
+    "external_id": ["id", "Id", "_id", "jobId", "jobID", "job_id", "requisitionId", "externalId", "ref", "positionId", "positionDisplayId", "atsJobId", "reqId"],
+    "location": ["location", "locations", "locationName", "locationsText", "city", "PrimaryLocation", "locationCountry"],
+    "description": ["description", "descriptionPlain", "jobDescription", "content", "ShortDescriptionStr", "ExternalResponsibilitiesStr"],
+    "posted_at": ["postedAt", "posted_at", "datePosted", "publishedAt", "postedOn", "PostedDate"],
 }
-JOB_KEYS = "location locations PrimaryLocation locationCountry jobUrl job_url url id Id jobId requisitionId positionId reqId externalPath description ShortDescriptionStr".split()
+JOB_KEYS = [
+    "location", "locations", "PrimaryLocation", "locationCountry", "jobUrl", "job_url", "url", "id", "Id", "jobId", "requisitionId",
+    "positionId", "reqId", "externalPath", "description", "ShortDescriptionStr",
+]
 
 
 def _objects(value):
@@ -193,7 +196,6 @@ def _place(value) -> str | None:
 
 
 def _json_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    aliases = {k: v.split() for k, v in ALIASES.items()}
     for pdf in batches:
         out = []
         for key, body in zip(pdf["key"], pdf["body"], strict=True):
@@ -202,12 +204,12 @@ def _json_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except ValueError:
                 continue
             for i, obj in enumerate(_objects(root)):
-                found = {f: next((obj[k] for k in names if obj.get(k) not in (None, "", [])), None) for f, names in aliases.items()}
+                found = {f: next((obj[k] for k in names if obj.get(k) not in (None, "", [])), None) for f, names in ALIASES.items()}
                 if isinstance(found["title"], str) and any(k in obj for k in JOB_KEYS):
                     plain = {f: None if v is None else v if isinstance(v, str) else json.dumps(v) if isinstance(v, (dict, list)) else str(v) for f, v in found.items()}
                     plain["location"] = _place(found["location"])
-                    out.append((key, i, *(plain[f] for f in aliases)))
-        yield pd.DataFrame(out, columns=["key", "ord", *aliases])
+                    out.append((key, i, *(plain[f] for f in ALIASES)))
+        yield pd.DataFrame(out, columns=["key", "ord", *ALIASES])
 
 
 def harvest_json(payloads: DataFrame, key: str, body: str) -> DataFrame:

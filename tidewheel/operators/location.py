@@ -11,57 +11,220 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.text import blank, either, strip
 
-# Places with their spellings; a place without a colon has its own name only.
-REGIONS = """
-Andhra Pradesh; Arunachal Pradesh; Assam; Bihar; Chhattisgarh: chhattisgarh, chattisgarh; Goa; Gujarat; Haryana; Himachal Pradesh;
-Jharkhand; Karnataka; Kerala; Madhya Pradesh; Maharashtra; Manipur; Meghalaya; Mizoram; Nagaland; Odisha: odisha, orissa; Punjab;
-Rajasthan; Sikkim; Tamil Nadu: tamil nadu, tamilnadu; Telangana; Tripura; Uttar Pradesh; Uttarakhand: uttarakhand, uttaranchal;
-West Bengal; Andaman and Nicobar Islands: andaman and nicobar, andaman nicobar; Chandigarh;
-Dadra and Nagar Haveli and Daman and Diu: dadra and nagar haveli, daman and diu, dadra nagar haveli;
-Delhi: national capital territory of delhi, nct delhi, delhi; Jammu and Kashmir: jammu and kashmir, jammu kashmir; Ladakh;
-Lakshadweep; Puducherry: puducherry, pondicherry
-"""
-CITIES = """
-Agra; Ahmedabad; Aizawl; Ajmer; Aligarh; Alwar; Amaravati; Amritsar; Anand; Aurangabad: aurangabad, chhatrapati sambhajinagar;
-Bareilly; Belagavi: belagavi, belgaum; Bengaluru: bengaluru, bangalore, b lore; Bhopal; Bhubaneswar: bhubaneswar, bhubaneshwar;
-Bokaro; Chandigarh; Chennai: chennai, madras; Coimbatore; Cuttack; Dehradun; Delhi: new delhi, delhi ncr, delhi; Dhanbad;
-Dharamshala: dharamshala, dharmshala; Durgapur; Faridabad; Gandhinagar; Ghaziabad; Greater Noida; Gurugram: gurugram, gurgaon;
-Guwahati; Gwalior; Hubballi: hubballi, hubli; Hyderabad; Indore; Jaipur; Jalandhar; Jammu; Jamshedpur; Jodhpur; Kanpur;
-Kochi: kochi, cochin; Kolhapur; Kolkata: kolkata, calcutta; Kota; Kozhikode: kozhikode, calicut; Lucknow; Ludhiana; Madurai;
-Mangaluru: mangaluru, mangalore; Meerut; Mohali: mohali, sas nagar, s a s nagar; Mumbai: mumbai, bombay; Mysuru: mysuru, mysore;
-Nagpur; Nashik: nashik, nasik; Navi Mumbai: navi mumbai, new bombay; Nellore; Noida; Panaji: panaji, panjim; Patna;
-Prayagraj: prayagraj, allahabad; Pune: pune, poona; Raipur; Rajkot; Ranchi; Rohtak; Salem; Shillong; Siliguri; Srinagar; Surat;
-Thane; Thiruvananthapuram: thiruvananthapuram, trivandrum; Tiruchirappalli: tiruchirappalli, trichy; Tirupati; Udaipur;
-Vadodara: vadodara, baroda; Varanasi: varanasi, banaras, benares; Vijayawada; Visakhapatnam: visakhapatnam, vizag, vishakhapatnam;
-Warangal
-"""
-LOCALITIES = """
-Bengaluru: whitefield, electronic city, manyata tech park, manyata embassy business park, bellandur, marathahalli, koramangala, hsr layout, sarjapur road;
-Hyderabad: gachibowli, hitec city, hi tech city, madhapur, kondapur, financial district hyderabad, nanakramguda;
-Gurugram: dlf cyber city, cyber hub gurgaon, udyog vihar, golf course road gurgaon, sohna road gurgaon;
-Mumbai: powai, andheri, goregaon, bandra kurla complex, bkc mumbai; Navi Mumbai: airoli, ghansoli;
-Pune: hinjawadi, hinjewadi, kharadi, magarpatta, viman nagar, yerawada, yerwada; Kochi: infopark kochi, smartcity kochi;
-Thiruvananthapuram: technopark trivandrum, technopark thiruvananthapuram; Kolkata: new town kolkata, sector v kolkata, salt lake kolkata
-"""
-OFFICE_CODES = """
-BLR Bengaluru, BGLR Bengaluru, HYD Hyderabad, DEL Delhi, BOM Mumbai, MUM Mumbai, MAA Chennai, CHE Chennai, PNQ Pune, CCU Kolkata,
-KOL Kolkata, AMD Ahmedabad, COK Kochi, TRV Thiruvananthapuram, CJB Coimbatore, GGN Gurugram, JAI Jaipur, IDR Indore, NAG Nagpur,
-GOI Goa, IXC Chandigarh, LKO Lucknow, BBI Bhubaneswar, GAU Guwahati, VTZ Visakhapatnam, VGA Vijayawada, PAT Patna, RPR Raipur, RNC Ranchi
-"""
-STATE_CODES = """
-AP Andhra Pradesh, AR Arunachal Pradesh, AS Assam, BR Bihar, CG Chhattisgarh, GA Goa, GJ Gujarat, GUJ Gujarat, HR Haryana,
-HP Himachal Pradesh, JH Jharkhand, KA Karnataka, KAR Karnataka, KL Kerala, MP Madhya Pradesh, MH Maharashtra, MN Manipur,
-ML Meghalaya, MZ Mizoram, NL Nagaland, OD Odisha, OR Odisha, PB Punjab, RJ Rajasthan, SK Sikkim, TN Tamil Nadu, TS Telangana,
-TG Telangana, TR Tripura, UP Uttar Pradesh, WB West Bengal, AN Andaman and Nicobar Islands, CH Chandigarh, DL Delhi,
-JK Jammu and Kashmir, LA Ladakh, LD Lakshadweep, PY Puducherry
-"""
-FOREIGN = """
-united states, united states of america, usa, canada, united kingdom, great britain, england, scotland, wales, singapore, australia,
-new zealand, germany, france, ireland, netherlands, spain, italy, portugal, sweden, norway, denmark, finland, switzerland, austria,
-belgium, poland, romania, czech republic, czechia, hungary, ukraine, israel, united arab emirates, uae, saudi arabia, qatar, bahrain,
-oman, pakistan, bangladesh, nepal, sri lanka, bhutan, maldives, afghanistan, japan, south korea, korea, china, hong kong, taiwan,
-malaysia, indonesia, philippines, thailand, vietnam, brazil, mexico, argentina, chile, colombia, south africa, kenya, nigeria, egypt
-"""
+# Places with their spellings, codes and countries.
+REGIONS = {
+    "Andhra Pradesh": ["andhra pradesh"],
+    "Arunachal Pradesh": ["arunachal pradesh"],
+    "Assam": ["assam"],
+    "Bihar": ["bihar"],
+    "Chhattisgarh": ["chhattisgarh", "chattisgarh"],
+    "Goa": ["goa"],
+    "Gujarat": ["gujarat"],
+    "Haryana": ["haryana"],
+    "Himachal Pradesh": ["himachal pradesh"],
+    "Jharkhand": ["jharkhand"],
+    "Karnataka": ["karnataka"],
+    "Kerala": ["kerala"],
+    "Madhya Pradesh": ["madhya pradesh"],
+    "Maharashtra": ["maharashtra"],
+    "Manipur": ["manipur"],
+    "Meghalaya": ["meghalaya"],
+    "Mizoram": ["mizoram"],
+    "Nagaland": ["nagaland"],
+    "Odisha": ["odisha", "orissa"],
+    "Punjab": ["punjab"],
+    "Rajasthan": ["rajasthan"],
+    "Sikkim": ["sikkim"],
+    "Tamil Nadu": ["tamil nadu", "tamilnadu"],
+    "Telangana": ["telangana"],
+    "Tripura": ["tripura"],
+    "Uttar Pradesh": ["uttar pradesh"],
+    "Uttarakhand": ["uttarakhand", "uttaranchal"],
+    "West Bengal": ["west bengal"],
+    "Andaman and Nicobar Islands": ["andaman and nicobar", "andaman nicobar"],
+    "Chandigarh": ["chandigarh"],
+    "Dadra and Nagar Haveli and Daman and Diu": ["dadra and nagar haveli", "daman and diu", "dadra nagar haveli"],
+    "Delhi": ["national capital territory of delhi", "nct delhi", "delhi"],
+    "Jammu and Kashmir": ["jammu and kashmir", "jammu kashmir"],
+    "Ladakh": ["ladakh"],
+    "Lakshadweep": ["lakshadweep"],
+    "Puducherry": ["puducherry", "pondicherry"],
+}
+CITIES = {
+    "Agra": ["agra"],
+    "Ahmedabad": ["ahmedabad"],
+    "Aizawl": ["aizawl"],
+    "Ajmer": ["ajmer"],
+    "Aligarh": ["aligarh"],
+    "Alwar": ["alwar"],
+    "Amaravati": ["amaravati"],
+    "Amritsar": ["amritsar"],
+    "Anand": ["anand"],
+    "Aurangabad": ["aurangabad", "chhatrapati sambhajinagar"],
+    "Bareilly": ["bareilly"],
+    "Belagavi": ["belagavi", "belgaum"],
+    "Bengaluru": ["bengaluru", "bangalore", "b lore"],
+    "Bhopal": ["bhopal"],
+    "Bhubaneswar": ["bhubaneswar", "bhubaneshwar"],
+    "Bokaro": ["bokaro"],
+    "Chandigarh": ["chandigarh"],
+    "Chennai": ["chennai", "madras"],
+    "Coimbatore": ["coimbatore"],
+    "Cuttack": ["cuttack"],
+    "Dehradun": ["dehradun"],
+    "Delhi": ["new delhi", "delhi ncr", "delhi"],
+    "Dhanbad": ["dhanbad"],
+    "Dharamshala": ["dharamshala", "dharmshala"],
+    "Durgapur": ["durgapur"],
+    "Faridabad": ["faridabad"],
+    "Gandhinagar": ["gandhinagar"],
+    "Ghaziabad": ["ghaziabad"],
+    "Greater Noida": ["greater noida"],
+    "Gurugram": ["gurugram", "gurgaon"],
+    "Guwahati": ["guwahati"],
+    "Gwalior": ["gwalior"],
+    "Hubballi": ["hubballi", "hubli"],
+    "Hyderabad": ["hyderabad"],
+    "Indore": ["indore"],
+    "Jaipur": ["jaipur"],
+    "Jalandhar": ["jalandhar"],
+    "Jammu": ["jammu"],
+    "Jamshedpur": ["jamshedpur"],
+    "Jodhpur": ["jodhpur"],
+    "Kanpur": ["kanpur"],
+    "Kochi": ["kochi", "cochin"],
+    "Kolhapur": ["kolhapur"],
+    "Kolkata": ["kolkata", "calcutta"],
+    "Kota": ["kota"],
+    "Kozhikode": ["kozhikode", "calicut"],
+    "Lucknow": ["lucknow"],
+    "Ludhiana": ["ludhiana"],
+    "Madurai": ["madurai"],
+    "Mangaluru": ["mangaluru", "mangalore"],
+    "Meerut": ["meerut"],
+    "Mohali": ["mohali", "sas nagar", "s a s nagar"],
+    "Mumbai": ["mumbai", "bombay"],
+    "Mysuru": ["mysuru", "mysore"],
+    "Nagpur": ["nagpur"],
+    "Nashik": ["nashik", "nasik"],
+    "Navi Mumbai": ["navi mumbai", "new bombay"],
+    "Nellore": ["nellore"],
+    "Noida": ["noida"],
+    "Panaji": ["panaji", "panjim"],
+    "Patna": ["patna"],
+    "Prayagraj": ["prayagraj", "allahabad"],
+    "Pune": ["pune", "poona"],
+    "Raipur": ["raipur"],
+    "Rajkot": ["rajkot"],
+    "Ranchi": ["ranchi"],
+    "Rohtak": ["rohtak"],
+    "Salem": ["salem"],
+    "Shillong": ["shillong"],
+    "Siliguri": ["siliguri"],
+    "Srinagar": ["srinagar"],
+    "Surat": ["surat"],
+    "Thane": ["thane"],
+    "Thiruvananthapuram": ["thiruvananthapuram", "trivandrum"],
+    "Tiruchirappalli": ["tiruchirappalli", "trichy"],
+    "Tirupati": ["tirupati"],
+    "Udaipur": ["udaipur"],
+    "Vadodara": ["vadodara", "baroda"],
+    "Varanasi": ["varanasi", "banaras", "benares"],
+    "Vijayawada": ["vijayawada"],
+    "Visakhapatnam": ["visakhapatnam", "vizag", "vishakhapatnam"],
+    "Warangal": ["warangal"],
+}
+LOCALITIES = {
+    "Bengaluru": ["whitefield", "electronic city", "manyata tech park", "manyata embassy business park", "bellandur", "marathahalli", "koramangala", "hsr layout", "sarjapur road"],
+    "Hyderabad": ["gachibowli", "hitec city", "hi tech city", "madhapur", "kondapur", "financial district hyderabad", "nanakramguda"],
+    "Gurugram": ["dlf cyber city", "cyber hub gurgaon", "udyog vihar", "golf course road gurgaon", "sohna road gurgaon"],
+    "Mumbai": ["powai", "andheri", "goregaon", "bandra kurla complex", "bkc mumbai"],
+    "Navi Mumbai": ["airoli", "ghansoli"],
+    "Pune": ["hinjawadi", "hinjewadi", "kharadi", "magarpatta", "viman nagar", "yerawada", "yerwada"],
+    "Kochi": ["infopark kochi", "smartcity kochi"],
+    "Thiruvananthapuram": ["technopark trivandrum", "technopark thiruvananthapuram"],
+    "Kolkata": ["new town kolkata", "sector v kolkata", "salt lake kolkata"],
+}
+OFFICE_CODES = {
+    "BLR": "Bengaluru",
+    "BGLR": "Bengaluru",
+    "HYD": "Hyderabad",
+    "DEL": "Delhi",
+    "BOM": "Mumbai",
+    "MUM": "Mumbai",
+    "MAA": "Chennai",
+    "CHE": "Chennai",
+    "PNQ": "Pune",
+    "CCU": "Kolkata",
+    "KOL": "Kolkata",
+    "AMD": "Ahmedabad",
+    "COK": "Kochi",
+    "TRV": "Thiruvananthapuram",
+    "CJB": "Coimbatore",
+    "GGN": "Gurugram",
+    "JAI": "Jaipur",
+    "IDR": "Indore",
+    "NAG": "Nagpur",
+    "GOI": "Goa",
+    "IXC": "Chandigarh",
+    "LKO": "Lucknow",
+    "BBI": "Bhubaneswar",
+    "GAU": "Guwahati",
+    "VTZ": "Visakhapatnam",
+    "VGA": "Vijayawada",
+    "PAT": "Patna",
+    "RPR": "Raipur",
+    "RNC": "Ranchi",
+}
+STATE_CODES = {
+    "AP": "Andhra Pradesh",
+    "AR": "Arunachal Pradesh",
+    "AS": "Assam",
+    "BR": "Bihar",
+    "CG": "Chhattisgarh",
+    "GA": "Goa",
+    "GJ": "Gujarat",
+    "GUJ": "Gujarat",
+    "HR": "Haryana",
+    "HP": "Himachal Pradesh",
+    "JH": "Jharkhand",
+    "KA": "Karnataka",
+    "KAR": "Karnataka",
+    "KL": "Kerala",
+    "MP": "Madhya Pradesh",
+    "MH": "Maharashtra",
+    "MN": "Manipur",
+    "ML": "Meghalaya",
+    "MZ": "Mizoram",
+    "NL": "Nagaland",
+    "OD": "Odisha",
+    "OR": "Odisha",
+    "PB": "Punjab",
+    "RJ": "Rajasthan",
+    "SK": "Sikkim",
+    "TN": "Tamil Nadu",
+    "TS": "Telangana",
+    "TG": "Telangana",
+    "TR": "Tripura",
+    "UP": "Uttar Pradesh",
+    "WB": "West Bengal",
+    "AN": "Andaman and Nicobar Islands",
+    "CH": "Chandigarh",
+    "DL": "Delhi",
+    "JK": "Jammu and Kashmir",
+    "LA": "Ladakh",
+    "LD": "Lakshadweep",
+    "PY": "Puducherry",
+}
+FOREIGN = [
+    "united states", "united states of america", "usa", "canada", "united kingdom", "great britain", "england", "scotland", "wales",
+    "singapore", "australia", "new zealand", "germany", "france", "ireland", "netherlands", "spain", "italy", "portugal", "sweden",
+    "norway", "denmark", "finland", "switzerland", "austria", "belgium", "poland", "romania", "czech republic", "czechia", "hungary",
+    "ukraine", "israel", "united arab emirates", "uae", "saudi arabia", "qatar", "bahrain", "oman", "pakistan", "bangladesh", "nepal",
+    "sri lanka", "bhutan", "maldives", "afghanistan", "japan", "south korea", "korea", "china", "hong kong", "taiwan", "malaysia",
+    "indonesia", "philippines", "thailand", "vietnam", "brazil", "mexico", "argentina", "chile", "colombia", "south africa", "kenya",
+    "nigeria", "egypt",
+]
 DESCRIPTION_PHRASES = [
     r"\b(?:position|role|job) (?:is )?based in india\b",
     r"\bindia based (?:position|role|job|team)\b",
@@ -71,26 +234,14 @@ DESCRIPTION_PHRASES = [
     r"\bopen to (?:candidates|applicants) (?:located|based) in india\b",
     r"\bwork location india\b",
 ]
-LOCATION_KEYS = "location country city state province region office address workplace place".split()
+LOCATION_KEYS = ["location", "country", "city", "state", "province", "region", "office", "address", "workplace", "place"]
 COUNTRY_KEYS = ["country", "countrycode", "countryid"]
 STATE_KEYS = ["state", "province", "region"]
 
 
-def places(table: str) -> list[tuple[str, str]]:
+def spelled(names: dict[str, list[str]]) -> list[tuple[str, str]]:
     """(spelling, name) pairs, the one to prefer first: the longest, and of those the last name."""
-    out = []
-    for entry in table.replace("\n", " ").split(";"):
-        name, _, spellings = entry.strip().partition(":")
-        out += [(s.strip(), name) for s in (spellings or name.lower()).split(",")]
-    return sorted(out, key=lambda p: (len(p[0]), p[1]), reverse=True)
-
-
-def codes(table: str) -> list[tuple[str, str]]:
-    return [tuple(x.strip().split(" ", 1)) for x in table.replace("\n", " ").split(",")]
-
-
-def names(table: str) -> list[str]:
-    return [x.strip() for x in table.replace("\n", " ").split(",")]
+    return sorted(((s, name) for name, spellings in names.items() for s in spellings), key=lambda p: (len(p[0]), p[1]), reverse=True)
 
 
 def _pairs(rows) -> Column:
@@ -108,8 +259,8 @@ def plain(c: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
 
 
-def _first_of(padded: Column, table: str) -> Column:
-    return F.get(F.filter(_pairs((f" {a} ", n) for a, n in places(table)), lambda r: F.contains(padded, r["a"])), 0)["n"]
+def _first_of(padded: Column, table: dict[str, list[str]]) -> Column:
+    return F.get(F.filter(_pairs((f" {a} ", n) for a, n in spelled(table)), lambda r: F.contains(padded, r["a"])), 0)["n"]
 
 
 def explicit_india(c: Column) -> Column:
@@ -121,14 +272,14 @@ def explicit_india(c: Column) -> Column:
 def explicit_foreign(c: Column) -> Column:
     """The first foreign country named, if India isn't, else null."""
     padded = plain(c)
-    found = F.get(F.filter(_words(names(FOREIGN)), lambda r: F.contains(padded, F.concat(F.lit(" "), r, F.lit(" ")))), 0)
+    found = F.get(F.filter(_words(FOREIGN), lambda r: F.contains(padded, F.concat(F.lit(" "), r, F.lit(" ")))), 0)
     return F.when(~explicit_india(c), found)
 
 
 def _code_of(c: Column) -> Column:
     """The place of the first office code among a text's runs of A-Z and 0-9."""
     runs = F.concat(F.lit(" "), F.regexp_replace(blank(c), "[^A-Z0-9]+", " "), F.lit(" "))
-    return F.get(F.filter(_pairs((f" {code} ", n) for code, n in codes(OFFICE_CODES)), lambda r: F.contains(runs, r["a"])), 0)["n"]
+    return F.get(F.filter(_pairs((f" {code} ", n) for code, n in OFFICE_CODES.items()), lambda r: F.contains(runs, r["a"])), 0)["n"]
 
 
 def with_place(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -136,7 +287,7 @@ def with_place(df: DataFrame, column: str, prefix: str) -> DataFrame:
     n = lambda x: f"{prefix}{x}"
     df = df.withColumns({n("pad"): plain(F.col(column)), n("india"): explicit_india(F.col(column))})
     pad, india = F.col(n("pad")), F.col(n("india"))
-    abroad = F.get(F.filter(_words(names(FOREIGN)), lambda r: F.contains(pad, F.concat(F.lit(" "), r, F.lit(" ")))), 0)
+    abroad = F.get(F.filter(_words(FOREIGN), lambda r: F.contains(pad, F.concat(F.lit(" "), r, F.lit(" ")))), 0)
     df = df.withColumns({n("city"): _first_of(pad, CITIES), n("region"): _first_of(pad, REGIONS), n("local"): _first_of(pad, LOCALITIES), n("code"): _code_of(F.col(column)), n("foreign"): F.when(~india, abroad)})
     city, region, local, code = (F.col(n(x)) for x in ("city", "region", "local", "code"))
     remote = pad.contains("remote")
@@ -149,7 +300,7 @@ def with_place(df: DataFrame, column: str, prefix: str) -> DataFrame:
 def _has_place(c: Column) -> Column:
     """Whether a text names an Indian place and no other country; for the elements of an array."""
     padded = plain(c)
-    every = _words(f" {a} " for t in (CITIES, REGIONS, LOCALITIES) for a, _ in places(t))
+    every = _words(f" {a} " for t in (CITIES, REGIONS, LOCALITIES) for a, _ in spelled(t))
     return explicit_india(c) | (explicit_foreign(c).isNull() & (F.exists(every, lambda a: F.contains(padded, a)) | _code_of(c).isNotNull()))
 
 
@@ -210,7 +361,7 @@ def structured_evidence(values: DataFrame) -> DataFrame:
     in_state = either(path.contains(k) for k in STATE_KEYS)
     values = with_place(values, "value", "v_")
     upper, foreign, padded = F.upper(strip(F.col("value"))), F.col("v_foreign"), F.col("v_pad")
-    state = F.get(F.filter(_pairs(codes(STATE_CODES)), lambda r: r["a"] == upper), 0)["n"]
+    state = F.get(F.filter(_pairs(STATE_CODES.items()), lambda r: r["a"] == upper), 0)["n"]
     says_india = in_country & (upper.isin("IN", "IND", "INDIA") | padded.contains(" india ") | padded.contains(" bharat "))
     by_code = upper.rlike("^[A-Z]{2,3}$")
     rows = values.select(

@@ -187,14 +187,14 @@ def padded(x: str) -> str:
     return f"(' ' || trim(regexp_replace(replace(lower(coalesce({x}, '')), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) || ' ')"
 
 
-def _place_rows(table: str) -> str:
-    return "(VALUES " + ", ".join(f"({text(f' {a} ')}, {text(n)}, {len(a)})" for a, n in L.places(table)) + ") AS t(a, n, k)"
+def _place_rows(table: dict[str, list[str]]) -> str:
+    return "(VALUES " + ", ".join(f"({text(f' {a} ')}, {text(n)}, {len(a)})" for a, n in L.spelled(table)) + ") AS t(a, n, k)"
 
 
 def located() -> str:
     """Tables from ``postings`` to ``located``: (external_id, status, normalized, evidence) by text and description lines."""
-    code = "(VALUES " + ", ".join(f"({text(c)}, {text(n)}, {i})" for i, (c, n) in enumerate(L.codes(L.OFFICE_CODES))) + ") AS t(c, n, i)"
-    foreign = "(VALUES " + ", ".join(f"({text(f' {n} ')}, {text(n)}, {i})" for i, n in enumerate(L.names(L.FOREIGN))) + ") AS t(a, n, i)"
+    code = "(VALUES " + ", ".join(f"({text(c)}, {text(n)}, {i})" for i, (c, n) in enumerate(L.OFFICE_CODES.items())) + ") AS t(c, n, i)"
+    foreign = "(VALUES " + ", ".join(f"({text(f' {n} ')}, {text(n)}, {i})" for i, n in enumerate(L.FOREIGN)) + ") AS t(a, n, i)"
     best = lambda table: f"(SELECT arg_max(n, struct_pack(k := k, n := n)) FROM {_place_rows(table)} WHERE contains(v.pad, a))"
     phrases = " OR ".join(f"regexp_matches(pad, '{p}')" for p in L.DESCRIPTION_PHRASES)
     return f"""lines AS (

@@ -143,7 +143,6 @@ def epoch_all(spark, sf_dir):
 # --- Predicates --------------------------------------------------------------------------------------------------
 
 _ROLE = f"regexp_matches(coalesce(title, ''), '(?i)\\b(?:{'|'.join(P.ROLE_NOUNS)})\\b')"
-_NAVWORDS = "|".join(P.NAVIGATION_WORDS).replace("'", "''")
 _TAILS = "|".join(P.LISTING_TAILS)
 
 
@@ -151,7 +150,7 @@ def _nav(t: str) -> str:
     low = f"regexp_replace(regexp_replace({O.strip(f'lower(coalesce({t}, {O.text('')}))')}, '\\s+', ' ', 'g'), '^[ :–—-]+|[ :–—-]+$', '', 'g')"
     starts = " OR ".join(f"starts_with({low}, {O.text(s)})" for s in P.NAVIGATION_STARTS)
     role = _ROLE.replace("title", t)
-    return f"({low} = '' OR {low} IN ({', '.join(O.text(x) for x in [*P.ACTION_ONLY, *P.NAVIGATION])}) OR {starts} OR (NOT {role} AND regexp_matches(coalesce({t}, ''), '(?i)\\b(?:{_NAVWORDS})\\b')))"
+    return f"({low} = '' OR {low} IN ({', '.join(O.text(x) for x in [*P.ACTION_ONLY, *P.NAVIGATION])}) OR {starts} OR (NOT {role} AND regexp_matches(coalesce({t}, ''), {O.text(P.NAVIGATION_PATTERN)})))"
 
 
 def _strong(url: str) -> str:
