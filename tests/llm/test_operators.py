@@ -290,22 +290,79 @@ def test_image_copies(spark):
     vectors = [(i, rng.normal(size=64).tolist()) for i in range(40)] + [(41, None), (42, []), (43, [1.0] * 64), (44, [None] * 3 + [2.0]), (None, rng.normal(size=64).tolist())]
     vectors.append((50, vectors[0][1]))
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    got = {r.image_id: r.class_id for r in media.report(table).collect() if r.image_id is not None}
+    drawn = media.render(table, edits=(0, 1, 2))  # cropped, turned by a quarter, painted over
+    got = {r.image_id: r.class_id for r in media.copy_classes(drawn).collect() if r.image_id is not None}
     assert np.mean([got[2 * i] == got[2 * i + 1] == 2 * i for i in range(40)]) >= 0.95
     assert got[100] == got[0]
     assert len({got[2 * i] for i in range(40)}) == 40
 
 
+def drawn(n):
+    return [np.random.default_rng(i).integers(0, 256, (8, 8)).astype(np.uint8).repeat(6, 0).repeat(6, 1) for i in range(n)]
+
+
+def test_harder_edits_of_images():
+    """Blurred, resized and freely turned copies: the comparison takes them all, the tables meet most of the first two."""
+    images = drawn(120)
+    found = media.describe(np.stack(images))
+    for kind, least in ((3, 0.95), (4, 0.5), (5, 0.05)):
+        copies = media.describe(np.stack([media.edited(x, kind) for x in images]))
+        assert np.mean([media.agree(a, b) for a, b in zip(found, copies, strict=True)]) >= 0.95
+        assert np.mean([len(np.intersect1d(media.table_keys(*a), media.table_keys(*b))) > 0 for a, b in zip(found, copies, strict=True)]) >= least
+    assert not any(media.agree(a, b) for a, b in zip(found, found[1:]))
+
+
+def test_consensus_against_each_pair(monkeypatch):
+    images = drawn(4)
+    turned = [np.rot90(images[0]), images[1][4:-3, 3:-4], images[3]]
+    for a, b in zip(media.describe(np.stack(images[:3])), [media.describe(x[None])[0] for x in turned], strict=True):
+        bits_a, bits_b = (np.unpackbits(x[1], axis=1).astype(int) for x in (a, b))
+        far = [[int((x != y).sum()) for y in bits_b] for x in bits_a]
+        pairs = []
+        for i, row in enumerate(far):
+            j = row.index(min(row))
+            column = [r[j] for r in far]
+            if row[j] <= media.NEAR and column.index(min(column)) == i:
+                pairs.append((i, j))
+        want = 0
+        for i, j in pairs:
+            ratio, turn = b[0][j, 2] / a[0][i, 2], b[0][j, 3] - a[0][i, 3]
+            move = ratio * np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]])
+            want = max(want, sum(np.hypot(*(move @ (a[0][m, :2] - a[0][i, :2]) - (b[0][n, :2] - b[0][j, :2]))) <= media.MISS for m, n in pairs))
+        want = want if len(pairs) >= media.AGREE else 0
+        for block in (media.BLOCK, 7):
+            monkeypatch.setattr(media, "BLOCK", block)
+            assert media.consensus(a, b) == want
+
+
+def test_images_with_very_many_corners():
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 256, (320, 320)).astype(np.uint8)
+    (a,), (b,) = media.describe(image[None]), media.describe(image[None, 20:, 30:])
+    assert len(a[0]) > 5000 and media.agree(a, b)
+    assert len(np.intersect1d(media.table_keys(*a), media.table_keys(*b))) > 100
+
+
 def test_table_keys_against_each_point():
-    rng = np.random.default_rng(4)
-    points, codes = rng.random((300, 4)), rng.integers(0, 256, (300, media.BITS // 8), dtype=np.uint8)
-    parts, want = codes.view("<u8"), set()
+    points, codes = rng.random((300, 4)) * 6, rng.integers(0, 256, (300, media.BITS // 8), dtype=np.uint8)
+    points[:, 2] = rng.integers(1, 3, 300)
+    bits, want = np.unpackbits(codes, axis=1), set()
+    number = lambda i, t: sum(int(x) << k for k, x in enumerate(bits[i, t * media.WIDTH : (t + 1) * media.WIDTH]))
+    hashed = lambda x: int(media.mix(np.array([x % 2**64], np.uint64))[0])
+    step = 2 * np.pi / media.TURNS
     for i in range(300):
-        near_by = sorted((j for j in range(300) if j != i), key=lambda j: (((points[i, :2] - points[j, :2]) ** 2).sum(), j))
+        same = [j for j in range(300) if j != i and points[j, 2] == points[i, 2]]
+        near_by = sorted(same, key=lambda j: (((points[i, :2] - points[j, :2]) ** 2).sum(), j))[: media.NEIGHBOURS]
         for t in range(media.TABLES):
-            own, other = media.mix(parts[i, t : t + 1]), media.mix(parts[near_by[t % media.NEIGHBOURS], t : t + 1])
-            want.add(int(media.mix(own + other * np.uint64(3) + np.uint64(t + 1)).view(np.int64)[0]))
-    assert set(media.table_keys(points, codes).tolist()) == want
+            seen = []
+            for j in near_by:
+                dy, dx = points[j, :2] - points[i, :2]
+                lies, turned = (round(float(x) / step) % media.TURNS for x in (np.arctan2(dy, dx) - points[i, 3], points[j, 3] - points[i, 3]))
+                seen.append(hashed(number(j, t) * media.TURNS**2 + lies * media.TURNS + turned))
+            own = hashed(number(i, t) * media.TABLES + t)
+            want |= {hashed(own + 3 * (x + y)) for n, x in enumerate(seen) for y in seen[:n]}
+    got = media.table_keys(points, codes)
+    assert set(got.view(np.uint64).tolist()) == want
     assert not len(media.table_keys(points[:2], codes[:2])) and not len(media.table_keys(points[:0], codes[:0]))
 
 
