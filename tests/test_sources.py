@@ -32,6 +32,22 @@ def test_boards(spark):
     assert sorted(r.external_id for r in m.collect()) == ["1", "2"]
 
 
+def test_search_pages(spark):
+    places = [{"Address": "", "City": "Pune", "Region": None, "Country": "India"}, {"Address": "Goa"}, {"Address": "Goa"}]
+    first = {"page": 1, "jobs": [{"Id": 1, "Title": "Baker"}, {"Id": 2, "Title": "Cook", "Locations": places, "Description": "<p>a</p>", "Summary": "b"}, {"Title": "no id"}]}
+    rows = {r.external_id: r for r in landing.uber_positions(payloads(spark, {"page": 2, "jobs": [{"Id": "1", "Title": "Head Baker"}]}, first)).collect()}
+    assert rows.keys() == {"1", "2"} and rows["1"].title == "Head Baker" and rows["1"].location is None
+    assert (rows["2"].location, rows["2"].job_url) == ("Pune, India | Goa", "https://jobs.uber.com/en/jobs/2/")
+    assert rows["2"].description.split() == ["a", "b"]
+    with pytest.raises(Exception, match="no title: 3"):
+        landing.uber_positions(payloads(spark, {"jobs": [{"Id": "3"}]})).collect()
+    listed = ['{"normalizedCityName": "Pune", "country": "India"}', {"city": "Goa", "state": ""}, "Delhi ", "Delhi", "{broken"]
+    jobs = [{"title": "Baker", "job_path": "/en/jobs/77/baker", "locations": listed, "description": " a ", "preferred_qualifications": "b"}, {"title": "Cook", "url": "https://u", "location": "Agra", "postedDate": "May 1"}, {"title": " "}]
+    a, b = sorted(landing.amazon_search(payloads(spark, {"jobs": jobs}, "[", None)).collect(), key=lambda r: r.ord)
+    assert (a.external_id, a.job_url, a.location, a.description) == ("77", "https://www.amazon.jobs/en/jobs/77/baker", "Pune, India; Goa; Delhi; {broken", "a\n\nb")
+    assert (b.external_id, b.job_url, b.location, b.posted_at) == ("https://u", "https://u", "Agra", "May 1")
+
+
 def test_mapped_fields(spark):
     fields = {"external_id": "meta.id", "title": "name", "location": "place.city"}
     row = only(landing.mapped(payloads(spark, {"data": {"list": [{"name": " Head  Baker ", "meta": {"id": 4}}]}}), "custom_api", "data.list", fields))

@@ -89,6 +89,35 @@ def grouped_map(payloads: DataFrame) -> DataFrame:
     return first_of(found, F.asc("ord"))
 
 
+def uber_positions(payloads: DataFrame) -> DataFrame:
+    """Pages of search results; the last row of an id wins, by page and place. A row with an id but no title is an error."""
+    record = "struct<Id:string,Title:string,Description:string,AdditionalText:string,Summary:string,DisplayDate:string,Locations:array<struct<Address:string,City:string,Region:string,Country:string>>>"
+    parsed = payloads.select("company_id", F.from_json("body", f"struct<page:bigint,jobs:array<{record}>>").alias("b"))
+    rows = parsed.select("company_id", F.coalesce("b.page", F.lit(1)).alias("page"), F.posexplode("b.jobs").alias("at", "r"))
+    ident, title = clean_text(F.col("r.Id")), clean_text(F.col("r.Title"))
+    rows = rows.where(F.coalesce(ident != "", F.lit(False))).withColumn("ord", F.row_number().over(Window.partitionBy("company_id", ident).orderBy(F.desc("page"), F.desc("at"))) - 1).where("ord = 0")
+    checked = F.when(F.coalesce(title, F.lit("")) == "", F.raise_error(F.concat(F.lit("no title: "), ident))).otherwise(title)
+    place = lambda x: first_filled(clean_text(x["Address"]), F.concat_ws(", ", *(F.nullif(clean_text(x[c]), F.lit("")) for c in ("City", "Region", "Country"))))
+    places = F.array_join(F.array_distinct(F.filter(F.transform("r.Locations", place), lambda x: F.coalesce(x, F.lit("")) != "")), " | ")
+    text = strip_tags(F.concat_ws("\n", *(F.nullif(F.trim(f"r.{c}"), F.lit("")) for c in ("Description", "AdditionalText", "Summary"))))
+    return _postings(rows, "uber_jobs_api", external_id=ident, title=checked, location=F.nullif(places, F.lit("")), description=text, job_url=F.concat(F.lit("https://jobs.uber.com/en/jobs/"), ident, F.lit("/")), posted_at=clean_text(F.col("r.DisplayDate")))
+
+
+def amazon_search(payloads: DataFrame) -> DataFrame:
+    """Search rows. A place of the list is an object, the JSON text of one, or plain text."""
+    fields = ["title", "job_path", "jobPath", "job_url", "url", "id_icims", "id", "job_id", "jobId", "location", "normalized_location", "description", "basic_qualifications", "preferred_qualifications", "posted_date", "postedDate", "updated_at"]
+    r = _rows(payloads, f"struct<jobs:array<struct<{','.join(f'`{x}`:string' for x in fields)},locations:array<string>>>>", "jobs")
+    of = lambda *names: first_filled(*(clean_text(F.col(f"r.{x}")) for x in names))
+    path = of("job_path", "jobPath")
+    url = F.when(F.coalesce(path, F.lit("")) == "", of("job_url", "url")).when(path.rlike("^https?://"), path).otherwise(F.concat(F.lit("https://www.amazon.jobs/"), F.ltrim(path, F.lit("/"))))
+    in_path = F.nullif(F.regexp_extract(path, "(?i)/jobs/([^/?#]+)", 1), F.lit(""))
+    part = lambda x, kind: first_filled(F.get_json_object(x, f"$.normalized{kind.title()}Name"), F.get_json_object(x, f"$.{kind}"))
+    place = lambda x: F.when(F.ltrim(x).startswith("{") & F.try_parse_json(x).isNotNull(), F.concat_ws(", ", *(F.nullif(part(x, k), F.lit("")) for k in ("city", "state", "country")))).otherwise(clean_text(x))
+    places = F.array_join(F.array_distinct(F.filter(F.transform("r.locations", place), lambda x: F.coalesce(x, F.lit("")) != "")), "; ")
+    text = F.concat_ws("\n\n", *(F.nullif(clean_text(F.col(f"r.{x}")), F.lit("")) for x in ("description", "basic_qualifications", "preferred_qualifications")))
+    return _postings(r, "amazon_json", external_id=first_filled(of("id_icims", "id", "job_id", "jobId"), in_path, url), title=of("title"), location=first_filled(of("location", "normalized_location"), F.nullif(places, F.lit(""))), description=F.nullif(text, F.lit("")), job_url=url, posted_at=of("posted_date", "postedDate", "updated_at"))
+
+
 def first_of(postings: DataFrame, *order: Column) -> DataFrame:
     w = Window.partitionBy("company_id", "external_id").orderBy(*order, "title", "location")
     return postings.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
