@@ -1,7 +1,9 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 
+from tidewheel.operators.stored import stored
 from tidewheel.sources import landing, sinks
 
 
@@ -73,3 +75,9 @@ def test_export(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/x").first().matched_primary == "Java"
     with pytest.raises(ValueError, match="unknown format"):
         sinks.relevance_export(rows, f"{tmp_path}/y", "xml")
+
+
+def test_no_machine_local_tables_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stored(SimpleNamespace(sparkSession=session), "x")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table of its own under ``spark.checkpoint.dir`` (a new local folder only where that is unset).
+    """``df`` as a table of its own under ``spark.checkpoint.dir`` (a new local folder only where that is unset and Spark runs in one process).
 
     What reads it starts from its files: filters on computed columns reach the
     scan instead of computing the columns twice, and a lost executor costs a
@@ -18,6 +18,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
