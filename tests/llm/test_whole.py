@@ -1,12 +1,15 @@
 """Pipeline stages on what an operator's own query leaves out."""
 
 import random
+from types import SimpleNamespace
 
 import duckdb
+import pytest
 
 import corpus_pipeline
 from tests.llm import brute
 from tidewheel.llm import line_dedup, queries
+from tidewheel.llm.common import shared_root
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,3 +68,9 @@ def test_every_line_against_sql(spark):
     columns = ["doc_id", "n_lines", "n_removed", "kept_sha256"]
     got = line_dedup.report_every(spark.read.parquet(f"{DATA}/documents.parquet"))
     assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(con.execute(queries.OP5_EVERY_SQL).fetchall())
+
+
+def test_no_machine_local_work_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(session)

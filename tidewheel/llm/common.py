@@ -13,9 +13,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``; a new local one only where that is unset and Spark
+    runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
