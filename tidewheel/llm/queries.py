@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import bpe, crf_quality, decontaminate, langid, line_dedup, media, minhash, paragraph_dedup, ring_shards, suffix_dedup
+from tidewheel.llm import bpe, byte_bpe, crf_quality, decontaminate, filter_audit, langid, line_dedup, media, minhash, paragraph_dedup, ring_shards, runs, suffix_dedup
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -61,6 +61,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.report(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -74,6 +88,9 @@ def queries() -> dict:
         "op8_crf_quality": op8_crf_quality,
         "op9_langid": op9_langid,
         "op10_media": op10_media,
+        "op11_runs": op11_runs,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
@@ -173,5 +190,41 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN least_of ON d.doc_id = u
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), first AS (
+  SELECT t, min(doc_id) AS least FROM d GROUP BY t
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, concat(
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN least < d.doc_id THEN 'E' ELSE '' END) AS failed
+  FROM d JOIN first USING (t) LEFT JOIN marks ON d.doc_id = marks.doc_id
+), combos AS (
+  SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed
+), c AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS o FROM c v, c w, c x, c y, c z
+  WHERE len(list_distinct([v.c, w.c, x.c, y.c, z.c])) = 5
+), steps AS (
+  SELECT o, step, o[step] AS own, o[1 : step - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), judged AS (
+  SELECT part, o, step, own, n, good, toxic, failed, contains(failed, own) AS fails, len(translate(failed, earlier, '')) < len(failed) AS gone FROM combos, steps
+), counted AS (
+  SELECT part, o, step, own, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed, sum(n) FILTER (fails AND gone) AS redundant,
+         sum(n) FILTER (failed = own) AS unique_fails, sum(good) FILTER (fails AND NOT gone) AS good_lost, sum(toxic) FILTER (fails AND NOT gone) AS toxic_lost
+  FROM judged GROUP BY part, o, step, own
+)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_line_dedup": OP5_SQL, "op5_every_line": OP5_EVERY_SQL, "op7_minhash": OP7_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_line_dedup": OP5_SQL, "op5_every_line": OP5_EVERY_SQL, "op7_minhash": OP7_SQL, "op12_filter_audit": OP12_SQL}
