@@ -5,23 +5,52 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table of its own under ``spark.checkpoint.dir`` (a new local folder only where that is unset and Spark runs in one process).
-
-    What reads it starts from its files: filters on computed columns reach the
-    scan instead of computing the columns twice, and a lost executor costs a
-    reread. The table stays until the folder is cleared.
-    """
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a new local folder only where that is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table of its own under :func:`shared_root`.
+
+    What reads it starts from its files: filters on computed columns reach the
+    scan instead of computing the columns twice, and a lost executor costs a
+    reread. The table stays until the folder is cleared.
+    """
+    return _written(df, f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that are deleted together at the end of a ``with`` block, whose result must be stored elsewhere."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.count = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        return _written(df, f"{self.path}/{self.count}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import predicates as R
 from tidewheel.functions import profile as P
 from tidewheel.functions import text as T
-from tidewheel.operators import extract, gate, health, inventory, location, neardup, relevance
+from tidewheel.operators import extract, gate, health, inventory, location, neardup, relevance, runs
 from tidewheel.operators.stored import stored
 from tidewheel.plans import oracle as O
 from tidewheel.plans import views as V
@@ -703,10 +703,23 @@ def similar_pairs(spark, sf_dir):
     return neardup.similar_pairs(V.read(spark, sf_dir, "documents"), "lang", "doc_id", "text")
 
 
+def _to_mark(spark, sf_dir):
+    """The stored analysis with what marking compares."""
+    p = V.postings(spark, sf_dir).select(*KEY, "location", "description")
+    return _analyses(spark, sf_dir).withColumn("first_seen", c("first_seen_day")).join(p, KEY)
+
+
 @query("ndp01_near_duplicates")
 def near_duplicates(spark, sf_dir):
-    p = V.postings(spark, sf_dir).withColumn("block", T.near_block(c("company_id"), c("title"), c("location")))
-    return neardup.mark(p, "block", "external_id", "description", ["first_seen_day", "ord"])
+    return neardup.near_duplicates(_to_mark(spark, sf_dir))
+
+
+@query("ndp01_marked_analysis")
+def marked_analysis(spark, sf_dir):
+    """CDC-11 over the marks that NDP-01 finds."""
+    a = _to_mark(spark, sf_dir)
+    marked = runs.mark_duplicates(a.select(*KEY, "relevance_status", "is_relevant", "filter_reason"), neardup.near_duplicates(a))
+    return marked.groupBy("relevance_status", "is_relevant", F.col("duplicate_of_external_id").isNotNull().alias("marked")).agg(F.count("*").alias("n"))
 
 
 # --- Pages -------------------------------------------------------------------------------------------------------
