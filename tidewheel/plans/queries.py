@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import predicates as R
 from tidewheel.functions import profile as P
 from tidewheel.functions import text as T
-from tidewheel.operators import extract, gate, health, inventory, location, neardup, relevance, runs
+from tidewheel.operators import extract, gate, health, inventory, location, matching, neardup, relevance, runs
 from tidewheel.operators.stored import stored
 from tidewheel.plans import oracle as O
 from tidewheel.plans import views as V
@@ -722,6 +722,30 @@ def marked_analysis(spark, sf_dir):
     return marked.groupBy("relevance_status", "is_relevant", F.col("duplicate_of_external_id").isNotNull().alias("marked")).agg(F.count("*").alias("n"))
 
 
+# --- Matching ----------------------------------------------------------------------------------------------------
+
+
+def _official(spark, sf_dir):
+    """A board's own list, as two in three postings in another order with their cards' texts, against the postings that are active."""
+    p = V.postings(spark, sf_dir)
+    records = p.where("ord % 3 != 1").select((c("ord") * 7919 % 1_000_003 * 10_000_000 + c("ord")).alias("r"), "title", F.when(c("ord") % 4 != 0, F.concat_ws(" ", "title", "location")).alias("context"), "ord")
+    return records, p.where("active").select(c("ord").alias("j"), "title", "location")
+
+
+@query("join15_match")
+def match(spark, sf_dir):
+    records, jobs = _official(spark, sf_dir)
+    return matching.one_to_one(records, jobs)
+
+
+@query("join15_missing")
+def missing(spark, sf_dir):
+    records, jobs = _official(spark, sf_dir)
+    probes = records.join(V.probes(spark, sf_dir).where("turn = 0"), c("ord") == c("conv_id")).select("r", "status", "body")
+    judged = matching.missing_records(records, matching.one_to_one(records, jobs), probes)
+    return judged.groupBy("verdict", "reason").agg(F.count("*").alias("n"))
+
+
 # --- Pages -------------------------------------------------------------------------------------------------------
 
 
