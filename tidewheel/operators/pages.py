@@ -481,6 +481,21 @@ def visible_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
 
 
+def main_text(pages: DataFrame) -> DataFrame:
+    """(page_id, main): the text of the page's main element, else of its first article, else null."""
+
+    def main(html: str | None) -> str | None:
+        page = Page(html)
+        found = next((n for tag in ("main", "article") if (n := page.first(0, lambda e: e.tag == tag)) is not None), None)
+        return page.text_of(found) or None if found is not None else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"page_id": pdf["page_id"], "main": [main(h) for h in pdf["html"]]})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, main string")
+
+
 # --- Cards by selectors -------------------------------------------------------------------------------------------
 
 

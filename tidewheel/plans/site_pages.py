@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.operators import extract, pages
+from tidewheel.operators import canonical, extract, pages
 from tidewheel.plans import views as V
 from tidewheel.plans.queries import c, query
 
@@ -141,3 +141,29 @@ def captured(spark, sf_dir):
 def all_outlinks(spark, sf_dir):
     rows = pages.outlinks(job_pages(spark, sf_dir).where("page_id % 5 in (3, 4)"), ["kula.ai", "payu.in"])
     return rows.where("target rlike 'careers/details|apply|/x/job/'").groupBy("page_id").agg(F.count("*").cast("int").alias("n"))
+
+
+_SITES = ["phenom", "goldman", "atlassian", "trakstar", "kula", "avature", "eightfold"]
+_LINKS = ["/us/en/job/R{k}/x", "/roles/{k}", "/company/careers/details/{k}", "/jobs/oa{k}", "/acme/jobs/{k}", "/careers/JobDetail/Cook/{k}", "/careers/job/{k}"]
+
+
+@query(
+    "src17_canonical",
+    f"""WITH e AS (SELECT event_id AS k, CAST(event_id AS VARCHAR) AS n, event_id % 7 AS s, event_id // 7 % 3 AS form FROM events), p AS (SELECT *, CASE s {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_SITES))} END AS site FROM e)
+    SELECT k, site, CASE WHEN form = 0 THEN CASE s WHEN 0 THEN 'R' || n WHEN 3 THEN 'oa' || n WHEN 6 THEN 'own' ELSE n END WHEN form = 1 THEN CASE WHEN s = 0 THEN lpad(n, 9, '0') ELSE n END ELSE 'own' END AS external_id,
+      CASE WHEN form = 0 THEN CASE s WHEN 0 THEN 'https://h.example/us/en/job/R' || n || '/x' WHEN 1 THEN 'https://higher.gs.com/roles/' || n WHEN 2 THEN 'https://www.atlassian.com/company/careers/details/' || n WHEN 3 THEN 'https://h.example/jobs/oa' || n
+        WHEN 4 THEN 'https://careers.kula.ai/acme/' || n WHEN 5 THEN 'https://h.example/careers/JobDetail/Cook/' || n ELSE 'https://own.example/careers/job/' || n END
+      WHEN form = 1 THEN CASE s WHEN 1 THEN 'https://higher.gs.com/roles/' || n WHEN 2 THEN 'https://www.atlassian.com/company/careers/details/' || n WHEN 5 THEN 'https://own.example/en_US/careers/JobDetail?jobId=' || n END
+      ELSE 'https://h.example/about/' || n END AS job_url
+    FROM p WHERE form = 0 OR (form = 1 AND s != 3) OR (form = 2 AND s IN (0, 4, 6))""",
+)
+def canonical_rows(spark, sf_dir):
+    """Every event as a posting of one of seven sites: with its link, without a link but an id of the right form, or with neither."""
+    k, n = c("event_id"), c("event_id").cast("string")
+    form = F.floor(k / 7) % 3
+    site = V.pick(k, _SITES)
+    link = F.concat(F.when(site == "eightfold", "https://t.eightfold.ai").otherwise("https://h.example"), F.replace(V.pick(k, _LINKS), F.lit("{k}"), n))
+    own = F.when(form == 1, F.when(site == "phenom", F.lpad(n, 9, "0")).otherwise(n)).when((form == 2) | (site == "eightfold"), "own")
+    rows = V.read(spark, sf_dir, "events").select(k.alias("ord"), site.alias("site"), F.lit("acme").alias("company_id"), own.alias("external_id"), F.concat(F.lit("T"), n).alias("title"), F.lit(None).cast("string").alias("location"), F.when(form == 0, link).when(form == 2, F.concat(F.lit("https://h.example/about/"), n)).alias("job_url"))
+    boards = spark.createDataFrame([("acme", "acme", "https://own.example/", None)], "company_id string, tenant string, base string, locale string")
+    return canonical.canonicalize(rows, canonical.canonical_rules(spark), boards).select(c("ord").alias("k"), "site", "external_id", "job_url")
