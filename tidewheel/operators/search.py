@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.predicates import text_search
+from tidewheel.functions.predicates import mentions_india, text_search
 
 #: How serious a board's state is, the worst first: fixed values.
 SEVERITY = ["failed", "suspicious", "healthy_with_fallback", "healthy", "disabled", "never_verified"]
@@ -39,6 +39,66 @@ def run_jobs(frozen: DataFrame, *, event: str | None = None, relevant: bool | No
     return frozen
 
 
+def relevance(rows: DataFrame, *, query: str | None = None, company_id: str | None = None, status: str | None = None, family: str | None = None, change_type: str | None = None, relevant_only: bool = False, min_score: float | None = None, posted_since: str | None = None, first_seen_since: Column | None = None, target_only: bool = True) -> DataFrame:
+    """Active analysed postings that pass each filter that is given; ``rows``: the inventory joined with its analysis.
+
+    ``target_only``: those whose normal location names India. A row without points fails any ``min_score``.
+    """
+    rows = postings(rows.where("active"), query=query, company_id=company_id, posted_since=posted_since, first_seen_since=first_seen_since)
+    if target_only:
+        rows = rows.where(mentions_india(F.col("normalized_location")))
+    for name, value in (("relevance_status", status), ("role_family", family), ("last_change_type", change_type)):
+        if value:
+            rows = rows.where(F.col(name) == value)
+    rows = rows.where("is_relevant") if relevant_only else rows
+    return rows if min_score is None else rows.where(F.col("relevance_score") >= min_score)
+
+
+def relevance_page(rows: DataFrame, number: int = 1, size: int = 50, **filters) -> DataFrame:
+    """One page of :func:`relevance`, relevant postings first, then by score, company and title (then by key), with total and pages."""
+    order = [F.desc("is_relevant"), F.desc("relevance_score"), "company_name", "title", "company_id", "external_id"]
+    return page(relevance(rows, **filters), order, number, size)
+
+
+#: The order of a run's events. Fixed values.
+EVENT_ORDER = ["new", "changed", "closed"]
+
+
+def run_page(frozen: DataFrame, run, number: int = 1, size: int = 50, *, query: str | None = None, company_id: str | None = None, **filters) -> DataFrame:
+    """One page of a run's frozen rows with names and titles: new, changed, closed and other events, better scores first, with total and pages."""
+    rows = run_jobs(frozen.where(F.col("run") == run), **filters)
+    if query:
+        rows = rows.where(text_search(query, F.col("title"), F.col("company_name"), F.col("location")))
+    if company_id:
+        rows = rows.where(F.col("company_id") == company_id)
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, EVENT_ORDER)), F.col("event")), F.lit(0).cast("long")), F.lit(len(EVENT_ORDER) + 1).cast("long"))
+    return page(rows, [rank, F.desc(F.coalesce("relevance_score", F.lit(-1.0))), "company_name", "title", "company_id", "external_id"], number, size)
+
+
+def lookup(rows: DataFrame, **key) -> DataFrame:
+    """The rows of one key, such as run, company_id and external_id."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def relevance_stats(rows: DataFrame) -> DataFrame:
+    """All figures of the analysis in one row; ``rows``: the inventory left-joined with its analysis (no status: not analysed).
+
+    active_jobs, analyzed, pending, relevant_jobs, new_changed, relevant_new_changed and the maps ``statuses`` and ``filter_reasons``.
+    """
+    active = rows.where("active")
+    recent, done, good = F.col("last_change_type").isin("new", "changed"), F.col("relevance_status").isNotNull(), F.coalesce("is_relevant", F.lit(False))
+    counted = active.groupBy("relevance_status", F.when(F.col("relevance_status") == "filtered", F.coalesce("filter_reason", F.lit("unknown"))).alias("reason")).agg(
+        F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if(done & recent).alias("recent"), F.count_if(good & recent).alias("good_recent")
+    )
+    total = lambda c, when=None: F.coalesce(F.sum(c if when is None else F.when(when, F.col(c))), F.lit(0))
+    # a status or a reason is a row by now
+    tally = lambda name: F.aggregate(F.collect_list(F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("k"), "n"))), F.create_map().cast("map<string,bigint>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["k"]), F.create_map(x["k"], F.coalesce(F.try_element_at(m, x["k"]), F.lit(0).cast("long")) + x["n"])))
+    figures = counted.agg(total("n").alias("active_jobs"), total("n", done).alias("analyzed"), total("good").alias("relevant_jobs"), total("recent").alias("new_changed"), total("good_recent").alias("relevant_new_changed"), tally("relevance_status").alias("statuses"), tally("reason").alias("filter_reasons"))
+    return figures.withColumn("pending", F.col("active_jobs") - F.col("analyzed"))
+
+
 def boards(rows: DataFrame, *, query: str = "", enabled: bool | None = None, health: str | None = None, source: str | None = None) -> DataFrame:
     """Boards by a text in name or id, by switch, state and source type."""
     if text := query.strip().lower():

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,23 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         delete(self.spark, self.path)
+
+
+def files_key(spark: SparkSession, path: str) -> str:
+    """What changes when the files under ``path`` do: their names, sizes and times."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return repr(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
+
+
+def stored_once(make: Callable[[], DataFrame], label: str, key: str, spark: SparkSession) -> DataFrame:
+    """The table that ``make`` gives, written once for each ``key`` under :func:`shared_root` and read from then on.
+
+    ``key`` says what the table is made from (as :func:`files_key`) and by which rules.
+    """
+    path = f"{shared_root(spark)}/{label}-{hashlib.md5(key.encode()).hexdigest()}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -11,7 +11,7 @@ from tidewheel.functions import predicates as R
 from tidewheel.functions import profile as P
 from tidewheel.functions import text as T
 from tidewheel.operators import extract, gate, health, inventory, location, matching, neardup, relevance, runs
-from tidewheel.operators.stored import stored
+from tidewheel.operators.stored import files_key, stored_once
 from tidewheel.plans import oracle as O
 from tidewheel.plans import views as V
 
@@ -235,9 +235,9 @@ def _analysed(spark, sf_dir):
 
 
 def _analyses(spark, sf_dir):
-    """The stored analysis, which searches and counts read."""
+    """The stored analysis, which searches and counts read; made once for the postings' files and the rules."""
     keep = ["ord", "company_id", "external_id", "company_name", "title", "active", "last_change_type", "posted_at", "first_seen_day", "location_status", *relevance.SCORED]
-    return stored(_analysed(spark, sf_dir).select(*keep), "analysis")
+    return stored_once(lambda: _analysed(spark, sf_dir).select(*keep), "analysis", P.RULESET + files_key(spark, f"{sf_dir}/documents.parquet"), spark)
 
 
 _POLICY_COLUMNS = ["external_id", "normalized_location", "hard_filtered", "is_relevant", "relevance_status", "filter_reason", "relevance_score"]
