@@ -100,6 +100,13 @@ def test_registered_marks_equal_a_plain_loop_over_the_surveyed_rows(spark):
     assert got == {k: v[1] for k, v in want.items() if v is not None} and rows
 
 
+def test_registered_documents_equal_a_plain_loop(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.canonical for r in plans.QUERIES["ndp01_documents"](spark, sf).collect()}
+    rows = plans.V.read(spark, sf, "documents").select("doc_id", "lang", normalize_text(F.col("text")).alias("t")).orderBy("doc_id").collect()
+    assert got == {k: v for k, v in greedy([(r.doc_id, r.lang, r.t or "") for r in rows]).items() if v is not None} and len(got) > 5
+
+
 def test_marked_analysis(spark):
     """The surveyed case: two postings of one place and text; the better one stays relevant."""
     rows = [("acme", "a", "Full Stack Engineer", "Bangalore", "3+ years Java", True, False, 70.0, "2026-01-02"), ("acme", "b", "Full Stack Engineer", "Bengaluru", "3+ years Java", True, False, 80.0, "2026-01-03"), ("acme", "c", "Full Stack Engineer", "Bengaluru", "3+ years Java", False, False, 90.0, "2026-01-01"), ("acme", "d", "Full Stack Engineer", "Pune", "3+ years Java", True, False, 60.0, "2026-01-01")]

@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
+import tidewheel.plans.artifacts  # noqa: F401
 import tidewheel.plans.history  # noqa: F401
 import tidewheel.plans.reports  # noqa: F401
+import tidewheel.plans.site_pages  # noqa: F401
 from tidewheel.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"

@@ -18,7 +18,7 @@ def test_epoch_of_all_events(spark, tmp_path):
     for i in ids:
         s = (i or 0) % 90000 * 86400 + (i or 0) % 86400
         want[i] = f"{(start + datetime.timedelta(seconds=s)).isoformat()}+00:00" if s else None
-    got = Q.QUERIES["scl17_epoch_all"](spark, str(tmp_path)).collect()
+    got = Q.QUERIES["scl17_epoch"](spark, str(tmp_path)).collect()
     assert len(got) == len(ids) and {r.event_id: r.posted for r in got} == want
 
 
@@ -39,4 +39,4 @@ def test_every_window(spark):
 
 def test_windows_grow_with_the_history(spark):
     boards = V.snapshots(spark, DATA).groupBy("company_id").agg(F.countDistinct("run").alias("n")).collect()
-    assert Q.QUERIES["rcn04_window_verdict_all"](spark, DATA).count() == sum(max(b.n - 2, 0) for b in boards) > len(boards)
+    assert Q.QUERIES["rcn04_window_verdict"](spark, DATA).count() == sum(max(b.n - 2, 0) for b in boards) > len(boards)

@@ -119,8 +119,18 @@ def is_relevant(status: Column) -> Column:
     return status.isin("high", "good", "possible")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many partitions as there are cores at least, before work that is heavy for each row.
+
+    A table of one file and row group would be one task's otherwise; tables of more splits than cores stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def score(postings: DataFrame) -> DataFrame:
     """Postings with the scoring columns."""
+    postings = spread(postings)
     texts = with_sections(postings, "description", {"_required": P.REQUIRED_HEADINGS, "_preferred": P.PREFERRED_HEADINGS})
     mentions = (experience_mentions(c) for c in (F.col("_required"), blank(F.col("description")), F.col("_preferred")))
     texts = texts.withColumns(

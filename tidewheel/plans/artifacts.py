@@ -147,12 +147,12 @@ def merged_state(spark, sf_dir):
 
 
 @query(
-    "rcn01_merged_passes",
+    "rcn01_field_merge",
     """WITH r AS (SELECT user_id AS k, event_id AS n, [event_type, event_type || (event_id % 3)] AS tags, repeat(chr(CAST(97 + event_id % 5 AS INTEGER)), CAST(event_id % 4 AS INTEGER)) AS t, CASE WHEN event_id % 3 != 0 THEN event_id END AS v FROM events),
     u AS (SELECT k, unnest(tags) AS tag, n, unnest(range(2)) AS i FROM r), first AS (SELECT k, tag, min(n * 2 + i) AS pos FROM u GROUP BY ALL)
     SELECT k, (SELECT string_agg(tag, ',' ORDER BY pos) FROM first f WHERE f.k = r.k) AS tags, arg_max(t, length(t) * 1000000000 + n) FILTER (t != '') AS t, arg_max(v, n) FILTER (v IS NOT NULL) AS v, count(*) AS passes FROM r GROUP BY k""",
 )
-def merged_passes(spark, sf_dir):
+def field_merge(spark, sf_dir):
     e = V.read(spark, sf_dir, "events")
     k = c("event_id")
     t = F.repeat(F.char(97 + k % 5), (k % 4).cast("int"))

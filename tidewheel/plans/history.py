@@ -108,9 +108,9 @@ def event_mix(spark, sf_dir):
     return inventory.replay(V.snapshots(spark, sf_dir)).where(c("content").ilike("%c%")).groupBy("company_id", "event").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("keys"))
 
 
-@query("srt06_issues", f"""WITH {O.RESULTS}, {O.BOARDS}, r AS (SELECT *, lag(jobs_found) OVER (PARTITION BY company_id ORDER BY run) AS p FROM results), w AS (SELECT company_id, count(*) FILTER (p > 0 AND jobs_found < p * (1 - 0.8::DOUBLE)) AS drops FROM r GROUP BY 1)
+@query("srt06_drops", f"""WITH {O.RESULTS}, {O.BOARDS}, r AS (SELECT *, lag(jobs_found) OVER (PARTITION BY company_id ORDER BY run) AS p FROM results), w AS (SELECT company_id, count(*) FILTER (p > 0 AND jobs_found < p * (1 - 0.8::DOUBLE)) AS drops FROM r GROUP BY 1)
     SELECT company_id, drops FROM w JOIN boards USING (company_id) WHERE drops > 0 ORDER BY drops DESC, rank LIMIT 8""")
-def issues(spark, sf_dir):
+def drops(spark, sf_dir):
     h = health.run_health(V.results(spark, sf_dir)).groupBy("company_id").agg(F.count_if(c("status") == "suspicious").alias("drops")).where("drops > 0")
     return h.join(V.boards(spark, sf_dir), "company_id").orderBy(F.desc("drops"), "rank").limit(8).select("company_id", "drops")
 

@@ -22,6 +22,8 @@ KEY = ["company_id", "external_id"]
 
 def query(name: str, sql: str | None = None):
     def keep(f):
+        if name in QUERIES:
+            raise ValueError(f"a query {name} is there already")
         QUERIES[name] = f
         if sql:
             ORACLE[name] = sql
@@ -125,17 +127,8 @@ def title_evidence(spark, sf_dir):
     return V.probes(spark, sf_dir).select("conv_id", "turn", T.title_evidence(c("title"), c("body")).alias("found"))
 
 
-_DAYS = 2_900_000  # as many as four digits of a year hold
-
-
-@query("scl17_epoch", f"SELECT event_id, CASE WHEN event_id % {_DAYS} > 0 THEN strftime(TIMESTAMP '1970-01-01' + to_days(CAST(event_id % {_DAYS} AS INTEGER)), '%Y-%m-%dT%H:%M:%S+00:00') END AS posted FROM events")
+@query("scl17_epoch", "SELECT event_id, CASE WHEN s > 0 THEN strftime(make_timestamp(CAST(s * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') END AS posted FROM (SELECT event_id, event_id % 90000 * 86400 + event_id % 86400 AS s FROM events)")
 def epoch(spark, sf_dir):
-    """Every event: the id, folded into days."""
-    return V.read(spark, sf_dir, "events").select("event_id", T.epoch_iso((c("event_id") % _DAYS * 86400).cast("string")).alias("posted"))
-
-
-@query("scl17_epoch_all", "SELECT event_id, CASE WHEN s > 0 THEN strftime(make_timestamp(CAST(s * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') END AS posted FROM (SELECT event_id, event_id % 90000 * 86400 + event_id % 86400 AS s FROM events)")
-def epoch_all(spark, sf_dir):
     """Every event: the id is folded into 90000 days and the seconds of a day, which the year's four digits hold."""
     return V.read(spark, sf_dir, "events").select("event_id", T.epoch_iso((c("event_id") % 90000 * 86400 + c("event_id") % 86400).cast("string")).alias("posted"))
 
@@ -594,44 +587,6 @@ def merged_passes(spark, sf_dir):
     return health.merge_passes(V.snapshots(spark, sf_dir), KEY, "content", "run")
 
 
-_WINDOWS = f"WITH {O.SNAPSHOTS}, n AS (SELECT *, dense_rank() OVER (PARTITION BY company_id ORDER BY run) AS k FROM snapshots), b AS (SELECT * FROM n WHERE k = 1), p AS (SELECT * FROM n WHERE k = 2), a AS (SELECT * FROM n WHERE k = 3)"
-
-
-def _three(spark, sf_dir):
-    n = V.snapshots(spark, sf_dir).withColumn("k", F.dense_rank().over(Window.partitionBy("company_id").orderBy("run")))
-    return [n.where(c("k") == k) for k in (1, 2, 3)]
-
-
-@query(
-    "rcn04_window_verdict",
-    f"""{_WINDOWS}, s AS (SELECT company_id, external_id FROM b INTERSECT SELECT company_id, external_id FROM a), u AS (SELECT company_id, external_id FROM b UNION SELECT company_id, external_id FROM a)
-    SELECT *, CASE WHEN missing = 0 AND extra = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT company_id, (SELECT count(*) FROM s WHERE s.company_id = g.company_id) AS stable, (SELECT count(*) FROM s WHERE s.company_id = g.company_id AND external_id NOT IN (SELECT external_id FROM p WHERE p.company_id = g.company_id)) AS missing,
-    (SELECT count(*) FROM p WHERE p.company_id = g.company_id AND external_id NOT IN (SELECT external_id FROM u WHERE u.company_id = g.company_id)) AS extra FROM (SELECT DISTINCT company_id FROM n) g)""",
-)
-def window_verdict(spark, sf_dir):
-    before, produced, after = _three(spark, sf_dir)
-    return health.window_verdict(before, produced, after, KEY, "company_id")
-
-
-@query("set01_stable", f"{_WINDOWS} SELECT company_id, external_id FROM b INTERSECT SELECT company_id, external_id FROM a")
-def stable(spark, sf_dir):
-    before, _, after = _three(spark, sf_dir)
-    return before.select(*KEY).intersect(after.select(*KEY))
-
-
-@query("set02_missing", f"{_WINDOWS} (SELECT company_id, external_id FROM b INTERSECT SELECT company_id, external_id FROM a) EXCEPT SELECT company_id, external_id FROM p")
-def missing(spark, sf_dir):
-    before, produced, after = _three(spark, sf_dir)
-    return before.select(*KEY).join(after, KEY, "left_semi").join(produced, KEY, "left_anti").distinct()
-
-
-@query("set03_symmetric", f"{_WINDOWS} SELECT company_id, count(*) AS n FROM ((SELECT company_id, external_id FROM b EXCEPT SELECT company_id, external_id FROM a) UNION ALL (SELECT company_id, external_id FROM a EXCEPT SELECT company_id, external_id FROM b)) GROUP BY 1")
-def symmetric(spark, sf_dir):
-    before, _, after = _three(spark, sf_dir)
-    x, y = before.select(*KEY), after.select(*KEY)
-    return x.exceptAll(y).unionByName(y.exceptAll(x)).groupBy("company_id").agg(F.count("*").alias("n"))
-
-
 _EVERY = f"""WITH {O.SNAPSHOTS}, n AS (SELECT *, dense_rank() OVER (PARTITION BY company_id ORDER BY run) AS k FROM snapshots WHERE run IS NOT NULL),
     w AS (SELECT DISTINCT company_id, run, k FROM n WHERE k > 1 AND k < (SELECT max(k) FROM n m WHERE m.company_id = n.company_id)),
     b AS (SELECT w.company_id, w.run, external_id FROM w JOIN n ON n.company_id = w.company_id AND n.k = w.k - 1),
@@ -645,26 +600,26 @@ def _marks(spark, sf_dir):
 
 
 @query(
-    "rcn04_window_verdict_all",
+    "rcn04_window_verdict",
     f"""{_EVERY}, c AS (SELECT company_id, run, (SELECT count(*) FROM s WHERE s.company_id = w.company_id AND s.run = w.run) AS stable, (SELECT count(*) FROM miss m WHERE m.company_id = w.company_id AND m.run = w.run) AS missing,
     (SELECT count(*) FROM extra x WHERE x.company_id = w.company_id AND x.run = w.run) AS extra FROM w) SELECT *, CASE WHEN missing = 0 AND extra = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c""",
 )
-def window_verdict_all(spark, sf_dir):
+def window_verdict(spark, sf_dir):
     return health.window_verdicts(_marks(spark, sf_dir), "company_id", "run")
 
 
-@query("set01_stable_all", f"{_EVERY} SELECT * FROM s")
-def stable_all(spark, sf_dir):
+@query("set01_stable", f"{_EVERY} SELECT * FROM s")
+def stable(spark, sf_dir):
     return _marks(spark, sf_dir).where("before and after").select("company_id", "run", "external_id")
 
 
-@query("set02_missing_all", f"{_EVERY} SELECT * FROM miss")
-def missing_all(spark, sf_dir):
+@query("set02_missing", f"{_EVERY} SELECT * FROM miss")
+def missing_ids(spark, sf_dir):
     return _marks(spark, sf_dir).where("before and after and not produced").select("company_id", "run", "external_id")
 
 
-@query("set03_symmetric_all", f"{_EVERY} SELECT company_id, run, count(*) AS n FROM ((SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL (SELECT * FROM a EXCEPT SELECT * FROM b)) GROUP BY 1, 2")
-def symmetric_all(spark, sf_dir):
+@query("set03_symmetric", f"{_EVERY} SELECT company_id, run, count(*) AS n FROM ((SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL (SELECT * FROM a EXCEPT SELECT * FROM b)) GROUP BY 1, 2")
+def symmetric(spark, sf_dir):
     return _marks(spark, sf_dir).where("before != after").groupBy("company_id", "run").agg(F.count("*").alias("n"))
 
 
@@ -714,6 +669,13 @@ def near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(_to_mark(spark, sf_dir))
 
 
+@query("ndp01_documents")
+def near_documents(spark, sf_dir):
+    """Documents as descriptions, a block a language: very large blocks with long and short texts."""
+    found = neardup.mark(V.read(spark, sf_dir, "documents"), "lang", "doc_id", "text", ["doc_id"])
+    return found.where("canonical is not null").select(c("key").alias("doc_id"), "canonical")
+
+
 @query("ndp01_marked_analysis")
 def marked_analysis(spark, sf_dir):
     """CDC-11 over the marks that NDP-01 finds."""
