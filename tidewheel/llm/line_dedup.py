@@ -146,16 +146,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document."""
-    return _report(dedup_lines(docs.select("doc_id", "text"), out="d"))
-
-
-def report_every(docs: DataFrame) -> DataFrame:
-    """One row per document, every line that isn't blank compared."""
-    return _report(dedup_lines(docs.select("doc_id", "text"), min_words=1, out="d"))
-
-
-def _report(out: DataFrame) -> DataFrame:
+    """One row per document; every line that isn't blank is compared."""
+    out = dedup_lines(docs.select("doc_id", "text"), min_words=1, out="d")
     return out.select("doc_id", F.col("d.n_lines").alias("n_lines"), F.size("d.removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("d.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -37,10 +37,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
-def op5_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report_every(_table(spark, sf_dir, "documents"))
-
-
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -82,7 +78,6 @@ def queries() -> dict:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_ring_shards": op4_ring_shards,
         "op5_line_dedup": op5_line_dedup,
-        "op5_every_line": op5_every_line,
         "op6_paragraph_dedup": op6_paragraph_dedup,
         "op7_minhash": op7_minhash,
         "op8_crf_quality": op8_crf_quality,
@@ -121,29 +116,6 @@ FROM dw LEFT JOIN words USING (rn) LEFT JOIN items USING (rn)
 """
 
 OP5_SQL = rf"""
-WITH raw AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
-), l AS (
-  SELECT doc_id, p, ls[p] AS line, regexp_extract_all({_LOWER.format("ls[p]")}, '[^\x20\x09-\x0D]+') AS w
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM raw)
-), d AS (
-  SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, min(struct_pack(d := doc_id, p := p)) AS f FROM l WHERE len(w) >= 6 GROUP BY 1
-), v AS (
-  SELECT s, f, g, CASE WHEN g = 0 THEN s ELSE array_to_string(list_concat(w[1 : g - 1], w[g + 1 : len(w)]), ' ') END AS t
-  FROM (SELECT s, f, w, unnest(range(0, len(w) + 1)) AS g FROM d)
-), gone AS (
-  SELECT DISTINCT a.s FROM v a JOIN v b ON a.t = b.t AND b.f < a.f AND (a.g = b.g OR a.g = 0 OR b.g = 0)
-), stay AS (
-  SELECT f.d AS doc_id, f.p AS p FROM d WHERE s NOT IN (SELECT s FROM gone)
-), cut AS (
-  SELECT l.doc_id, count(*) FILTER (len(w) >= 6 AND stay.p IS NULL) AS n_removed, string_agg(line, chr(10) ORDER BY l.p) FILTER (len(w) < 6 OR stay.p IS NOT NULL) AS kept
-  FROM l LEFT JOIN stay ON l.doc_id = stay.doc_id AND l.p = stay.p GROUP BY l.doc_id
-)
-SELECT raw.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM raw LEFT JOIN cut USING (doc_id)
-"""
-
-OP5_EVERY_SQL = rf"""
 WITH raw AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 ), l AS (
@@ -227,4 +199,4 @@ FROM counted
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_line_dedup": OP5_SQL, "op5_every_line": OP5_EVERY_SQL, "op7_minhash": OP7_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_minhash": OP7_SQL, "op12_filter_audit": OP12_SQL}
