@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.predicates import plausible
 from tidewheel.functions.text import blank, change_pct, title_evidence
+from tidewheel.operators import gate
 
 
 def health(found: Column, previous: Column, quality: Column, allow_zero: Column, detail_code: Column, browser: Column, error: Column, threshold: float = 0.8) -> Column:
@@ -84,6 +86,88 @@ def recommendation(verdict: Column, source_type: Column, rejected: Column, adapt
     return F.coalesce(F.try_element_at(known, verdict), F.when(generic, GENERIC_SOURCE).otherwise(NO_PROBE))
 
 
+#: Why a board can't be read that wants an agreement, not a repair. Fixed values.
+BLOCKING = ["manual_or_approved_feed_required", "authentication_required", "anti_bot_or_captcha", "http_403_or_waf", "rate_limited"]
+
+
+def certify(boards: DataFrame, outcomes: DataFrame, rows: DataFrame, probes: DataFrame, details: DataFrame) -> DataFrame:
+    """The whole certification of every board, one row each.
+
+    boards: company_id, enabled, source_type, reason; outcomes: company_id, adapter,
+    category and error of a fetch that failed (both null for one that didn't); rows: what
+    the fetches gave, raw, as for ``gate.gate``; probes: company_id, expected_count, status,
+    evidence; details: company_id and status of checked pages. A board that is switched
+    off is BLOCKED if it is read by hand, else DISABLED; one whose fetch failed is BLOCKED or
+    FAILED by the error's category; the others are judged by their records (``completeness_verdict``).
+    Boards without rows, probe or checks have none; an empty table of boards gives no row.
+    """
+    seen = rows.withColumn("_ok", F.coalesce(plausible(F.col("title"), F.col("source_type"), F.col("job_url")), F.lit(False)))
+    raw = seen.groupBy("company_id").agg(F.count("*").alias("raw_records"), F.count_if(~F.col("_ok")).alias("rejected_non_job_records"))
+    quality = gate.board_quality(gate.gate(rows)).select("company_id", F.col("n").alias("jobs_found"), "unique_jobs", F.col("duplicates").alias("duplicate_records"), "valid_url_ratio", "stable_id_ratio", "description_ratio", "location_ratio", "source_types")
+    checked = details.groupBy("company_id").agg(F.count_if(F.col("status").isin("dead", "invalid_url")).alias("_dead"), F.count_if(F.col("status") == "verified").alias("detail_verified"))
+    probed = probes.select("company_id", "expected_count", (F.col("status") == "verified").alias("_probed"), "evidence")
+    held = boards.select("company_id", "enabled", F.col("source_type").alias("configured_source"), "reason").join(outcomes.select("company_id", "adapter", "category", F.col("error").alias("_error")), "company_id", "left")
+    for more in (raw, quality, checked, probed):
+        held = held.join(more, "company_id", "left")
+    off, failed = ~F.coalesce("enabled", F.lit(True)), F.col("category").isNotNull()
+    unread = off | failed
+    counts = ["raw_records", "rejected_non_job_records", "jobs_found", "unique_jobs", "duplicate_records", "detail_verified", "_dead"]
+    held = held.withColumns({c: F.when(unread, 0).otherwise(F.coalesce(c, F.lit(0))).cast("long") for c in counts})
+    held = held.withColumns({c: F.when(~unread, F.col(c)) for c in ("expected_count", "valid_url_ratio", "stable_id_ratio", "description_ratio", "location_ratio", "source_types", "evidence")})
+    n, unique, expected = F.col("jobs_found"), F.col("unique_jobs"), F.col("expected_count")
+    # nothing where nothing is expected counts only if the provider's count was verified
+    sure = F.when((n > 0) | F.coalesce(F.col("_probed"), F.lit(False)), expected)
+    judged = completeness_verdict(n, unique, sure, F.col("valid_url_ratio"), F.col("_dead"), F.col("raw_records"))
+    verdict = F.when(off, F.when(F.col("configured_source") == "manual", "BLOCKED").otherwise("DISABLED")).when(failed, F.when(F.col("category").isin(*BLOCKING), "BLOCKED").otherwise("FAILED")).otherwise(judged)
+    held = held.withColumn("verdict", verdict)
+    verdict = F.col("verdict")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    partial = F.concat(F.lit("provider expected "), said("expected_count"), F.lit(" unique jobs but adapter returned "), said("unique_jobs"))
+    invalid = F.concat(F.lit("invalid/dead URLs="), said("_dead"), F.lit("; valid_url_ratio="), said("valid_url_ratio"), F.lit("; rejected_non_job="), said("rejected_non_job_records"))
+    open_ = verdict.isin("UNVERIFIED", "EMPTY_UNVERIFIED")
+    done = F.when(~unread, F.when(expected > 0, F.round(unique / expected * 100, 2)).when((expected == 0) & (unique == 0), 100.0))
+    return held.select(
+        "company_id",
+        "enabled",
+        "configured_source",
+        "verdict",
+        F.when(~off, F.col("adapter")).alias("adapter"),
+        "raw_records",
+        "jobs_found",
+        "unique_jobs",
+        "expected_count",
+        done.alias("completeness_pct"),
+        "rejected_non_job_records",
+        "duplicate_records",
+        "valid_url_ratio",
+        "stable_id_ratio",
+        "description_ratio",
+        "location_ratio",
+        "detail_verified",
+        "source_types",
+        F.when(off, "manual_or_disabled").when(failed, F.col("category")).when(verdict == "PARTIAL", "incomplete_fetch").when(verdict == "INVALID", "invalid_job_records").when(open_, "completeness_unverified").alias("failure_category"),
+        F.when(off, F.coalesce(F.nullif(F.trim("reason"), F.lit("")), F.lit("company is disabled in config"))).when(failed, F.col("_error")).when(verdict == "PARTIAL", partial).when(verdict == "INVALID", invalid).when(open_, F.col("evidence")).alias("error"),
+        recommendation(verdict, F.col("configured_source"), F.col("rejected_non_job_records"), F.col("adapter")).alias("recommended_action"),
+    )
+
+
+def verdict_counts(rows: DataFrame) -> DataFrame:
+    """(verdict, n) of certified boards."""
+    return rows.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def stable_within(before: DataFrame, after: DataFrame, key: list[str], board: str, tolerance: int = 2) -> DataFrame:
+    """(board, differing, stable): keys that one of two lists of a board lacks, and whether they are ``tolerance`` at most."""
+    once = lambda df, name: df.select(board, *key).distinct().withColumn(name, F.lit(1))
+    both = once(before, "_b").join(once(after, "_a"), [board, *(k for k in key if k != board)], "full_outer")
+    return both.groupBy(board).agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("differing")).withColumn("stable", F.col("differing") <= tolerance)
+
+
+def over_cap(log: DataFrame, cap: int) -> DataFrame:
+    """(board, violation, n) of a page log whose total is more than a provider hands out."""
+    return log.groupBy("board").agg(F.max("total").alias("n")).where(F.col("n") > cap).select("board", F.lit("total_over_cap").alias("violation"), "n")
+
+
 def audit_pages(log: DataFrame) -> DataFrame:
     """(board, violation, n) of a page log (board, page_no, external_id, total)."""
     page = log.groupBy("board", "page_no").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("external_id").cast("string"))), ","), 256).alias("print"), F.count("external_id").alias("ids"), F.count("*").alias("rows"), F.max("total").alias("total"))

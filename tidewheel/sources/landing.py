@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.text import clean_text, epoch_iso, first_filled, strip_tags
+from tidewheel.operators.gate import dedupe_extracted
+from tidewheel.operators.pages import resolved
 
 COLUMNS = ["company_id", "source_type", "ord", "external_id", "title", "location", "description", "job_url", "posted_at"]
 
@@ -80,13 +82,54 @@ def pcs_positions(payloads: DataFrame, origin: str) -> DataFrame:
     return _postings(r, "eightfold_pcsx", external_id=F.col("r.id"), title=F.col("r.name"), location=F.nullif(places, F.lit("")), description=first_filled(F.col("r.jobDescription"), F.col("r.description")), job_url=url, posted_at=epoch_iso(F.col("r.postedTs")))
 
 
-def grouped_map(payloads: DataFrame) -> DataFrame:
-    """Records under department names; first by requisition id."""
-    record = "struct<req_id:string,JobID:string,title:string,primaryLocation:string,url:string>"
-    parsed = payloads.select("company_id", F.from_json("body", f"struct<job_data:map<string,array<{record}>>>").alias("b"))
-    r = parsed.select("company_id", F.explode("b.job_data").alias("department", "rows")).select("company_id", "department", F.posexplode("rows").alias("ord", "r"))
-    found = _postings(r, "cohesity_json", external_id=first_filled(F.col("r.req_id"), F.col("r.JobID")), title=F.col("r.title"), location=F.col("r.primaryLocation"), description=F.col("department"), job_url=F.col("r.url"))
-    return first_of(found, F.asc("ord"))
+def grouped_map(payloads: DataFrame, detail_base: str = "https://www.cohesity.com/careers/open-positions/") -> DataFrame:
+    """Records under department names, or as a plain list; first by requisition id, else opaque id, in document order.
+
+    A department doesn't replace one of the record's own. Further places are appended where the first
+    doesn't hold them; a record without a title or an id is passed over.
+    """
+    record = "struct<req_id:string,JobID:string,title:string,primaryLocation:string,AdditionalLocations:string,jobUrl:string,url:string,careerSiteDept:string>"
+    none = F.lit(None).cast(f"array<{record}>")
+    parsed = payloads.select("company_id", F.from_json("body", f"struct<job_data:map<string,array<{record}>>>")["job_data"].alias("groups"), F.from_json("body", f"struct<job_data:array<{record}>>")["job_data"].alias("listed"))
+    groups, listed = F.col("groups"), F.col("listed")
+    every = F.when(groups.isNotNull(), F.transform(F.map_entries(groups), lambda e: F.struct(e["key"].alias("department"), e["value"].alias("rows")))).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("department"), F.coalesce(listed, none).alias("rows"))))
+    r = parsed.select("company_id", F.posexplode(every).alias("group", "g")).select("company_id", "group", "g.department", F.posexplode("g.rows").alias("place", "r"))
+    r = r.withColumn("ord", F.col("group") * (1 << 20) + F.col("place"))
+    cleaned = lambda c: F.nullif(clean_text(F.col(f"r.{c}")), F.lit(""))
+    more, first = cleaned("AdditionalLocations"), cleaned("primaryLocation")
+    places = F.when(more.isNotNull() & ~F.contains(F.coalesce(first, F.lit("")), more), F.concat_ws("; ", first, more)).otherwise(first)
+    link = F.when(cleaned("JobID").isNotNull(), F.concat(F.lit(detail_base + "?gh_jid="), F.url_encode(cleaned("JobID")), F.lit("&type=wd"))).otherwise(first_filled(cleaned("jobUrl"), cleaned("url")))
+    found = _postings(r, "cohesity_json", external_id=first_filled(cleaned("req_id"), cleaned("JobID")), title=cleaned("title"), location=places, description=first_filled(cleaned("careerSiteDept"), F.col("department")), job_url=link)
+    return first_of(found.where("coalesce(title, '') != '' and coalesce(external_id, '') != ''"), F.asc("ord"))
+
+
+def oracle_total(payloads: DataFrame) -> DataFrame:
+    """(company_id, total): the greatest total that a payload's root or search wrappers declare."""
+    parsed = payloads.select("company_id", F.from_json("body", "struct<TotalJobsCount:bigint,items:array<struct<TotalJobsCount:bigint>>>").alias("b"))
+    return parsed.groupBy("company_id").agg(F.max(F.greatest("b.TotalJobsCount", F.array_max(F.transform("b.items", lambda i: i["TotalJobsCount"])))).alias("total"))
+
+
+#: Words that place a posting in India, and states in which one is gone. Fixed values.
+INDIA_HINT = r"(?i)\b(?:india|bengaluru|bangalore|hyderabad|gurugram|gurgaon|pune|chennai|noida|mumbai|delhi|new delhi)\b"
+GONE = ["closed", "removed", "inactive", "expired"]
+
+
+def india_openings(rows: DataFrame) -> DataFrame:
+    """Open rows in India with a numeric id, their id and URL in the board's form.
+
+    rows: ord, external_id, title, location, job_url and ``raw``, the record's JSON. The place may be in
+    the row or in the record; the id is the first run of four digits or more between slashes among the row's id
+    and six of the record's; a row without one stays only if its URL has one.
+    """
+    of = lambda c: F.get_json_object("raw", f"$.{c}")
+    evidence = F.concat_ws(" ", "location", of("location"), of("locations"), of("city"), F.coalesce(of("country"), of("countryName")))
+    state = F.lower(F.trim(F.coalesce(F.nullif(of("status"), F.lit("")), of("jobStatus"), F.lit(""))))
+    number = lambda x: F.nullif(F.regexp_extract(x, r"(?:^|/)(\d{4,})(?:/|$)", 1), F.lit(""))
+    ident = F.coalesce(number(F.col("external_id")), *(number(of(c)) for c in ("id", "jobId", "jobID", "positionId", "requisitionId", "reqId", "atsJobId")))
+    named = F.coalesce(F.col("job_url").rlike(r"(?i)https://jobs\.uber\.com/en/jobs/\d+/?(?:$|[?#])"), F.lit(False))
+    kept = rows.withColumn("_id", ident).where(F.coalesce(evidence.rlike(INDIA_HINT), F.lit(False)) & ~state.isin(*GONE) & (F.coalesce(of("isJobClosed"), F.lit("")) != "true") & (F.col("_id").isNotNull() | named))
+    found = kept.withColumns({"external_id": F.coalesce("_id", "external_id"), "job_url": F.when(F.col("_id").isNotNull(), F.concat(F.lit("https://jobs.uber.com/en/jobs/"), "_id", F.lit("/"))).otherwise(F.col("job_url"))}).drop("_id")
+    return dedupe_extracted(found)
 
 
 def uber_positions(payloads: DataFrame) -> DataFrame:
@@ -124,9 +167,16 @@ def first_of(postings: DataFrame, *order: Column) -> DataFrame:
 
 
 def mapped(payloads: DataFrame, source: str, jobs_path: str, fields: dict[str, str]) -> DataFrame:
-    """Dotted paths for the list and for each field of a record. A payload whose path isn't a list is an error."""
-    body = payloads.select("company_id", F.try_parse_json("body").alias("v")).where("v is not null")
-    listed = body.select("company_id", F.try_variant_get("v", f"$.{jobs_path}", "array<variant>").alias("rows"))
+    """Dotted paths for the list and for each field of a record. A payload whose path isn't a list is an error.
+
+    Where payloads have ``career_url``, relative URLs are resolved on it.
+    """
+    base = F.col("career_url") if "career_url" in payloads.columns else F.lit(None).cast("string")
+    body = payloads.select("company_id", base.alias("career_url"), F.try_parse_json("body").alias("v")).where("v is not null")
+    listed = body.select("company_id", "career_url", F.try_variant_get("v", f"$.{jobs_path}", "array<variant>").alias("rows"))
     checked = listed.withColumn("rows", F.when(F.col("rows").isNull(), F.raise_error(F.lit(f"{jobs_path} is not a list"))).otherwise(F.col("rows")))
-    r = checked.select("company_id", F.posexplode("rows").alias("ord", "r"))
-    return _postings(r, source, **{name: clean_text(F.try_variant_get("r", f"$.{path}", "string")) for name, path in fields.items()})
+    r = checked.select("company_id", "career_url", F.posexplode("rows").alias("ord", "r"))
+    found = {name: clean_text(F.try_variant_get("r", f"$.{path}", "string")) for name, path in fields.items()}
+    if "job_url" in found:
+        found["job_url"] = F.when(F.col("career_url").isNull(), found["job_url"]).otherwise(resolved(F.col("career_url"), found["job_url"]))
+    return _postings(r, source, **found)
