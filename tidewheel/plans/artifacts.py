@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewheel.operators import inventory, merging, pages, search
+from tidewheel.functions import predicates as R
+from tidewheel.operators import health, inventory, merging, pages, reconcile, search
 from tidewheel.operators.deliveries import Deliveries
 from tidewheel.operators.stored import shared_root
 from tidewheel.plans import oracle as O
 from tidewheel.plans import views as V
-from tidewheel.plans.queries import _POLICY, KEY, _analyses, c, query
+from tidewheel.plans.queries import _EVERY, _POLICY, KEY, _analyses, c, query
 from tidewheel.plans.reports import _DELIVERED, _FROZEN
 from tidewheel.plans.site_pages import _sql, job_pages
 from tidewheel.sources import sinks
@@ -203,3 +204,55 @@ def last_good_counts(spark, sf_dir):
         rows = r.where(c("run") == F.lit(month)).select(c("company_id").alias("id"), F.lit("healthy").alias("status"), "jobs_found")
         sinks.write_health(rows, root, f"{month}T00:00:00Z")
     return sinks.read_baseline(spark, root)
+
+
+# --- Evidence ----------------------------------------------------------------------------------------------------
+
+_PASSES = f"WITH {O.SNAPSHOTS}, r AS (SELECT company_id, run, external_id FROM snapshots UNION ALL SELECT company_id, run, external_id FROM snapshots WHERE CAST(external_id AS BIGINT) % 7 = 0)"
+
+
+@query(
+    "rcn02_pass_audit",
+    f"""{_PASSES}, n AS (SELECT company_id, run, external_id, count(*) AS c FROM r GROUP BY ALL), f AS (SELECT company_id, external_id, min(run) AS run FROM n GROUP BY ALL),
+    p AS (SELECT company_id, run, sum(c)::BIGINT AS rows, count(*) AS unique_ids, sum(c - 1)::BIGINT AS duplicate_rows, count(*) FILTER (c > 1) AS duplicate_ids, (SELECT count(*) FROM f WHERE f.company_id = n.company_id AND f.run = n.run) AS new_ids,
+      (SELECT count(*) FROM f WHERE f.company_id = n.company_id AND f.run <= n.run) - count(*) AS prior_ids_missing FROM n GROUP BY company_id, run)
+    SELECT *, coalesce((SELECT bool_or(q.new_ids > 0 OR q.prior_ids_missing > 0) FROM p q WHERE q.company_id = p.company_id AND q.run > (SELECT min(z.run) FROM p z WHERE z.company_id = p.company_id)), false) AS mutated FROM p""",
+)
+def pass_audit(spark, sf_dir):
+    """Every run of a board as a pass over it, a seventh of the ids twice."""
+    s = V.snapshots(spark, sf_dir).select("company_id", "run", "external_id")
+    return reconcile.pass_audit(s.unionByName(s.where("cast(external_id as long) % 7 = 0")))
+
+
+@query(
+    "rcn05_trusted_attempt",
+    f"""WITH {O.POSTINGS}, a AS (SELECT company_id, ord % 4 AS attempt, CASE ord % 4 WHEN 2 THEN 'greenhouse' WHEN 3 THEN 'html' ELSE 'browser' END AS kind, count(*) FILTER (job_url IS NOT NULL) AS usable, count(*) AS rows FROM postings WHERE NOT (company_id LIKE '%1' AND ord % 4 = 2) GROUP BY ALL)
+    SELECT company_id, attempt, kind, usable, rows, kind = 'greenhouse' AS trusted FROM a QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY kind != 'greenhouse', usable DESC, usable / rows DESC, rows DESC, attempt) = 1""",
+)
+def trusted_attempt(spark, sf_dir):
+    p = V.postings(spark, sf_dir).where(~(c("company_id").like("%1") & (c("ord") % 4 == 2)))
+    attempt = c("ord") % 4
+    kind = F.when(attempt == 2, "greenhouse").when(attempt == 3, "html").otherwise("browser")
+    return reconcile.best_of(p.groupBy("company_id", attempt.alias("attempt"), kind.alias("kind")).agg(F.count_if(c("job_url").isNotNull()).alias("usable"), F.count("*").alias("rows")))
+
+
+@query(
+    "rcn04_certificate",
+    f"""{_EVERY}, i AS (SELECT company_id, run, external_id FROM b UNION SELECT company_id, run, external_id FROM p UNION SELECT company_id, run, external_id FROM a),
+    m AS (SELECT i.*, CAST(i.external_id AS BIGINT) AS x, (company_id, run, external_id) IN (SELECT (company_id, run, external_id) FROM b) AS bef, (company_id, run, external_id) IN (SELECT (company_id, run, external_id) FROM p) AS made, (company_id, run, external_id) IN (SELECT (company_id, run, external_id) FROM a) AS aft FROM i),
+    g AS (SELECT company_id, run, count(*) FILTER (bef AND aft) AS stable, count(*) FILTER (bef AND aft AND NOT made) AS missing, count(*) FILTER (made AND NOT (bef AND aft)) AS extra, count(*) FILTER (x % 3 = 0 AND aft AND NOT made) AS missing_witness, count(*) FILTER (made AND x % 2 = 0) AS target, count(*) FILTER (made AND x % 2 = 0 AND x % 5 != 0) AS described FROM m GROUP BY ALL)
+    SELECT *, CASE WHEN missing = 0 AND missing_witness = 0 AND target = described THEN 'CERTIFIED' ELSE 'FAILED' END AS verdict FROM g""",
+)
+def certificate(spark, sf_dir):
+    n = c("external_id").cast("long")
+    marks = health.window_marks(V.snapshots(spark, sf_dir), "company_id", "external_id", "run").withColumns({"witness": n % 3 == 0, "in_target": n % 2 == 0, "has_text": n % 5 != 0})
+    return reconcile.window_certificate(marks, ["company_id", "run"])
+
+
+@query("flt11_visible_board", "SELECT page_id, page_id % 4 IN (0, 3) AS empty_board FROM pages")
+def visible_board(spark, sf_dir):
+    """A marker in a script doesn't count, one across tags and one far behind styles do."""
+    k = c("page_id")
+    said = F.when(k % 4 == 0, "<p>There are <b>no open</b> roles</p>").when(k % 4 == 1, "<script>s = 'no open roles'</script>").when(k % 4 == 3, F.concat(F.lit("<style>"), F.repeat(F.lit("p{} "), 20000), F.lit("</style>no current vacancies"))).otherwise("<p>many</p>")
+    text = pages.visible_text(V.pages(spark, sf_dir).select("page_id", F.concat(F.lit("<html>"), said, c("html")).alias("html")))
+    return text.select("page_id", R.empty_board(c("text")).alias("empty_board"))
