@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import predicates as R
 from tidewheel.operators import health, inventory, merging, pages, reconcile, search
 from tidewheel.operators.deliveries import Deliveries
-from tidewheel.operators.stored import shared_root
+from tidewheel.operators.stored import files_key, shared_root
 from tidewheel.plans import oracle as O
 from tidewheel.plans import views as V
 from tidewheel.plans.queries import _EVERY, _POLICY, KEY, _analyses, c, query
@@ -28,12 +29,13 @@ def _named(spark, sf_dir):
     return V.snapshots(spark, sf_dir).select(*KEY, "content").distinct().join(shown, KEY, "left")
 
 
-def _finalized(spark, sf_dir) -> Deliveries:
-    """All runs of the snapshots finalized into a store of their own."""
+def _finalized(spark, sf_dir, name: str = "finalized") -> Deliveries:
+    """All runs of the snapshots finalized into a store of the tables' files: queries after the first find its manifests."""
     s = V.snapshots(spark, sf_dir).where("run is not null")
     day = c("run").cast("string")
     runs = s.select(day.alias("run")).distinct().select("run", c("run").alias("created_at"), F.lit(None).cast("string").alias("started_at"))
-    store = Deliveries(spark, f"{shared_root(spark)}/deliveries-{uuid.uuid4().hex}")
+    key = "".join(files_key(spark, f"{sf_dir}/{t}.parquet") for t in ("events", "documents"))
+    store = Deliveries(spark, f"{shared_root(spark)}/{name}-{hashlib.md5(key.encode()).hexdigest()}")
     store.finalize(runs, inventory.replay(s), _analyses(spark, sf_dir), _named(spark, sf_dir), "2026-01-01T00:00:00Z")
     return store
 
@@ -61,7 +63,7 @@ def payload(spark, sf_dir):
     f"{_DELIVERED}, n AS (SELECT run, count(*) AS ai_input_count FROM delivered GROUP BY 1), b AS (SELECT run, count(*) FILTER (observed AND ok) AS baseline_relevant FROM frozen WHERE run IS NOT NULL GROUP BY 1) SELECT CAST(b.run AS VARCHAR) AS run, CASE WHEN b.run = (SELECT min(run) FROM b) THEN 'baseline' ELSE 'incremental' END AS delivery_mode, 3 AS schema_version, baseline_relevant, coalesce(ai_input_count, 0) AS ai_input_count FROM b LEFT JOIN n USING (run)",
 )
 def delivered_artifacts(spark, sf_dir):
-    store = _finalized(spark, sf_dir)
+    store = _finalized(spark, sf_dir, "delivered")
     return store.deliver(_named(spark, sf_dir)).select("run", "delivery_mode", "schema_version", "baseline_relevant", "ai_input_count")
 
 
