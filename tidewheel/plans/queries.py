@@ -669,13 +669,6 @@ def near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(_to_mark(spark, sf_dir))
 
 
-@query("ndp01_documents")
-def near_documents(spark, sf_dir):
-    """Documents as descriptions, a block a language: very large blocks with long and short texts."""
-    found = neardup.mark(V.read(spark, sf_dir, "documents"), "lang", "doc_id", "text", ["doc_id"])
-    return found.where("canonical is not null").select(c("key").alias("doc_id"), "canonical")
-
-
 @query("ndp01_marked_analysis")
 def marked_analysis(spark, sf_dir):
     """CDC-11 over the marks that NDP-01 finds."""
