@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import tidewheel.plans.artifacts  # noqa: F401
+import tidewheel.plans.boards  # noqa: F401
 import tidewheel.plans.history  # noqa: F401
 import tidewheel.plans.reports  # noqa: F401
 import tidewheel.plans.site_pages  # noqa: F401

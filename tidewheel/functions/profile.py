@@ -29,6 +29,7 @@ SUPPORTING_SKILLS = [
     ("Performance Engineering", ["performance optimization", "performance engineering", "latency", "performance regression"], 1.0),
     ("Large-scale Product Engineering", ["scalable", "large scale", "large-scale", "millions of users", "high scale"], 1.0),
 ]
+DEMONSTRATED = ["TypeScript", "JavaScript", "AWS", "Terraform", "CI/CD", "Observability", "Performance Engineering", "Large-scale Product Engineering"]  # the others stand in the resume
 TITLE_EXCLUSIONS = [
     "engineering manager", "software engineering manager", "director of engineering", "principal engineer", "principal software",
     "staff software engineer", "staff engineer", "ios engineer", "ios developer", "android engineer", "android developer",

@@ -33,6 +33,18 @@ def run_health(results: DataFrame, threshold: float = 0.8) -> DataFrame:
     return r.select("*", change_pct(F.col("jobs_found"), F.col("previous")).alias("change_pct"), h["status"].alias("status"), h["category"].alias("category"))
 
 
+def browser_used(rows: DataFrame, board: str = "company_id") -> DataFrame:
+    """(board, browser): whether any posting of a board came through a browser, by its source type or by what its record says.
+
+    ``raw``, where rows have it, is the record's JSON.
+    """
+    used = F.coalesce(F.col("source_type").startswith("browser_"), F.lit(False))
+    if "raw" in rows.columns:
+        for mark in ("_fetch_via_browser", "_source_response_url"):
+            used = used | ~F.coalesce(F.get_json_object("raw", f"$.{mark}"), F.lit("")).isin("", "false", "0", "{}", "[]")
+    return rows.groupBy(board).agg(F.bool_or(used).alias("browser"))
+
+
 def last_good(results: DataFrame) -> DataFrame:
     """For each board the count of its latest good run."""
     good = results.where("jobs_found > 0 and status in ('healthy', 'healthy_with_fallback', 'suspicious')")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.text import content_hash, numeric_id
 from tidewheel.operators.stored import stored
 
 KEY = ["company_id", "external_id"]
@@ -16,14 +17,17 @@ def merge(state: DataFrame, snapshot: DataFrame, run: Column, complete: DataFram
     state: KEY, content_hash, first_seen, last_seen, changed_at, active, last_change_type; snapshot: KEY,
     content_hash, one row a key; complete: (company_id, complete), companies missing there or false keep what
     the snapshot lacks active. Keys of the snapshot become active; a reappearing one is compared with its old text.
+    A state row without a hash gets that of its title, location and description, where the state has them.
     """
-    s, n = state.alias("s"), snapshot.select(*KEY, F.col("content_hash").alias("new_hash")).alias("n")
+    if {"title", "location", "description"} <= set(state.columns):
+        state = state.withColumn("content_hash", F.coalesce(F.nullif("content_hash", F.lit("")), content_hash(F.col("title"), F.col("location"), F.col("description"))))
+    s, n = state.withColumn("_known", F.lit(True)).alias("s"), snapshot.select(*KEY, F.col("content_hash").alias("new_hash")).alias("n")
     joined = s.join(n, KEY, "full_outer")
     if complete is not None:
         joined = joined.join(complete.select("company_id", F.col("complete").alias("_complete")), "company_id", "left")
-    here, known = F.col("new_hash").isNotNull(), F.col("content_hash").isNotNull()
+    here, known = F.col("new_hash").isNotNull(), F.coalesce("_known", F.lit(False))
     deactivate = F.lit(False) if complete is None else F.coalesce(F.col("_complete"), F.lit(False))
-    change = F.when(~known, "new").when(F.col("content_hash") != F.col("new_hash"), "changed").otherwise("unchanged")
+    change = F.when(~known, "new").when(~F.col("content_hash").eqNullSafe(F.col("new_hash")), "changed").otherwise("unchanged")
     return joined.select(
         *KEY,
         F.coalesce("new_hash", "content_hash").alias("content_hash"),
@@ -128,3 +132,50 @@ def top_by(rows: DataFrame, key: list, order: list, n: int) -> DataFrame:
 def supplement(rows: DataFrame, more: DataFrame, key: list) -> DataFrame:
     """rows, and those of ``more`` whose key they lack."""
     return rows.unionByName(more.join(rows.select(*key), key, "left_anti"))
+
+
+def copy_legacy(target: DataFrame, legacy: DataFrame, renamed: dict[str, str], key: list[str], order: list[str]) -> DataFrame:
+    """The target, or, where it is empty, the rows of an older table under their new names; the first of a key by ``order`` counts.
+
+    Columns that only the target has are null; those that only the older table has are left out.
+    """
+    if not target.isEmpty():
+        return target
+    rows = first_by(legacy, key, order).withColumnsRenamed(renamed)
+    return target.limit(0).unionByName(rows.select(*(c for c in rows.columns if c in target.columns)), allowMissingColumns=True)
+
+
+def listing_id(rows: DataFrame) -> Column:
+    """The first run of eight digits or more in the id, else in the URL."""
+    return F.coalesce(numeric_id(F.col("external_id")), numeric_id(F.col("job_url")))
+
+
+def covered(provider: DataFrame, official: DataFrame, details: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A provider's postings and those that only the official listing has, and a verdict for each board: (rows, verdicts).
+
+    provider: company_id, external_id, job_url and more; official: company_id, id, the listing's records, each id once or
+    more; details: company_id, id and the provider's columns, the official pages of records; totals: company_id, before,
+    after, what the listing said at its first and last page. verdicts: company_id, expected, enumerated, missing, problem.
+    A board's problem is, in this order: no total, totals that differ, fewer records than the total, records that
+    neither side returned; null where there is none. Rows of boards with a problem, or of boards without totals, aren't returned.
+    """
+    key = ["company_id", "id"]
+    listed = official.select(*key).distinct()
+    held = provider.select("company_id", listing_id(provider).alias("id")).where("id is not null").distinct()
+    lacking = listed.join(held, key, "left_anti")
+    found = first_by(details.join(lacking, key, "left_semi"), key, [F.asc(c) for c in ("external_id", "job_url")])
+    more = found.select("company_id", *(c for c in provider.columns if c != "company_id"))
+    returned = held.unionByName(more.select("company_id", listing_id(more).alias("id")).where("id is not null"))
+    absent = listed.join(returned, key, "left_anti").groupBy("company_id").agg(F.count("*").alias("missing"))
+    counted = totals.join(listed.groupBy("company_id").agg(F.count("*").alias("enumerated")), "company_id", "left").join(absent, "company_id", "left")
+    none = F.lit(0).cast("long")
+    counted = counted.select("company_id", F.col("before").alias("expected"), "after", F.coalesce("enumerated", none).alias("enumerated"), F.coalesce("missing", none).alias("missing"))
+    problem = (
+        F.when(F.col("expected").isNull() | F.col("after").isNull(), "total_unavailable")
+        .when(F.col("expected") != F.col("after"), "changed_during_fetch")
+        .when(F.col("enumerated") < F.col("expected"), "incomplete_pagination")
+        .when(F.col("missing") > 0, "coverage_failed")
+    )
+    verdicts = counted.select("company_id", "expected", "enumerated", "missing", problem.alias("problem"))
+    rows = provider.withColumn("origin", F.lit("provider")).unionByName(more.withColumn("origin", F.lit("official")))
+    return rows.join(verdicts.where("problem is null").select("company_id"), "company_id", "left_semi"), verdicts

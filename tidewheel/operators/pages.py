@@ -692,3 +692,68 @@ def outlinks(pages: DataFrame, hosts: list[str]) -> DataFrame:
 
     rows = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, target string, place long")
     return rows.where(either(blank(url_host(F.col("target"))).contains(h) for h in hosts))
+
+
+# --- Further pages of a listing --------------------------------------------------------------------------------------
+
+#: What a link to the next page may read, and signs alone. Fixed values.
+NEXT_WORDS = ["next", "next page", "›", "»", ">"]
+NEXT_SIGNS = [">", "›", "»"]
+
+_LINKS = "page_id long, place long, follows boolean, text string, aria string, title string, target string"
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """The anchors of each page in order: (page_id, place, follows, text, aria, title, target).
+
+    ``follows``: marked as the next page by its rel; texts in lower case; ``target``: the reference on the page's URL.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+                page = Page(html)
+                found = [i for i, e in enumerate(page.elements) if e.tag == "a" and "href" in e.at]
+                for place, i in enumerate(found):
+                    at = page.elements[i].at
+                    low = [" ".join(x.split()).lower() for x in (page.text_of(i), at.get("aria-label", ""), at.get("title", ""))]
+                    out.append((page_id, place, "next" in at.get("rel", "").split(), *low, _absolute(url, at["href"])))
+            yield pd.DataFrame(out, columns=["page_id", "place", "follows", "text", "aria", "title", "target"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, _LINKS).where("target is not null")
+
+
+def next_pages(anchors: DataFrame, rule: str = "scored") -> DataFrame:
+    """(page_id, url): the page after each listing page; anchors: :func:`links`. Pages without a next one have no row.
+
+    The first anchor that is marked so, else by ``rule``: "scored", 8 points for a text that says so and 8 for a label
+    or title, the most points, then the greatest URL; "labelled", the first whose text is a sign or that says "next" anywhere.
+    """
+    says = F.concat_ws(" ", "text", "aria", "title").contains("next")
+    worded = F.col("text").isin(*NEXT_WORDS)
+    labelled = F.col("aria").contains("next") | F.col("title").contains("next")
+    points = F.when(worded, 8).otherwise(0) + F.when(labelled, 8).otherwise(0)
+    zero = F.lit(0).cast("long")
+    if rule == "scored":
+        take, rank = points > 0, F.struct(points.cast("long").alias("a"), zero.alias("b"), F.col("target").alias("c"))
+    elif rule == "labelled":
+        take, rank = F.col("text").isin(*NEXT_SIGNS) | says, F.struct(zero.alias("a"), (-F.col("place")).alias("b"), F.lit("").alias("c"))
+    else:
+        raise ValueError(f"no such rule: {rule}")
+    marked = F.struct(F.lit(1 << 40).alias("a"), (-F.col("place")).alias("b"), F.lit("").alias("c"))
+    return anchors.where(F.col("follows") | take).groupBy("page_id").agg(F.max_by("target", F.when(F.col("follows"), marked).otherwise(rank)).alias("url"))
+
+
+def numbered_pages(pages: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(page_id, url, place): a listing's further pages on its own host, each once, by first occurrence.
+
+    Links whose path holds a number as its last part, or whose text is a number or says next; postings are none.
+    """
+    host = lambda x: F.lower(F.regexp_extract(x, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract("target", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    number = path.rlike(r"/\d+/$")
+    read = F.col("text").isin(*(w for w in NEXT_WORDS if w != ">")) | F.col("text").rlike(r"^\d+$")
+    own = anchors.join(pages.select("page_id", host(F.col("url")).alias("_host")), "page_id")
+    kept = own.where((host(F.col("target")) == F.col("_host")) & (number | read) & ~F.lower(path).contains("/job/"))
+    return kept.groupBy("page_id", F.col("target").alias("url")).agg(F.min("place").alias("place"))

@@ -66,13 +66,13 @@ _SHARES = {"required": 1.0, "preferred": 0.55, "general": 0.85}  # fixed values
 
 
 def skill_points(skills: list, contexts: Column) -> Column:
-    """array of struct(name, points, max, context) of the matched skills."""
+    """array of struct(name, points, max, context, evidence) of the matched skills."""
     rows = []
     for i, (name, _, weight) in enumerate(skills):
         share = F.lit(None).cast("double")
         for context, value in _SHARES.items():
-            share = F.when(contexts[i] == context, value).otherwise(share)
-        rows.append(F.struct(F.lit(name).alias("name"), F.bround(share * weight, 2).alias("points"), F.lit(weight).alias("max"), contexts[i].alias("context")))
+            share = F.when(contexts[i] == context, round(value * weight, 2)).otherwise(share)
+        rows.append(F.struct(F.lit(name).alias("name"), share.alias("points"), F.lit(weight).alias("max"), contexts[i].alias("context"), F.lit("demonstrated" if name in P.DEMONSTRATED else "resume_skill").alias("evidence")))
     return F.filter(F.array(*rows), lambda r: r["context"].isNotNull())
 
 

@@ -62,12 +62,62 @@ def interrupt_stale(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"status": F.when(stale, "interrupted").otherwise(F.col("status")), "error": F.when(stale, F.coalesce("error", F.lit("Server restarted during run"))).otherwise(F.col("error"))})
 
 
+def create(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Runs with those that are asked for: run_id, run_type, scope, created_at, total_companies, settings and targets.
+
+    They are queued; a run that is known stays as it is. ``settings`` and ``targets`` are JSON texts, empty ones where null.
+    """
+    rows = asked.join(runs.select("run_id"), "run_id", "left_anti")
+    queued = {"status": F.lit("queued"), "settings": F.coalesce("settings", F.lit("{}")), "targets": F.coalesce("targets", F.lit("[]"))}
+    return runs.unionByName(rows.withColumns(queued), allowMissingColumns=True)
+
+
+def start(runs: DataFrame, started: DataFrame) -> DataFrame:
+    """Runs after some began; started: (run_id, started_at)."""
+    begun = started.select("run_id", F.col("started_at").alias("_at"), F.lit(True).alias("_begun"))
+    now = F.coalesce("_begun", F.lit(False))
+    return runs.join(begun, "run_id", "left").withColumns({"status": F.when(now, "running").otherwise(F.col("status")), "started_at": F.when(now, F.col("_at")).otherwise(F.col("started_at"))}).drop("_at", "_begun")
+
+
 def finish(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Runs after some ended; outcomes: (run_id, error), null for success."""
-    ended = outcomes.select("run_id", F.col("error").alias("_error"), F.lit(True).alias("_ended"))
+    """Runs after some ended; outcomes: (run_id, error), null for success, and maybe finished_at."""
+    timed = "finished_at" in outcomes.columns
+    ended = outcomes.select("run_id", F.col("error").alias("_error"), F.lit(True).alias("_ended"), *([F.col("finished_at").alias("_at")] if timed else []))
     status = F.when(F.col("_ended"), F.when(F.coalesce("_error", F.lit("")) != "", "failed").otherwise("completed")).otherwise(F.col("status"))
-    error = F.when(F.col("_ended"), F.col("_error")).otherwise(F.col("error"))
-    return runs.join(ended, "run_id", "left").withColumns({"status": status, "error": error}).drop("_error", "_ended")
+    changed = {"status": status, "error": F.when(F.col("_ended"), F.col("_error")).otherwise(F.col("error"))}
+    if timed:
+        changed["finished_at"] = F.when(F.col("_ended"), F.col("_at")).otherwise(F.col("finished_at") if "finished_at" in runs.columns else F.lit(None))
+    return runs.join(ended, "run_id", "left").withColumns(changed).drop("_error", "_ended", "_at")
+
+
+def artifact_errors(summaries: DataFrame, errors: DataFrame) -> DataFrame:
+    """Summaries with the errors of some runs' artifacts; errors: (run_id, artifact_error). A run without a summary gets a
+    row of its own; all else of the others stays."""
+    marked = errors.select("run_id", F.col("artifact_error").alias("_error"), F.lit(True).alias("_marked"))
+    old = F.col("artifact_error") if "artifact_error" in summaries.columns else F.lit(None).cast("string")
+    return summaries.join(marked, "run_id", "full_outer").withColumn("artifact_error", F.when(F.col("_marked"), F.col("_error")).otherwise(old)).drop("_error", "_marked")
+
+
+#: The states of a result that a run counts, and the names of the counts. Fixed values.
+ROLLED = {"healthy": "healthy", "healthy_with_fallback": "fallback", "suspicious": "suspicious", "failed": "failed"}
+
+
+def rollup(results: DataFrame, run: str = "run_id") -> DataFrame:
+    """A row for each run: results recorded (the last of a board, by created_at, counts), four states, and sums of jobs found, new and known ones.
+
+    results: run, company_id, created_at, status, jobs_found, new_jobs, existing_jobs; null counts as none.
+    """
+    last = results.groupBy(run, "company_id").agg(F.max_by(F.struct("status", "jobs_found", "new_jobs", "existing_jobs"), "created_at").alias("r"))
+    total = lambda c: F.sum(F.coalesce(F.col(f"r.{c}"), F.lit(0))).cast("long")
+    states = [F.count_if(F.col("r.status") == k).alias(name) for k, name in ROLLED.items()]
+    return last.groupBy(run).agg(F.count("*").alias("completed_companies"), *states, total("jobs_found").alias("jobs_found"), total("new_jobs").alias("jobs_new"), total("existing_jobs").alias("jobs_updated"))
+
+
+def scan_summary(boards: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row after a scan: boards that failed or look suspicious (by ``health``), and all figures of the analysis (one row)."""
+    counted = boards.agg(*(F.count_if(F.col("health") == k).alias(k) for k in ("failed", "suspicious")))
+    one = F.lit(1).alias("_one")
+    return counted.select("*", one).join(F.broadcast(stats.select("*", one)), "_one").drop("_one")  # one row each
 
 
 def health_summary(rows: DataFrame) -> DataFrame:

@@ -70,14 +70,6 @@ def evolution(spark, sf_dir):
     return a.where("ord % 2 = 0").select("external_id", "score", "duplicate_of").unionByName(old, allowMissingColumns=True).withColumn("duplicate_of", F.coalesce("duplicate_of", F.lit("none")))
 
 
-@query("cdc14_legacy_copy", f"{_ANALYSIS} SELECT external_id, CASE WHEN ord % 3 = 0 THEN score + 1 ELSE score END AS relevance_score FROM analysis")
-def legacy_copy(spark, sf_dir):
-    """A third of the postings have a relevance score of the new kind; only the others take over the old one."""
-    legacy = _analysis(spark, sf_dir)
-    target = legacy.where("ord % 3 = 0").select(*KEY, (c("score") + 1).alias("relevance_score"))
-    return target.unionByName(legacy.select(*KEY, c("score").alias("relevance_score")).join(target, KEY, "left_anti")).select("external_id", "relevance_score")
-
-
 @query("cdc15_baseline", f"WITH {O.RESULTS}, m AS (SELECT *, max(run) OVER () AS last FROM results) SELECT company_id, coalesce(arg_max(jobs_found, run) FILTER (run = last AND jobs_found > 0), arg_max(jobs_found, run) FILTER (run < last)) AS baseline FROM m GROUP BY 1 HAVING baseline IS NOT NULL")
 def baseline(spark, sf_dir):
     r = V.results(spark, sf_dir)

@@ -412,27 +412,6 @@ def next_rank(spark, sf_dir):
     return V.boards(spark, sf_dir).agg((F.max("rank") + 1).alias("next_rank"))
 
 
-@query("qc01_config_checks", f"WITH {O.BOARDS} SELECT company_id, 'duplicate name' AS problem FROM boards QUALIFY count(*) OVER (PARTITION BY company_name) > 1 UNION ALL SELECT company_id, 'bad rank' FROM boards WHERE rank IS NULL OR rank <= 0 UNION ALL SELECT company_id, 'disabled' FROM boards WHERE NOT enabled")
-def config_checks(spark, sf_dir):
-    b = V.boards(spark, sf_dir)
-    twice = b.groupBy("company_name").agg(F.count("*").alias("c")).where("c > 1")
-    rules = [b.join(twice, "company_name", "left_semi").select("company_id", F.lit("duplicate name").alias("problem")), b.where("rank is null or rank <= 0").select("company_id", F.lit("bad rank").alias("problem")), b.where("not enabled").select("company_id", F.lit("disabled").alias("problem"))]
-    return rules[0].unionByName(rules[1]).unionByName(rules[2])
-
-
-@query(
-    "join09_company_state",
-    f"""WITH {O.BOARDS}, {O.POSTINGS}, {O.RESULTS}, latest AS (SELECT company_id, arg_max(jobs_found, run) AS jobs_found, max(run) AS run FROM results GROUP BY 1), counts AS (SELECT company_id, count(*) AS total, count(*) FILTER (active) AS active FROM postings GROUP BY 1)
-    SELECT company_id, CASE WHEN NOT enabled THEN 'disabled' WHEN jobs_found IS NOT NULL THEN 'healthy' ELSE 'never_verified' END AS resolved, coalesce(total, 0) AS total, coalesce(active, 0) AS active, run FROM boards LEFT JOIN latest USING (company_id) LEFT JOIN counts USING (company_id)""",
-)
-def company_state(spark, sf_dir):
-    latest = V.results(spark, sf_dir).groupBy("company_id").agg(F.max_by("jobs_found", "run").alias("jobs_found"), F.max("run").alias("run"))
-    tally = V.postings(spark, sf_dir).groupBy("company_id").agg(F.count("*").alias("total"), F.count_if("active").alias("active"))
-    b = V.boards(spark, sf_dir).join(latest, "company_id", "left").join(tally, "company_id", "left")
-    state = F.when(~c("enabled"), "disabled").when(c("jobs_found").isNotNull(), "healthy").otherwise("never_verified")
-    return b.select("company_id", state.alias("resolved"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("active", F.lit(0)).alias("active"), "run")
-
-
 # --- Change capture ----------------------------------------------------------------------------------------------
 
 _EVENTS = f"""WITH {O.SNAPSHOTS}, runs AS (SELECT DISTINCT company_id, run FROM snapshots), o AS (SELECT *, lag(run) OVER (PARTITION BY company_id ORDER BY run) AS prev, lead(run) OVER (PARTITION BY company_id ORDER BY run) AS nxt FROM runs),
@@ -520,12 +499,6 @@ def run_health(spark, sf_dir):
     return health.run_health(V.results(spark, sf_dir))
 
 
-@query("agg04_run_rollup", f"WITH {O.RESULTS}, r AS (SELECT *, lag(jobs_found) OVER (PARTITION BY company_id ORDER BY run) AS previous FROM results) SELECT run, count(*) AS completed, count(*) FILTER (NOT coalesce(jobs_found < previous * (1 - 0.8::DOUBLE), false)) AS healthy, count(*) FILTER (jobs_found < previous * (1 - 0.8::DOUBLE)) AS suspicious, sum(jobs_found) AS jobs_found FROM r GROUP BY 1")
-def run_rollup(spark, sf_dir):
-    h = health.run_health(V.results(spark, sf_dir))
-    return h.groupBy("run").agg(F.count("*").alias("completed"), F.count_if(c("status") == "healthy").alias("healthy"), F.count_if(c("status") == "suspicious").alias("suspicious"), F.sum("jobs_found").alias("jobs_found"))
-
-
 @query("win01_latest_result", f"WITH {O.RESULTS} SELECT company_id, run, jobs_found FROM results QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY run DESC) = 1")
 def latest_result(spark, sf_dir):
     return V.results(spark, sf_dir).groupBy("company_id").agg(F.max_by("jobs_found", "run").alias("jobs_found"), F.max("run").alias("run"))

@@ -11,6 +11,7 @@ from tidewheel.plans import oracle as O
 from tidewheel.plans import views as V
 from tidewheel.plans.history import _ANALYSIS, _analysis
 from tidewheel.plans.queries import _EVENTS, _POLICY, KEY, _analyses, c, query
+from tidewheel.sources.landing import pcs_in_india
 
 STATUSES = ["healthy", "failed", "suspicious", "healthy_with_fallback", "healthy", "never_verified"]
 CATEGORIES = ["network_dns", None, "network_timeout", "network_dns", None, "rate_limited", "http_403_or_waf"]
@@ -201,14 +202,6 @@ def certification(spark, sf_dir):
     return runs.certification_summary(_state(spark, sf_dir))
 
 
-@query("agg10_scan_summary", f"{_STATE}, {O.POSTINGS}, a AS (SELECT count(*) FILTER (health = 'failed') AS failed, count(*) FILTER (health = 'suspicious') AS suspicious FROM st), b AS (SELECT count(*) FILTER (active) AS active_jobs, count(*) FILTER (active AND last_change_type IN ('new', 'changed')) AS new_changed FROM postings) SELECT * FROM a, b")
-def scan_summary(spark, sf_dir):
-    boards = _state(spark, sf_dir).agg(*(F.count_if(c("health") == k).alias(k) for k in ("failed", "suspicious")))
-    jobs = V.postings(spark, sf_dir).agg(F.count_if("active").alias("active_jobs"), F.count_if(c("active") & c("last_change_type").isin("new", "changed")).alias("new_changed"))
-    one = F.lit(1).alias("_one")
-    return boards.select("*", one).join(F.broadcast(jobs.select("*", one)), "_one").drop("_one")  # one row each
-
-
 @query("agg11_dashboard", f"{_STATE} SELECT health, count(*) AS n FROM st WHERE enabled GROUP BY 1")
 def dashboard(spark, sf_dir):
     return _state(spark, sf_dir).where("enabled").groupBy("health").agg(F.count("*").alias("n"))
@@ -228,16 +221,10 @@ def recommendations(spark, sf_dir):
     return _state(spark, sf_dir).select("company_id", recommendation(c("verdict"), c("source_type"), F.when(c("rank") % 5 == 0, 2), adapter).alias("advice"))
 
 
-@query("flt14_browser_used", f"WITH {O.POSTINGS} SELECT company_id, bool_or(starts_with(source_type, 'browser_')) AS browser FROM postings GROUP BY 1")
-def browser_used(spark, sf_dir):
-    return V.postings(spark, sf_dir).groupBy("company_id").agg(F.bool_or(F.coalesce(c("source_type").startswith("browser_"), F.lit(False))).alias("browser"))
-
-
 @query("flt20_india_rows", f"WITH {O.POSTINGS} SELECT external_id, coalesce(upper(trim(location)) = 'IN' OR upper(trim(location)) LIKE '%, IN' OR lower(location) LIKE '%india%', false) AS india FROM postings")
 def india_rows(spark, sf_dir):
-    standardized, places = F.array(F.upper(F.trim("location"))), F.array(F.lower("location"))
-    found = F.exists(standardized, lambda x: (x == "IN") | x.endswith(", IN")) | F.exists(places, lambda x: x.contains("india"))
-    return V.postings(spark, sf_dir).select("external_id", F.coalesce(found, F.lit(False)).alias("india"))
+    found = pcs_in_india(F.array("location"), F.array("location"))
+    return V.postings(spark, sf_dir).select("external_id", found.alias("india"))
 
 
 # --- Mutations and sets ------------------------------------------------------------------------------------------
@@ -345,9 +332,3 @@ def outlinks(spark, sf_dir):
     return links.groupBy("page_id", "url").agg((F.min("pos") + 1).cast("long").alias("pos"))
 
 
-@query("srt09_next_page", "WITH t AS (SELECT page_id, unnest(x) AS tag, generate_subscripts(x, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<(?:a|link)\\b[^>]*>') AS x FROM pages)), h AS (SELECT page_id, pos, regexp_extract(tag, '(?i)href=[\"'']?([^\"''\\s>]+)', 1) AS url, CASE WHEN regexp_matches(tag, '(?i)rel=[\"'']?next') THEN 100 WHEN regexp_matches(tag, '(?i)[?&](page|p|pg|start|offset)=\\d') THEN 10 ELSE 1 END AS score FROM t) SELECT page_id, arg_max(url, score * 100000 - pos) AS url FROM h WHERE url != '' GROUP BY 1")
-def next_page(spark, sf_dir):
-    tags = V.pages(spark, sf_dir).select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<(?:a|link)\b[^>]*>"), 0)).alias("pos", "tag"))
-    score = F.when(c("tag").rlike("(?i)rel=[\"']?next"), 100).when(c("tag").rlike(r"(?i)[?&](page|p|pg|start|offset)=\d"), 10).otherwise(1)
-    links = tags.select("page_id", F.regexp_extract("tag", "(?i)href=[\"']?([^\"'\\s>]+)", 1).alias("url"), F.struct(score.alias("score"), (-c("pos")).alias("pos")).alias("rank"))
-    return links.where("url != ''").groupBy("page_id").agg(F.max_by("url", "rank").alias("url"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.text import clean_text, epoch_iso, first_filled, strip_tags
+from tidewheel.functions.text import blank, clean_text, epoch_iso, first_filled, strip_tags
 from tidewheel.operators.gate import dedupe_extracted
 from tidewheel.operators.pages import resolved
 
@@ -74,12 +74,37 @@ def oracle_requisitions(payloads: DataFrame, host: str, locale: str, site: str)
     return _postings(r, "oracle", external_id=F.col("r.Id"), title=F.col("r.Title"), location=F.col("r.PrimaryLocation"), description=text, job_url=url, posted_at=F.col("r.PostedDate"))
 
 
-def pcs_positions(payloads: DataFrame, origin: str) -> DataFrame:
-    r = _rows(payloads, "struct<positions:array<struct<id:bigint,name:string,locations:array<string>,standardizedLocations:array<string>,positionUrl:string,jobDescription:string,description:string,postedTs:string>>>", "positions")
-    empty = F.array().cast("array<string>")
-    places = F.array_join(F.array_distinct(F.concat(F.coalesce("r.locations", empty), F.coalesce("r.standardizedLocations", empty))), " | ")
-    url = first_filled(F.col("r.positionUrl"), F.concat(F.lit(f"{origin}/careers/job/"), F.col("r.id").cast("string")))
-    return _postings(r, "eightfold_pcsx", external_id=F.col("r.id"), title=F.col("r.name"), location=F.nullif(places, F.lit("")), description=first_filled(F.col("r.jobDescription"), F.col("r.description")), job_url=url, posted_at=epoch_iso(F.col("r.postedTs")))
+#: Where a position's text may stand, the first that is filled counts. Fixed values.
+PCS_TEXTS = ["jobDescription", "description", "descriptionPlain", "content"]
+
+
+def pcs_in_india(standardized: Column, locations: Column) -> Column:
+    """Whether a standardised place is India, or any place names it."""
+    coded = F.exists(standardized, lambda x: F.upper(F.trim(blank(x))).rlike("^(?:.*, )?IN$"))
+    named = F.exists(locations, lambda x: F.lower(blank(x)).contains("india"))
+    return F.coalesce(coded, F.lit(False)) | F.coalesce(named, F.lit(False))
+
+
+def pcs_positions(payloads: DataFrame, origin: str, domain: str | None = None, india_only: bool = False) -> DataFrame:
+    """Positions with their places in order, each once. A position without an id or a title is an error.
+
+    The URL is the public one where that is absolute, else the position's path, or one made from its id, on ``origin``,
+    with ``domain`` asked for where it is given.
+    """
+    record = f"struct<id:string,name:string,title:string,locations:array<string>,standardizedLocations:array<string>,publicUrl:string,positionUrl:string,postedTs:string,{','.join(f'{c}:string' for c in PCS_TEXTS)}>"
+    r = _rows(payloads, f"struct<positions:array<{record}>>", "positions")
+    if india_only:
+        r = r.where(pcs_in_india(F.col("r.standardizedLocations"), F.col("r.locations")))
+    trimmed = lambda x: F.nullif(F.trim(x), F.lit(""))
+    ident, title = trimmed(F.col("r.id")), trimmed(first_filled(F.col("r.name"), F.col("r.title")))
+    checked = F.when(ident.isNull() | title.isNull(), F.raise_error(F.lit("a position has no id or no title"))).otherwise(title)
+    places = F.array_join(F.array_distinct(F.filter(F.transform("r.locations", lambda x: F.trim(blank(x))), lambda x: x != "")), " | ")
+    path = F.when(F.trim("r.positionUrl").startswith("/"), F.trim("r.positionUrl")).otherwise(F.concat(F.lit("/careers/job/"), ident))
+    asked = F.concat(F.lit("?domain="), F.url_encode(F.lit(domain)), F.lit("&hl=en")) if domain else F.lit("")
+    site = F.regexp_extract(F.lit(origin), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    public = F.when(F.trim("r.publicUrl").rlike("^https?://"), F.trim("r.publicUrl"))
+    texts = [F.nullif(strip_tags(F.col(f"r.{c}")), F.lit("")) for c in PCS_TEXTS]
+    return _postings(r, "eightfold_pcsx", external_id=ident, title=checked, location=F.nullif(places, F.lit("")), description=F.coalesce(*texts), job_url=F.coalesce(public, F.concat(site, path, asked)), posted_at=epoch_iso(F.col("r.postedTs")))
 
 
 def grouped_map(payloads: DataFrame, detail_base: str = "https://www.cohesity.com/careers/open-positions/") -> DataFrame:
