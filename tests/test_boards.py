@@ -134,3 +134,39 @@ def test_legacy_copy_only_into_an_empty_table(spark):
     full = spark.createDataFrame([("b", 9, None)], "id string, score long, note string")
     copy = lambda t: [tuple(r) for r in inventory.copy_legacy(t, old, {"local": "score"}, ["id"], ["local"]).collect()]
     assert copy(full) == [("b", 9, None)] and copy(full.limit(0)) == [("a", 1, None)]
+
+
+def test_board_identity(spark):
+    from tidewheel.operators import discovery
+
+    cases = {
+        "https://boards.greenhouse.io/Acme/jobs/7": ("greenhouse", "Acme", None),
+        "https://boards.greenhouse.io/": None,
+        "https://api.lever.co/acme": ("lever", "acme", None),
+        "https://lever.co/acme": None,
+        "https://jobs.smartrecruiters.com/careers/Acme": ("smartrecruiters", "Acme", None),
+        "https://EIGHTFOLD.ai/": ("eightfold", "app", None),
+        "https://a.b.eightfold.ai:443/": ("eightfold", "b", None),
+        "https://x.jobs2web.com": ("successfactors", None, None),
+        "https://h.oraclecloud.com/hcmui/candidateexperience/en/sites/CX_1": ("oracle", None, "CX_1"),
+        "https://h.oraclecloud.com/other": None,
+        "https://a.wd3.myworkdayjobs.com/EN-US/en/Site": ("workday", "a", "Site"),
+        "https://a.b.wd3.myworkdayjobs.com/Site": None,
+        "https://a.wd3.myworkdayjobs.com/en": None,
+        "not a url": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "u string").select("u", discovery.board(F.col("u")).alias("b")).collect()
+    assert {r.u: r.b and (r.b.provider, r.b.tenant, r.b.site) for r in rows} == cases
+    posted = spark.createDataFrame([("a", '{"_source_response_url": "%s"}' % u) for u in "bacb"] + [("a", None), ("z", "[")], "company_id string, raw string")
+    assert [tuple(r) for r in discovery.endpoints(posted, 2).collect()] == [("a", ["a", "b"])]
+
+
+def test_run_detail(spark):
+    from tidewheel.operators import search
+
+    rows = [("r", "a", "A", None, "{"), ("r", "b", "B", 2, '{"x": 1}'), ("r", "c", "C", 1, None), ("s", "d", "D", 1, "{}")]
+    got = search.run_detail(spark.createDataFrame(rows, "run_id string, company_id string, company_name string, rank int, payload string"), "r")
+    assert [(r.company_id, r.p) for r in got.orderBy("place").select("company_id", F.to_json("payload").alias("p")).collect()] == [("c", "{}"), ("b", '{"x":1}'), ("a", "{}")]
+    listed = spark.createDataFrame([("1", "fetch", "2"), ("2", "verify", "3"), ("3", "fetch", "3")], "run_id string, run_type string, created_at string")
+    assert [r.run_id for r in search.run_list(listed).collect()] == ["3", "2", "1"] and [r.run_id for r in search.run_list(listed, "fetch", 1).collect()] == ["3"]

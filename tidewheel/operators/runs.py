@@ -56,10 +56,11 @@ def mark_duplicates(analysis: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.withColumns(changed).withColumnsRenamed({"canonical_company_id": "duplicate_of_company_id", "canonical_external_id": "duplicate_of_external_id"})
 
 
-def interrupt_stale(runs: DataFrame) -> DataFrame:
-    """Runs that were waiting or at work when the process ended; an error that is known stays."""
+def interrupt_stale(runs: DataFrame, at: Column | None = None) -> DataFrame:
+    """Runs that were waiting or at work when the process ended; an error that is known stays. They end ``at`` that time, where it is given."""
     stale = F.col("status").isin("queued", "running")
-    return runs.withColumns({"status": F.when(stale, "interrupted").otherwise(F.col("status")), "error": F.when(stale, F.coalesce("error", F.lit("Server restarted during run"))).otherwise(F.col("error"))})
+    ended = {} if at is None else {"finished_at": F.when(stale, at).otherwise(F.col("finished_at"))}
+    return runs.withColumns(ended | {"status": F.when(stale, "interrupted").otherwise(F.col("status")), "error": F.when(stale, F.coalesce("error", F.lit("Server restarted during run"))).otherwise(F.col("error"))})
 
 
 def create(runs: DataFrame, asked: DataFrame) -> DataFrame:

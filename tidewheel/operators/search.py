@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.predicates import mentions_india, text_search
@@ -110,6 +110,24 @@ def boards(rows: DataFrame, *, query: str = "", enabled: bool | None = None, hea
     return rows.where(F.col("source_type") == source) if source else rows
 
 
+def run_list(runs: DataFrame, run_type: str | None = None, limit: int = 100) -> DataFrame:
+    """The newest runs, of one type or of all."""
+    rows = runs if run_type is None else runs.where(F.col("run_type") == run_type)
+    return rows.orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
+
+
+def run_detail(results: DataFrame, run_id) -> DataFrame:
+    """A run's results by rank, those without one last, then by name, with their ``place``; ``payload`` as an object, empty where it isn't one.
+
+    results: run_id, company_id, company_name, rank and payload, a JSON text.
+    """
+    parsed = F.try_parse_json("payload")
+    rows = results.where(F.col("run_id") == run_id).withColumn("payload", F.coalesce(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed), F.parse_json(F.lit("{}"))))
+    order = [F.coalesce("rank", F.lit(999999)), "company_name", "company_id"]
+    # a row for each board of one run
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
+
+
 def page(rows: DataFrame, order: list, number: int = 1, size: int = 50) -> DataFrame:
     """One page in ``order``, with ``total`` rows and ``pages`` of all that was found; size is held to 1 to 200."""
     number, size = max(1, number), min(200, max(1, size))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions import profile as P
-from tidewheel.operators import boards, health, inventory, pages, relevance, runs, search
+from tidewheel.operators import boards, discovery, health, inventory, pages, relevance, runs, search
 from tidewheel.plans import oracle as O
 from tidewheel.plans import views as V
 from tidewheel.plans.queries import _POLICY, KEY, _analyses, c, query
@@ -230,6 +230,48 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.pages(spark, sf_dir).select(k, url.alias("url"), say(F.regexp_replace("html", "</body>", ""), V.pick(k, _PAGERS), "</body></html>").alias("html"))
 
 
+#: Links as pages hold them, and the boards they are.
+_CAREERS = [
+    ("https://job-boards.greenhouse.io/acme{k}/jobs/1", "greenhouse", "acme{k}", "job-boards.greenhouse.io", None, None),
+    ("https://jobs.lever.co/acme{k}", "lever", "acme{k}", "jobs.lever.co", None, None),
+    ("https://jobs.ashbyhq.com/acme{k}?x=1", "ashby", "acme{k}", "jobs.ashbyhq.com", None, None),
+    ("https://careers.smartrecruiters.com/Jobs/Acme{k}/", "smartrecruiters", "Acme{k}", "careers.smartrecruiters.com", None, None),
+    ("https://www.t{k}.eightfold.ai/careers", "eightfold", "t{k}", "www.t{k}.eightfold.ai", None, None),
+    ("https://acme{k}.avature.net/careers", "avature", None, "acme{k}.avature.net", None, None),
+    ("https://career4.successfactors.com/p?c={k}", "successfactors", None, "career4.successfactors.com", None, None),
+    ("https://careers.kula.ai/acme{k}", "kula", "acme{k}", "careers.kula.ai", None, None),
+    ("https://h{k}.fa.ocs.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_{k}/jobs", "oracle", None, "h{k}.fa.ocs.oraclecloud.com", "CX_{k}", "en"),
+    ("https://acme.wd5.myworkdayjobs.com/en-US/Site{k}/job/x", "workday", "acme", "acme.wd5.myworkdayjobs.com", "Site{k}", None),
+    ("https://jobs.lever.co/", None, None, None, None, None),
+]
+
+
+@query("dsc01_page_boards", "SELECT * FROM (SELECT page_id, " + ", ".join(f"replace({O.pick('page_id', [row[i] for row in _CAREERS])}, '{{k}}', CAST(page_id AS VARCHAR)) AS {name}" for i, name in enumerate(["target", "provider", "tenant", "host", "site", "locale"])) + " FROM pages) WHERE provider IS NOT NULL UNION ALL SELECT page_id, 'https://eightfold.ai/', 'eightfold', 'app', 'eightfold.ai', NULL, NULL FROM pages WHERE page_id % 3 = 0")
+def page_boards(spark, sf_dir):
+    """The given pages with links to boards, one twice, and one as a loose URL in a script."""
+    k = c("page_id")
+    link = F.replace(V.pick(k, [row[0] for row in _CAREERS]), F.lit("{k}"), k.cast("string"))
+    more = say('<a href="', link, '">Careers</a><a href="', link, '">Jobs</a><a href="https://notaboard.example/lever.co">x</a><script>', F.when(k % 3 == 0, 'var u = "https:\\/\\/eightfold.ai\\/";').otherwise(""), "</script>")
+    p = V.pages(spark, sf_dir).select(k, "url", say(F.regexp_replace("html", "</body>", ""), more).alias("html"))
+    return discovery.boards_of(p).drop("place")
+
+
+@query("dsc02_endpoints", f"WITH {O.POSTINGS}, u AS (SELECT DISTINCT company_id, 'https://api.example/' || lpad(CAST(ord % 300 AS VARCHAR), 3, '0') AS url FROM postings WHERE ord % 3 != 2), n AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY url) AS nth FROM u) SELECT company_id, string_agg(url, ' ' ORDER BY url) AS endpoints FROM n WHERE nth <= 20 GROUP BY 1")
+def endpoints(spark, sf_dir):
+    raw = F.when(c("ord") % 3 != 2, say('{"_source_response_url": "https://api.example/', F.lpad((c("ord") % 300).cast("string"), 3, "0"), '"}')).otherwise("{")
+    return discovery.endpoints(V.postings(spark, sf_dir).select("company_id", raw.alias("raw")), 20).select("company_id", F.array_join("endpoints", " ").alias("endpoints"))
+
+
+@query("qry07_run_detail", f"WITH {O.BOARDS}, {_RESULTS}, m AS (SELECT f.*, company_name, CASE WHEN rank % 4 != 0 THEN rank END AS rank FROM found f JOIN boards USING (company_id) WHERE run_id = (SELECT max(run_id) FROM found)) SELECT company_id, row_number() OVER (ORDER BY coalesce(rank, 999999), company_name, company_id) AS place, CASE WHEN jobs_found % 2 = 0 THEN jobs_found END AS jobs FROM m")
+def run_detail(spark, sf_dir):
+    """The newest run; every second payload isn't an object."""
+    named = V.boards(spark, sf_dir).select("company_id", "company_name", F.when(c("rank") % 4 != 0, c("rank")).alias("rank"))
+    r = results(spark, sf_dir).withColumn("nth", F.row_number().over(Window.partitionBy("run_id", "company_id").orderBy(F.desc("created_at")))).where("nth = 1").join(named, "company_id")
+    r = r.withColumn("payload", F.when(c("jobs_found") % 2 == 0, say('{"jobs": ', c("jobs_found").cast("string"), "}")).otherwise("[1]"))
+    newest = search.run_list(r.select("run_id", c("run_id").alias("created_at")).distinct(), limit=1).first()
+    return search.run_detail(r, newest.run_id if newest else None).select("company_id", "place", F.try_variant_get("payload", "$.jobs", "bigint").alias("jobs"))
+
+
 _AT = "'https://jobs.example.com"
 
 
