@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.text import blank, either, strip
+from tidewheel.functions.text import blank, either, low_words, strip
 
 # Places with their spellings, codes and countries.
 REGIONS = {
@@ -255,25 +255,25 @@ def _words(rows) -> Column:
 
 def plain(c: Column) -> Column:
     """Lower-case words of a-z and 0-9 with single spaces, and one at either end."""
-    spaced = F.regexp_replace(F.replace(F.lower(blank(c)), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
-    return F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(low_words(F.replace(blank(c), F.lit("&"), F.lit(" and ")))), F.lit(" "))
 
 
 def _first_of(padded: Column, table: dict[str, list[str]]) -> Column:
     return F.get(F.filter(_pairs((f" {a} ", n) for a, n in spelled(table)), lambda r: F.contains(padded, r["a"])), 0)["n"]
 
 
-def explicit_india(c: Column) -> Column:
-    padded, bare = plain(c), strip(blank(c))
+def explicit_india(c: Column, padded: Column | None = None) -> Column:
+    """padded: the text's plain words, where they are at hand."""
+    padded, bare = plain(c) if padded is None else padded, strip(blank(c))
     named = padded.contains(" india ") | padded.contains(" bharat ")
     return named | F.upper(bare).isin("IN", "IND") | bare.rlike(r"(?i)^(?:remote\s*[-,/|:]\s*(?:IN|IND)|(?:IN|IND)\s*[-,/|:]\s*remote)$")
 
 
-def explicit_foreign(c: Column) -> Column:
+def explicit_foreign(c: Column, padded: Column | None = None) -> Column:
     """The first foreign country named, if India isn't, else null."""
-    padded = plain(c)
+    padded = plain(c) if padded is None else padded
     found = F.get(F.filter(_words(FOREIGN), lambda r: F.contains(padded, F.concat(F.lit(" "), r, F.lit(" ")))), 0)
-    return F.when(~explicit_india(c), found)
+    return F.when(~explicit_india(c, padded), found)
 
 
 def _code_of(c: Column) -> Column:
@@ -297,20 +297,22 @@ def with_place(df: DataFrame, column: str, prefix: str) -> DataFrame:
     return df.withColumns({n("place"): place, n("why"): why}).drop(n("city"), n("region"), n("local"), n("code"))
 
 
-def _has_place(c: Column) -> Column:
-    """Whether a text names an Indian place and no other country; for the elements of an array."""
-    padded = plain(c)
+def _has_place(c: Column, padded: Column) -> Column:
+    """Whether a text, with its plain words, names an Indian place and no other country; for the elements of an array."""
     every = _words(f" {a} " for t in (CITIES, REGIONS, LOCALITIES) for a, _ in spelled(t))
-    return explicit_india(c) | (explicit_foreign(c).isNull() & (F.exists(every, lambda a: F.contains(padded, a)) | _code_of(c).isNotNull()))
+    return explicit_india(c, padded) | (explicit_foreign(c, padded).isNull() & (F.exists(every, lambda a: F.contains(padded, a)) | _code_of(c).isNotNull()))
 
 
 def with_description_place(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """Adds {prefix}place and why: from the first location line, of 120, that names a place, or from a strong phrase."""
-    lines = F.slice(F.filter(F.transform(F.split(blank(F.col(column)), r"\R"), strip), lambda x: x != ""), 1, 120)
+    told = F.when(F.col(column).rlike("(?i)location"), F.col(column))  # a label has this word
+    lines = F.slice(F.filter(F.transform(F.split(blank(told), r"\R"), strip), lambda x: x != ""), 1, 120)
     label = r"(?i)\b(?:job\s+|work\s+|workplace\s+|office\s+|primary\s+)?location\s*[:\-]"
     values = F.transform(F.filter(lines, lambda x: x.rlike(label)), lambda x: strip(F.regexp_replace(x, r"^[^:\-]*[:\-]", "")))
     value, text = f"{prefix}value", f"{prefix}text"
-    df = df.withColumns({value: values, text: plain(F.col(column))}).withColumn(value, F.get(F.filter(F.col(value), _has_place), 0))
+    # plain words are made once a line, not once for each name looked up; each strong phrase has the word india
+    values = F.transform(values, lambda x: F.struct(x.alias("line"), plain(x).alias("pad")))
+    df = df.withColumns({value: values, text: plain(F.when(F.col(column).rlike("(?i)india"), F.col(column)))}).withColumn(value, F.get(F.filter(F.col(value), lambda x: _has_place(x["line"], x["pad"])), 0)["line"])
     df = with_place(df, value, f"{prefix}v_")
     strong = either(F.col(text).rlike(p) for p in DESCRIPTION_PHRASES)
     found = F.col(f"{prefix}v_place")

@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import profile as P
 from tidewheel.functions.predicates import title_excluded
-from tidewheel.functions.text import analysis_hash, blank, coarse_location, content_hash, either, has_any, normalize_text, plainly_foreign, strip
+from tidewheel.functions.text import analysis_hash, blank, coarse_location, content_hash, either, has_any, normalize_text, plain_dashes, plainly_foreign, strip
 from tidewheel.operators.location import classify
+from tidewheel.operators.stored import size_of
 
+#: Bytes of the files read that one scoring task gets at most.
+PART = 4 << 20
 
-def with_sections(df: DataFrame, description: str, headings: dict[str, list[str]]) -> DataFrame:
+
+def with_sections(df: DataFrame, description: str, headings: dict[str, list[str]], normal: str | None = None) -> DataFrame:
     """Adds a column of each name: the lines after the first line with one of its headings, up to the next line that
     looks like another heading; the first line after it is always taken.
 
     Each step reads columns of the step before, so a line is split, stripped and normalised once whatever reads it.
+    normal: the column of the normalised text, if there is one; a text without any of the headings is not split.
     """
-    df = df.withColumn("_lines", F.transform(F.split(blank(F.col(description)), r"\R"), strip))
+    text = blank(F.col(description))
+    if normal:
+        text = F.when(either(F.col(normal).contains(h) for words in headings.values() for h in words), text).otherwise("")
+    df = df.withColumn("_lines", F.transform(F.split(text, r"\R"), strip))
     looks = lambda x: x.rlike(r"^[A-Za-z][A-Za-z /&+-]{2,55}:?$") & (F.size(F.split(x, r"\s+")) <= 7)
     df = df.withColumns({"_plain": F.transform("_lines", normalize_text), "_looks": F.transform("_lines", looks)})
     ours = lambda words: F.transform("_plain", lambda x: either(x.contains(h) for h in words))
@@ -33,9 +41,10 @@ def with_sections(df: DataFrame, description: str, headings: dict[str, list[str]
 
 def experience_mentions(text: Column) -> Column:
     """array of struct(low, open, high): ranges first, then single values outside of ranges."""
-    clean = F.translate(text, "–—", "--")
-    span = r"(?i)(?<!\d)(\d{1,2}(?:\.\d+)?)\s*(?:-|to)\s*(\d{1,2}(?:\.\d+)?)\s*(?:\+\s*)?(?:years?|yrs?)\b"
-    single = r"(?i)(?<!\d)(\d{1,2}(?:\.\d+)?)\s*(?:\+|plus|or more|and above|minimum|min\.?)?\s*(?:years?|yrs?)\b"
+    clean = plain_dashes(text)
+    # \d(?<!\d\d)\d? is \d{1,2} after no digit, with the digit tested first
+    span = r"(?i)(\d(?<!\d\d)\d?(?:\.\d+)?)\s*(?:-|to)\s*(\d{1,2}(?:\.\d+)?)\s*(?:\+\s*)?(?:years?|yrs?)\b"
+    single = r"(?i)(\d(?<!\d\d)\d?(?:\.\d+)?)\s*(?:\+|plus|or more|and above|minimum|min\.?)?\s*(?:years?|yrs?)\b"
     number = lambda x, g, pattern: F.regexp_extract(x, pattern, g).cast("double")
     made = lambda low, high: F.struct(low.alias("low"), high.isNull().alias("open"), high.alias("high"))
     ranges = F.transform(F.regexp_extract_all(clean, F.lit(span), 0), lambda x: made(F.least(number(x, 1, span), number(x, 2, span)), F.greatest(number(x, 1, span), number(x, 2, span))))
@@ -120,23 +129,25 @@ def is_relevant(status: Column) -> Column:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows in as many partitions as there are cores at least, before work that is heavy for each row.
+    """Rows dealt evenly to tasks of at most ``PART`` bytes of the files read, some for each core at least, before work that is heavy for each row.
 
-    A table of one file and row group would be one task's otherwise; tables of more splits than cores stay as they are.
+    The splits of a scan don't say how rows are dealt: one row group is one task's, however many splits its file has, and
+    after a join partitions are coalesced by bytes, not by work.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    session = rows.sparkSession
+    tasks = max(-(-size_of(session, rows.inputFiles()) // PART), 4 * session.sparkContext.defaultParallelism)
+    return rows.repartition(tasks)
 
 
 def score(postings: DataFrame) -> DataFrame:
     """Postings with the scoring columns."""
     postings = spread(postings)
-    texts = with_sections(postings, "description", {"_required": P.REQUIRED_HEADINGS, "_preferred": P.PREFERRED_HEADINGS})
-    mentions = (experience_mentions(c) for c in (F.col("_required"), blank(F.col("description")), F.col("_preferred")))
+    postings = postings.withColumn("_full", normalize_text(F.col("description")))
+    texts = with_sections(postings, "description", {"_required": P.REQUIRED_HEADINGS, "_preferred": P.PREFERRED_HEADINGS}, "_full")
+    mentions = (F.when(c.rlike("(?i)y(?:ea)?r"), experience_mentions(c)) for c in (F.col("_required"), blank(F.col("description")), F.col("_preferred")))
     texts = texts.withColumns(
         {
             "_title": normalize_text(F.col("title")),
-            "_full": normalize_text(F.col("description")),
             "_nreq": normalize_text(F.col("_required")),
             "_npref": normalize_text(F.col("_preferred")),
             "_nloc": normalize_text(F.col("location")),
