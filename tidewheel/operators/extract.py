@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -23,6 +23,25 @@ SCRIPT_CHARS = 12_000_000
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+#: Characters of texts whose rows a task holds at once.
+SLICE_CHARS = 1 << 20
+
+
+def in_slices(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], text: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` over slices of the batches, of ``SLICE_CHARS`` of column ``text`` and one more row at most: what it makes goes on a slice at a time."""
+
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            begin, chars = 0, 0
+            for n, value in enumerate(pdf[text], 1):
+                chars += len(value or "")
+                if chars >= SLICE_CHARS or n == len(pdf):
+                    yield from run(iter([pdf.iloc[begin:n]]))
+                    begin, chars = n, 0
+
+    return sliced
+
+
 class _Anchors(HTMLParser):
     """Anchors with their text, the text of the element around them, and the headings of three elements around."""
 
@@ -85,7 +104,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, ord, href, target, label, context, headings) of every anchor with an href."""
-    return pages.select("page_id", "url", "html").mapInPandas(_anchor_rows, "page_id long, ord int, href string, target string, label string, context string, headings array<string>")
+    return pages.select("page_id", "url", "html").mapInPandas(in_slices(_anchor_rows, "html"), "page_id long, ord int, href string, target string, label string, context string, headings array<string>")
 
 
 def _script_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +115,7 @@ def _script_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def embedded_json(pages: DataFrame) -> DataFrame:
     """(page_id, ord, type, body) of script elements that hold JSON state."""
-    rows = pages.select("page_id", "html").mapInPandas(_script_rows, "page_id long, ord int, type string, script_id string, body string")
+    rows = pages.select("page_id", "html").mapInPandas(in_slices(_script_rows, "html"), "page_id long, ord int, type string, script_id string, body string")
     state = F.lower("type").rlike("application/(ld[+])?json") | F.col("script_id").isin("__NEXT_DATA__", "__NUXT_DATA__")
     return rows.where(state & (F.length("body") <= SCRIPT_CHARS) & F.try_parse_json("body").isNotNull()).drop("script_id")
 
@@ -214,7 +233,7 @@ def _json_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def harvest_json(payloads: DataFrame, key: str, body: str) -> DataFrame:
     """Postings from JSON of any depth, in document order: (key, ord, title, job_url, external_id, location, ...)."""
-    rows = payloads.select(F.col(key).cast("string").alias("key"), F.col(body).alias("body")).mapInPandas(_json_rows, "key string, ord long, " + ", ".join(f"{f} string" for f in ALIASES))
+    rows = payloads.select(F.col(key).cast("string").alias("key"), F.col(body).alias("body")).mapInPandas(in_slices(_json_rows, "body"), "key string, ord long, " + ", ".join(f"{f} string" for f in ALIASES))
     text = F.when(F.col("description").contains("<"), F.regexp_replace("description", "<[^>]+>", " ")).otherwise(F.col("description"))
     clean = {c: clean_text(F.col(c)) for c in ("title", "external_id", "location", "posted_at")}
     return rows.where(hinted(F.col("title"))).withColumns({**clean, "description": clean_text(text)})
