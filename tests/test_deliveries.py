@@ -136,3 +136,27 @@ def test_events_of_a_replay_can_be_finalized(spark, tmp_path):
     runs = spark.createDataFrame([("1", "fetch", "1", None), ("2", "fetch", "2", None)], RUN)
     got = {r.run: (r.jobs_new, r.jobs_changed, r.jobs_closed, r.ai_input_count) for r in store.finalize(runs, inventory.replay(snapshots), analysis, versions, "t").collect()}
     assert got == {"1": (2, 0, 0, 2), "2": (0, 1, 1, 1)}
+
+
+def test_finalizing_scores_the_postings_of_the_runs_only(spark, tmp_path, monkeypatch):
+    """Of the given tables' postings few are in a run; the summaries are those of the whole analysis."""
+    from tidewheel.operators import inventory
+    from tidewheel.plans import artifacts, queries
+
+    sf, scored, one = "/root/testdata/sf0.001", [], artifacts.relevance.score
+
+    def seen(rows):
+        scored.append({(r.company_id, r.external_id) for r in rows.select("company_id", "external_id").collect()})
+        return one(rows)
+
+    monkeypatch.setattr(artifacts, "shared_root", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(artifacts.relevance, "score", seen)
+    got = {tuple(r) for r in artifacts._finalized(spark, sf).summaries().collect()}
+    monkeypatch.undo()
+    s = queries.V.snapshots(spark, sf).where("run is not null")
+    keys = {(r.company_id, r.external_id) for r in s.select("company_id", "external_id").collect()}
+    assert len(scored) == 1 and scored[0] and scored[0] <= keys
+    run = F.col("run").cast("string")
+    runs = s.select(run.alias("run")).distinct().select("run", F.col("run").alias("created_at"), F.lit(None).cast("string").alias("started_at"))
+    whole = Deliveries(spark, f"file://{tmp_path}/whole").finalize(runs, inventory.replay(s), queries._analyses(spark, sf), artifacts._named(spark, sf), "2026-01-01T00:00:00Z")
+    assert got == {tuple(r) for r in whole.collect()} and got

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewheel.functions import predicates as R
-from tidewheel.operators import health, inventory, merging, pages, reconcile, search
+from tidewheel.operators import health, inventory, merging, pages, reconcile, relevance, search
 from tidewheel.operators.deliveries import Deliveries
 from tidewheel.operators.stored import files_key, shared_root
 from tidewheel.plans import oracle as O
@@ -36,7 +36,10 @@ def _finalized(spark, sf_dir, name: str = "finalized") -> Deliveries:
     runs = s.select(day.alias("run")).distinct().select("run", c("run").alias("created_at"), F.lit(None).cast("string").alias("started_at"))
     key = "".join(files_key(spark, f"{sf_dir}/{t}.parquet") for t in ("events", "documents"))
     store = Deliveries(spark, f"{shared_root(spark)}/{name}-{hashlib.md5(key.encode()).hexdigest()}")
-    store.finalize(runs, inventory.replay(s), _analyses(spark, sf_dir), _named(spark, sf_dir), "2026-01-01T00:00:00Z")
+    # only postings that a run has seen are frozen, so no others are scored
+    seen = V.postings(spark, sf_dir).join(s.select(*KEY).distinct(), KEY, "left_semi")
+    analysis = relevance.apply_location_policy(relevance.score(seen))
+    store.finalize(runs, inventory.replay(s), analysis, _named(spark, sf_dir), "2026-01-01T00:00:00Z")
     return store
 
 
