@@ -3,6 +3,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -312,6 +314,65 @@ def test_harder_edits_of_images():
     assert not any(media.agree(a, b) for a, b in zip(found, found[1:]))
 
 
+def _as_rows(found, first=0):
+    return [(first + i, p.astype("<f4").tobytes(), c.tobytes()) for i, (p, c) in enumerate(found)]
+
+
+def test_shared_keys_of_images_go_packed(spark, monkeypatch):
+    """What images share a key is the same as by the plain keys, and a key is shipped in ``PACKED`` bytes."""
+    images = drawn(60)
+    found = media.describe(np.stack(images + [media.edited(x, 1) for x in images] + [media.edited(x, 3) for x in images[:30]]))
+    found.append((np.empty((0, 4)), np.empty((0, media.BITS // 8), np.uint8)))
+    rows = _as_rows(found[:70], 3) + _as_rows(found[70:], (1 << 33) + 5)  # as of two files
+    plain = {}
+    for num, *x in rows:
+        for k in media.table_keys(*media._read(*x)).tolist():
+            plain.setdefault(k, set()).add(num)
+    want = {tuple(sorted(x)) for x in plain.values() if len(x) == 2}, sorted(tuple(sorted(x)) for x in plain.values() if len(x) > 2)
+    table = spark.createDataFrame(rows, "num long, set binary, sig binary").coalesce(1)
+    for buckets, chunk in ((1, 1 << 20), (7, 3000)):
+        monkeypatch.setattr(media, "CHUNK_KEYS", chunk)
+        sent = pa.Table.from_batches(list(media._pack(buckets)(table.toArrow().to_batches())))
+        packed = sum(len(x) for c in ("low", "high", "own") for x in sent.column(c).to_pylist())
+        assert packed == media.PACKED * sum(map(len, plain.values()))
+        assert sent.num_rows <= buckets * 2 * (1 + packed // media.PACKED // chunk)
+        pairs, more = set(), {}
+        for k in set(sent.column("bucket").to_pylist()):
+            for bucket, u, v in zip(*media._meet(sent.filter(pc.equal(sent.column("bucket"), k))).to_pydict().values(), strict=True):
+                if bucket is None:
+                    pairs.add((u, v))
+                else:
+                    more.setdefault(bucket, []).append(u)
+        assert (pairs, sorted(tuple(sorted(x)) for x in more.values())) == want and pairs and more
+
+
+def test_image_pairs_by_cells(spark, monkeypatch):
+    """Every pair is compared in one cell, whatever the number of groups, and a slice ships an image twice at most."""
+    images = drawn(12)
+    found = media.describe(np.stack(images + images[::-1]))
+    sets = spark.createDataFrame([(7 * num - 30, p, c) for num, p, c in _as_rows(found)], "node long, set binary, sig binary").cache()
+    pairs = [(7 * i - 30, 7 * j - 30) for i in range(24) for j in range(i + 1, 24)]
+    want = {(7 * i - 30, 7 * j - 30) for i in range(24) for j in range(i + 1, 24) if media.agree(found[i], found[j])}
+    assert len(want) == 12
+    shipped = []
+    save = media.Workspace.save
+
+    def saved(ws, df, name):
+        shipped.append(name)
+        return save(ws, df, name)
+
+    monkeypatch.setattr(media.Workspace, "save", saved)
+    for groups in (1, 2, 3, 6):
+        monkeypatch.setattr(media, "CELL_PAIRS", len(pairs) / groups**2)
+        shipped.clear()
+        got = media._in_cells(media.Workspace(spark, "cells"), 24, 48)(spark.createDataFrame(pairs, "u long, v long"), sets, 0).collect()
+        assert sorted((r.u, r.v) for r in got) == sorted(want) and all(r.linked for r in got)
+        assert sum(x.startswith("agree") for x in shipped) == groups // 2 + 1
+    few = media._in_cells(media.Workspace(spark, "cells"), 24, 48)(spark.createDataFrame([min(want)], "u long, v long"), sets, 0).collect()
+    assert [(r.u, r.v) for r in few] == [min(want)]
+    assert not media._in_cells(media.Workspace(spark, "cells"), 24, 48)(spark.createDataFrame([], "u long, v long"), sets, 0).collect()
+
+
 def test_consensus_against_each_pair(monkeypatch):
     images = drawn(4)
     turned = [np.rot90(images[0]), images[1][4:-3, 3:-4], images[3]]
