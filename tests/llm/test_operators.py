@@ -322,13 +322,15 @@ def test_shared_keys_of_images_go_packed(spark, monkeypatch):
     """What images share a key is the same as by the plain keys, and a key is shipped in ``PACKED`` bytes."""
     images = drawn(60)
     found = media.describe(np.stack(images + [media.edited(x, 1) for x in images] + [media.edited(x, 3) for x in images[:30]]))
+    found += [found[0]] * media.FEW
     found.append((np.empty((0, 4)), np.empty((0, media.BITS // 8), np.uint8)))
     rows = _as_rows(found[:70], 3) + _as_rows(found[70:], (1 << 33) + 5)  # as of two files
     plain = {}
     for num, *x in rows:
         for k in media.table_keys(*media._read(*x)).tolist():
             plain.setdefault(k, set()).add(num)
-    want = {tuple(sorted(x)) for x in plain.values() if len(x) == 2}, sorted(tuple(sorted(x)) for x in plain.values() if len(x) > 2)
+    few = [sorted(x) for x in plain.values() if len(x) <= media.FEW]
+    want = {(x[i], x[j]) for x in few for j in range(len(x)) for i in range(j)}, sorted(tuple(sorted(x)) for x in plain.values() if len(x) > media.FEW)
     table = spark.createDataFrame(rows, "num long, set binary, sig binary").coalesce(1)
     for buckets, chunk in ((1, 1 << 20), (7, 3000)):
         monkeypatch.setattr(media, "CHUNK_KEYS", chunk)
