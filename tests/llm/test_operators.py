@@ -352,7 +352,7 @@ def test_image_pairs_by_cells(spark, monkeypatch):
     """Every pair is compared in one cell, whatever the number of groups, and a slice ships an image twice at most."""
     images = drawn(12)
     found = media.describe(np.stack(images + images[::-1]))
-    sets = spark.createDataFrame([(7 * num - 30, p, c) for num, p, c in _as_rows(found)], "node long, set binary, sig binary").cache()
+    sets = spark.createDataFrame([(7 * num - 30, num, p, c) for num, p, c in _as_rows(found)], "node long, key long, set binary, sig binary").cache()
     pairs = [(7 * i - 30, 7 * j - 30) for i in range(24) for j in range(i + 1, 24)]
     want = {(7 * i - 30, 7 * j - 30) for i in range(24) for j in range(i + 1, 24) if media.agree(found[i], found[j])}
     assert len(want) == 12
